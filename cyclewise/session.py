@@ -52,7 +52,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
+def stage(df):
+    """Materialise a stage boundary: a reliable checkpoint into the shared
+    checkpoint folder (never localCheckpoint). Cuts the lineage so later
+    branches neither re-run nor re-plan the upstream, and a lost executor
+    only re-reads checkpoint files."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+cut_lineage = stage

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclewise.functions.scan import ordered_scan
+from cyclewise.session import stage
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -84,7 +85,7 @@ def fleet(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
             F.col("l_tax").cast("double").alias("sensor_4"))
     else:
         raise ValueError(f"unknown fleet view {which!r}; expected one of {FLEETS}")
-    return nan_to_null(out, SENSORS[which] + SETTINGS)
+    return stage(nan_to_null(out, SENSORS[which] + SETTINGS))
 
 
 def nan_to_null(df: DataFrame, cols) -> DataFrame:
