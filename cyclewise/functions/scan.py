@@ -27,6 +27,8 @@ from cyclewise.functions.exprs import count_le_sorted
 # rows per chunk for bounded trailing frames; an engine shorter than this
 # stays in one chunk, a hot engine is spread over many tasks
 DEFAULT_CHUNK = 200_000
+# a key with more rows than this is split across tasks by ordered_scan
+DEFAULT_HOT_ROWS = 2_000_000
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
@@ -56,32 +58,51 @@ def piece_bounds(df: DataFrame, cols: Sequence[str | Column], pieces: int, seed:
     return F.array(*lits)
 
 
+def hot_rows_threshold(df: DataFrame) -> int:
+    """Rows a single key may hold before its scan is split (per task sort size)."""
+    return int(df.sparkSession.conf.get("cyclewise.scan.hotRows", str(DEFAULT_HOT_ROWS)))
+
+
 def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                  weight: str | Column | None = None, out: str = "seq",
-                 pieces: int | None = None) -> DataFrame:
+                 pieces: int | None = None, hot_rows: int | None = None) -> DataFrame:
     """Add ``out`` = inclusive running sum of ``weight`` (default 1 per row)
     within ``keys`` in ``order``. With the default weight and a unique order
     this is ``row_number()``; with a count column it is an ECDF prefix count.
 
-    Rows are cut into ranges of (keys, order) by sampled bounds; a row's
-    piece is a pure function of its values, so the local scan and the
-    per-piece totals agree in every branch and on recomputation.
+    One partial aggregate finds the hot keys (more than ``hot_rows`` rows;
+    at most rows/hot_rows of them, so the list is small). Ordinary keys are
+    scanned by a plain window. Rows of hot keys are cut into ranges of
+    (keys, order) by sampled bounds - a row's piece is a pure function of its
+    values, so the piece scan and the per-piece totals agree in every branch
+    and on recomputation - and per-piece offsets are added back.
     """
-    n = pieces or 4 * scan_partitions(df)
     keys = list(keys)
     order_cols = _cols(order)
+    hot_rows = hot_rows or hot_rows_threshold(df)
+    w = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
+    hot = [r.asDict() for r in df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > hot_rows).collect()]
+    if not hot:
+        win = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(w).over(win))
+    spark = df.sparkSession
+    hot_total = sum(h["_n"] for h in hot)
+    n = pieces or max(2, -(-hot_total // hot_rows) * 2)
+    hot_df = spark.createDataFrame([{k: h[k] for k in keys} for h in hot], df.select(*keys).schema)
+    marked = df.join(F.broadcast(hot_df.withColumn("_hot", F.lit(True))), keys, "left")
     sort_cols = [F.col(k) for k in keys] + order_cols
-    bounds = piece_bounds(df, sort_cols, n)
+    bounds = piece_bounds(marked.filter(F.col("_hot")), sort_cols, n)
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(sort_cols)])
-    w = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
-    base = df.withColumn("_w", w).withColumn("_pid", count_le_sorted(bounds, key, max_len=n + 1))
+    pid = F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise(count_le_sorted(bounds, key, max_len=n + 1))
+    base = marked.withColumn("_w", w).withColumn("_pid", pid).drop("_hot")
     local = Window.partitionBy(*keys, "_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     scanned = base.withColumn("_local", F.sum("_w").over(local))
-    totals = base.groupBy(*keys, "_pid").agg(F.sum("_w").alias("_tot"))
+    totals = base.filter(F.col("_pid") >= 0).groupBy(*keys, "_pid").agg(F.sum("_w").alias("_tot"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_pid", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off"))
-    return (scanned.join(offsets, [*keys, "_pid"])
-            .withColumn(out, F.col("_off") + F.col("_local"))
+    return (scanned.join(F.broadcast(offsets), [*keys, "_pid"], "left")
+            .withColumn(out, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local"))
             .drop("_w", "_pid", "_local", "_off"))
 
 

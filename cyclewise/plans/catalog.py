@@ -30,4 +30,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries (idempotent)."""
-    from cyclewise.plans import q_drift, q_features, q_metrics, q_profile, q_regimes, q_windows  # noqa: F401
+    from cyclewise.plans import q_drift, q_features, q_metrics, q_profile, q_regimes, q_stream, q_windows  # noqa: F401

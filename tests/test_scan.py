@@ -13,8 +13,8 @@ def test_scan_matches_window(spark):
             for i in range(3000)]
     df = spark.createDataFrame(rows)
     got = {r.t: (r.seq, r.cum) for r in
-           ordered_scan(ordered_scan(df, ["k"], ["t"], out="seq", pieces=16), ["k"], ["t"], weight="w",
-                        out="cum", pieces=16).collect()}
+           ordered_scan(ordered_scan(df, ["k"], ["t"], out="seq", pieces=16, hot_rows=500), ["k"], ["t"], weight="w",
+                        out="cum", pieces=16, hot_rows=500).collect()}
     w = Window.partitionBy("k").orderBy("t")
     exp = {r.t: (r.seq, r.cum) for r in df.select(
         "t", F.row_number().over(w).alias("seq"),
