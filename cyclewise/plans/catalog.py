@@ -30,5 +30,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries (idempotent)."""
-    from cyclewise.plans import (q_drift, q_features, q_io, q_metrics, q_profile, q_regimes,  # noqa: F401
-                                 q_stream, q_windows)
+    from cyclewise.plans import (q_drift, q_features, q_io, q_metrics, q_models, q_profile,  # noqa: F401
+                                 q_regimes, q_stream, q_windows)
