@@ -151,8 +151,17 @@ gate AS (SELECT *, active AND NOT coalesce(lag(active) OVER (PARTITION BY datase
     return with_fleets(*MONITOR_SENSORS, extra=body) + final
 
 
+_RUNS: dict = {}
+
+
 def _run(spark, sf):
-    return monitor(monitor_input(spark, sf))
+    """One monitor sweep per session and table folder; its stages are
+    checkpointed tables, so the drift queries share them."""
+    import os
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
+    if key not in _RUNS:
+        _RUNS[key] = monitor(monitor_input(spark, sf))
+    return _RUNS[key]
 
 
 # ---------------------------------------------------------------- queries

@@ -15,7 +15,7 @@ from cyclewise.operators.drift import to_long
 from cyclewise.operators.labels import attach_truth, engine_positions, with_rul
 from cyclewise.plans import q_drift, q_regimes
 from cyclewise.plans.catalog import ORACLE, register
-from cyclewise.plans.monitor import monitor, monitor_input
+from cyclewise.plans.monitor import monitor_input
 from cyclewise.plans.oracle import with_fleets
 from cyclewise.sources import io
 from cyclewise.sources.tables import fleet
@@ -68,7 +68,7 @@ def processed_roundtrip(spark, sf):
 @register("drift_results_sink", ORACLE["drift_results"])
 def drift_results_sink(spark, sf):
     """Results appended severity by severity after a reset, read back."""
-    run = monitor(monitor_input(spark, sf))
+    run = q_drift._run(spark, sf)
     path = scratch(spark, "drift-results")
     sev = [r.severity for r in run.results.select("severity").distinct().collect()]
     for i, s in enumerate(sorted(sev)):
@@ -80,7 +80,7 @@ def drift_results_sink(spark, sf):
 @register("retraining_triggers_sink", ORACLE["drift_gate"])
 def retraining_triggers_sink(spark, sf):
     """One JSON object per batch decision, appended, read back."""
-    run = monitor(monitor_input(spark, sf))
+    run = q_drift._run(spark, sf)
     path = scratch(spark, "triggers")
     io.append_rows(run.gate, path, fmt="json", reset=True)
     g = io.load_table(spark, path, "json", run.gate.schema)
