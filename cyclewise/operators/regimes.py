@@ -237,3 +237,24 @@ def regime_projection_2d(df: DataFrame, features: Sequence[str], label: str = "r
     p = PCA(k=2, inputCol="_v", outputCol="_pc").fit(v).transform(v)
     a = vector_to_array("_pc")
     return p.select("dataset", "engine_id", "cycle", label, a[0].alias("pc1"), a[1].alias("pc2"))
+
+
+def normalize(df: DataFrame, sensors: Sequence[str], mode: str = "regime_plus_global",
+              regime: str = "regime_id", split: str = "split") -> DataFrame:
+    """Z3: ``regime_only`` / ``regime_plus_global`` / ``global_zscore_only``;
+    any other mode leaves the sensors as they are. Every scaler is fitted on
+    the train split and applied to all rows."""
+    from cyclewise.operators.profile import apply_zscore, fit_global_zscore
+    from cyclewise.session import stage
+
+    def long(x, ids):
+        return x.unpivot(list(ids), list(sensors), "sensor", "value")
+
+    out = df
+    if mode in ("regime_only", "regime_plus_global"):
+        params = fit_regime_scalers(long(out.filter(F.col(split) == "train"), ("dataset", regime)), regime)
+        out = stage(apply_regime_scalers(out, params, sensors, regime))
+    if mode in ("regime_plus_global", "global_zscore_only"):
+        g = fit_global_zscore(long(out.filter(F.col(split) == "train"), ("dataset",)))
+        out = apply_zscore(out, g, sensors)
+    return out

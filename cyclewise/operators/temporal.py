@@ -89,3 +89,19 @@ def causality_audit(df: DataFrame, sensors: Sequence[str], window: int = 5, cut:
               for f in feats]
     wide = joined.groupBy("dataset").agg(*checks)
     return wide.unpivot(["dataset"], feats, "feature", "violations")
+
+
+def degradation_features(df: DataFrame, sensors: Sequence[str], target: str = "rul", top_n: int = 6,
+                         window: int = 5, per_regime: int = 3, second: bool = False,
+                         regime: str | None = "regime_id", split: str = "split") -> tuple[DataFrame, list[str]]:
+    """Select sensors on the train split (T2), then add T3-T6 for the
+    same sensors on every row. Returns (frame, selected sensors in pick order);
+    the selection is at most ``top_n`` names."""
+    train = df.filter(F.col(split) == "train")
+    ids = ["dataset", target] + ([regime] if regime else [])
+    long = train.unpivot(ids, list(sensors), "sensor", "value").withColumn(
+        "sensor_order", F.array_position(F.array(*[F.lit(s) for s in sensors]), F.col("sensor")) - 1)
+    sel = select_degradation_sensors(long, per_regime, min(top_n, len(sensors)), regime, target=target)
+    picked = [r.sensor for r in sel.orderBy("dataset", "pick").collect()]
+    picked = list(dict.fromkeys(picked))
+    return add_temporal(df, picked, window, second), picked

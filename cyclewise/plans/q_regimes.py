@@ -12,7 +12,6 @@ from cyclewise.functions.exprs import r6
 from cyclewise.operators import regimes as R
 from cyclewise.operators.drift import to_long
 from cyclewise.operators.labels import with_rul
-from cyclewise.operators.profile import apply_zscore, fit_global_zscore
 from cyclewise.operators.temporal import add_temporal, select_degradation_sensors
 from cyclewise.plans.catalog import register
 from cyclewise.plans.oracle import with_fleets
@@ -131,11 +130,7 @@ SELECT r.dataset, r.split, r.engine_id, r.cycle, {gsel} FROM rs r JOIN gp g USIN
 @register("normalize_regime_plus_global", _norm_sql())
 def normalize_regime_plus_global(spark, sf):
     """Z3 (default mode): per-regime scaling, then a global z-score on train."""
-    df = regime_frame(spark, sf)
-    params = R.fit_regime_scalers(to_long(df.filter("split = 'train'"), SENS, ("dataset", "regime_id")))
-    rs = stage(R.apply_regime_scalers(df, params, SENS))
-    g = fit_global_zscore(to_long(rs.filter("split = 'train'"), SENS, ("dataset",)))
-    out = apply_zscore(rs, g, SENS)
+    out = R.normalize(regime_frame(spark, sf), SENS, "regime_plus_global")
     return out.select("dataset", "split", "engine_id", "cycle", *[r6(s).alias(s) for s in SENS])
 
 
