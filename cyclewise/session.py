@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -53,12 +54,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def stage(df):
-    """Materialise a stage boundary: a reliable checkpoint into the shared
+    """Materialise a stage boundary as a Parquet table in the shared
     checkpoint folder (never localCheckpoint). Cuts the lineage so later
-    branches neither re-run nor re-plan the upstream, and a lost executor
-    only re-reads checkpoint files."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    branches neither re-run nor re-plan the upstream, a lost executor only
+    re-reads files, and readers get column pruning and filter pushdown.
+    Types Parquet cannot hold fall back to a reliable checkpoint."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "stage-" + uuid.uuid4().hex)
+    try:
+        df.write.parquet(path)
+    except Exception:  # noqa: BLE001 - e.g. NullType / interval columns
+        return df.checkpoint(eager=True)
+    return spark.read.parquet(path)
 
 
 cut_lineage = stage
