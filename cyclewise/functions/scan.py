@@ -29,6 +29,8 @@ from cyclewise.functions.exprs import count_le_sorted
 DEFAULT_CHUNK = 200_000
 # a key with more rows than this is split across tasks by ordered_scan
 DEFAULT_HOT_ROWS = 2_000_000
+# upper bound on the sampled piece bounds carried in the plan
+MAX_PIECES = 8192
 
 
 def _cols(xs: Sequence[str | Column]) -> list[Column]:
@@ -79,16 +81,22 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     """
     keys = list(keys)
     order_cols = _cols(order)
-    hot_rows = hot_rows or hot_rows_threshold(df)
     w = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
-    hot = [r.asDict() for r in df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > hot_rows).collect()]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if hot_rows is None:
+        # hot = more rows than an average task of this job, and at least the floor
+        total, biggest = counts.agg(F.sum("_n"), F.max("_n")).first()
+        hot_rows = max(hot_rows_threshold(df), -(-(total or 0) // scan_partitions(df)))
+        hot = [] if (biggest or 0) <= hot_rows else [
+            r.asDict() for r in counts.filter(F.col("_n") > hot_rows).collect()]
+    else:
+        hot = [r.asDict() for r in counts.filter(F.col("_n") > hot_rows).collect()]
     if not hot:
         win = Window.partitionBy(*keys).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(w).over(win))
     spark = df.sparkSession
     hot_total = sum(h["_n"] for h in hot)
-    n = pieces or max(2, -(-hot_total // hot_rows) * 2)
+    n = pieces or min(MAX_PIECES, max(2, -(-hot_total // hot_rows) * 2))
     hot_df = spark.createDataFrame([{k: h[k] for k in keys} for h in hot], df.select(*keys).schema)
     marked = df.join(F.broadcast(hot_df.withColumn("_hot", F.lit(True))), keys, "left")
     sort_cols = [F.col(k) for k in keys] + order_cols
