@@ -26,8 +26,20 @@ CUTOFFS = (0.6, 0.7, 0.8, 0.9)
 CHOSEN = {"lineitem": "cycle_mean"}
 
 
+_SCORED: dict = {}
+
+
 def scored(spark, sf):
-    """(dataset, model, set, cutoff, engine_id, regime, y, p)."""
+    """(dataset, model, set, cutoff, engine_id, regime, y, p); one staged
+    table per session and table folder."""
+    import os
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
+    if key not in _SCORED:
+        _SCORED[key] = _scored(spark, sf)
+    return _SCORED[key]
+
+
+def _scored(spark, sf):
     df = with_rul(fleet(spark, sf, "lineitem"))
     df = with_rul(df, None, out="true_rul")
     train = df.filter("split = 'train'")

@@ -22,8 +22,20 @@ SENS = SENSORS["lineitem"]
 Z = [f"z_{s}" for s in SETTINGS]
 
 
+_FRAMES: dict = {}
+
+
 def regime_frame(spark, sf):
-    """lineitem + rul + regime_id + z-scored settings (train-fitted)."""
+    """lineitem + rul + regime_id + z-scored settings (train-fitted); one
+    staged table per session and table folder."""
+    import os
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
+    if key not in _FRAMES:
+        _FRAMES[key] = _regime_frame(spark, sf)
+    return _FRAMES[key]
+
+
+def _regime_frame(spark, sf):
     df = R.with_regime_id(with_rul(fleet(spark, sf, "lineitem")))
     params = R.fit_settings_scaler(df.filter("split = 'train'"))
     return stage(R.scale_settings(df, params))
@@ -241,8 +253,15 @@ def degradation_features(spark, sf):
 def regime_sweep(spark, sf):
     """KMeans k=2..10 on distinct scaled settings (weighted), best of seeds;
     inertia, silhouette, Davies-Bouldin, Calinski-Harabasz per k."""
-    df = regime_frame(spark, sf).filter("split = 'train'")
-    return R.sweep_regimes(df, Z, range(2, 11), seeds=(0, 1))
+    import os
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf))
+    if key not in _SWEEPS:
+        df = regime_frame(spark, sf).filter("split = 'train'")
+        _SWEEPS[key] = stage(R.sweep_regimes(df, Z, range(2, 11), seeds=(0, 1)))
+    return _SWEEPS[key]
+
+
+_SWEEPS: dict = {}
 
 
 @register("regime_vote")
