@@ -74,3 +74,15 @@ def count_le_sorted(edges: str | Column, v: str | Column, max_len: int = 64) ->
             .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+
+
+def count_le_small(edges: str | Column, v: str | Column, max_len: int) -> Column:
+    """Number of elements <= v in an array of at most ``max_len`` elements,
+    unrolled into plain comparisons so it stays inside whole-stage codegen
+    (PSI bins: at most 9 inner edges)."""
+    e, x = col(edges), col(v)
+    terms = [F.when(F.try_element_at(e, F.lit(i + 1)) <= x, F.lit(1)).otherwise(F.lit(0)) for i in range(max_len)]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out

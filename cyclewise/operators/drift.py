@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cyclewise.functions.exprs import count_le_sorted, ks_pvalue
+from cyclewise.functions.exprs import count_le_small, ks_pvalue
 from cyclewise.functions.scan import ordered_scan
 from cyclewise.session import stage
 
@@ -125,7 +125,7 @@ def reference_bins(ecdf: DataFrame, stats: DataFrame, edges: DataFrame, eps: flo
     K = sum over all bins of (eps - r) * ln(eps / r) (bins without reference
     rows contribute 0 there)."""
     b = (ecdf.join(F.broadcast(edges), REF)
-         .withColumn("bin", count_le_sorted("inner", "value", PSI_BINS + 2))
+         .withColumn("bin", count_le_small("inner", "value", PSI_BINS - 1))
          .groupBy(*REF, "bin").agg(F.sum("cnt").alias("rc")))
     b = b.join(stats.select(*REF, "n"), REF).select(
         *REF, "bin", F.greatest(F.col("rc") / F.col("n"), F.lit(eps)).alias("r"))
@@ -140,7 +140,7 @@ def batch_psi(batches: DataFrame, edges: DataFrame, ref_bins: DataFrame, k_empty
     """D3: PSI per batch x sensor. ``batches`` has (keys..., value) non-null."""
     keys = list(keys)
     cur = (batches.join(F.broadcast(edges), REF)
-           .withColumn("bin", count_le_sorted("inner", "value", PSI_BINS + 2))
+           .withColumn("bin", count_le_small("inner", "value", PSI_BINS - 1))
            .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("cc")))
     # at most nbins rows per batch x sensor here, so this window is bounded
     cur = cur.withColumn("m", F.sum("cc").over(Window.partitionBy(*keys)))
