@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cyclewise.functions.columns import feature_columns  # noqa: F401  (P3, re-exported)
 from cyclewise.functions.scan import DEFAULT_CHUNK, chunk_frames, drop_halo, ordered_scan
 
 KEYS = ["dataset", "engine_id"]
@@ -27,15 +28,6 @@ def _pad(rows: Column, n: Column, w: int, width: int) -> Column:
     return F.when(n < w, F.concat(F.array_repeat(zeros, (F.lit(w) - n).cast("int")), rows)).otherwise(rows)
 
 
-def feature_columns(columns: Sequence[str]) -> list[str]:
-    """regime_id first, then sensors (derived included) in table order,
-    then one-hot columns sorted lexicographically."""
-    out = ["regime_id"] if "regime_id" in columns else []
-    out += [c for c in columns if c.startswith("sensor_")]
-    out += sorted(c for c in columns if c.startswith("regime_onehot_"))
-    return out
-
-
 def sliding_windows(df: DataFrame, features: Sequence[str], w: int = 50, step: int = 1, target: str = "rul",
                     keys=KEYS, cycle: str = "cycle", chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """W1 + W2: (keys..., end_cycle, y, x ARRAY<ARRAY<DOUBLE>>) with x of

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from cyclewise.functions.exprs import r6
 from cyclewise.operators.labels import with_rul
