@@ -123,14 +123,19 @@ def window_scaler(df: DataFrame, features: Sequence[str], w: int = 50, step: int
     mult = F.when(F.col("_n") < w, F.lit(1).cast("long")).otherwise(window_multiplicity(r, F.col("_n"), w, step))
     long = j.select("dataset", mult.alias("_m"), F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("p"))
-    sums = long.groupBy("dataset", "p.feature").agg(
-        F.sum("_m").alias("_w"), F.sum(F.col("_m") * F.col("p.v")).alias("_s1"),
-        F.sum(F.col("_m") * F.col("p.v") * F.col("p.v")).alias("_s2"))
     pad = n.groupBy("dataset").agg(F.sum(F.when(F.col("_n") < w, F.lit(w) - F.col("_n")).otherwise(0)).alias("_z"))
-    out = sums.join(pad, "dataset").withColumn("_tot", F.col("_w") + F.col("_z"))
-    mean = F.col("_s1") / F.col("_tot")
-    var = F.greatest(F.col("_s2") / F.col("_tot") - mean * mean, F.lit(0.0))
-    return out.select("dataset", F.col("feature"), mean.alias("mean"), F.sqrt(var).alias("std"))
+    # two passes (mean, then squared deviations) for numerical stability;
+    # each padding zero adds (0 - mean)^2
+    flat = long.select("dataset", "_m", F.col("p.feature").alias("feature"), F.col("p.v").alias("v"))
+    first = (flat.groupBy("dataset", "feature").agg(F.sum("_m").alias("_w"), F.sum(F.col("_m") * F.col("v")).alias("_s1"))
+             .join(pad, "dataset").withColumn("_tot", F.col("_w") + F.col("_z"))
+             .withColumn("mean", F.col("_s1") / F.col("_tot")))
+    means = first.select("dataset", "feature", F.col("mean").alias("_mu"))   # features x datasets rows
+    dev = (flat.join(F.broadcast(means), ["dataset", "feature"]).groupBy("dataset", "feature")
+           .agg(F.sum(F.col("_m") * (F.col("v") - F.col("_mu")) * (F.col("v") - F.col("_mu"))).alias("_ss")))
+    out = first.join(dev, ["dataset", "feature"])
+    var = (F.col("_ss") + F.col("_z") * F.col("mean") * F.col("mean")) / F.col("_tot")
+    return out.select("dataset", "feature", "mean", F.sqrt(var).alias("std"))
 
 
 # ---------------------------------------------------------------- G1 / G2
