@@ -153,17 +153,24 @@ def batch_psi(batches: DataFrame, edges: DataFrame, ref_bins: DataFrame, k_empty
             .select(*keys, (F.col("psi_touched") + F.col("k_empty")).alias("psi")))
 
 
-def batch_ks(batches: DataFrame, ecdf: DataFrame, stats: DataFrame, keys: Sequence[str] = BATCH) -> DataFrame:
-    """Two-sided KS statistic and p-value per batch x sensor."""
+def batch_ks(batches: DataFrame, ecdf: DataFrame, stats: DataFrame, keys: Sequence[str] = BATCH,
+             points_in_reference: bool = False) -> DataFrame:
+    """Two-sided KS statistic and p-value per batch x sensor.
+    ``points_in_reference``: every batch value is a reference value (the
+    calibration batches are the reference's own engines), so the ECDF already
+    holds F_ref at every batch point."""
     keys = list(keys)
     bc = stage(batches.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cb")))
-    # F_ref at every distinct batch point: scan reference counts and query
-    # points together, query points weigh 0
-    points = bc.select(*REF, "value").distinct().withColumn("cnt", F.lit(0).cast("long"))
-    merged = stage(ecdf.select(*REF, "value", "cnt").unionByName(points)
-                   .groupBy(*REF, "value").agg(F.sum("cnt").alias("cnt")))
-    look = ordered_scan(merged, REF, ["value"], weight="cnt", out="le")
-    look = look.select(*REF, "value", "le", (F.col("le") - F.col("cnt")).alias("lt"))
+    if points_in_reference:
+        look = ecdf.select(*REF, "value", F.col("cum_le").alias("le"), (F.col("cum_le") - F.col("cnt")).alias("lt"))
+    else:
+        # F_ref at every distinct batch point: scan reference counts and
+        # query points together, query points weigh 0
+        points = bc.select(*REF, "value").distinct().withColumn("cnt", F.lit(0).cast("long"))
+        merged = stage(ecdf.select(*REF, "value", "cnt").unionByName(points)
+                       .groupBy(*REF, "value").agg(F.sum("cnt").alias("cnt")))
+        look = ordered_scan(merged, REF, ["value"], weight="cnt", out="le")
+        look = look.select(*REF, "value", "le", (F.col("le") - F.col("cnt")).alias("lt"))
     fb = ordered_scan(bc, keys, ["value"], weight="cb", out="cum_b")
     sizes = bc.groupBy(*keys).agg(F.sum("cb").alias("m"))
     fb = fb.join(sizes, keys)
@@ -178,14 +185,14 @@ def batch_ks(batches: DataFrame, ecdf: DataFrame, stats: DataFrame, keys: Sequen
 # ---------------------------------------------------------------- D5-D8
 
 def batch_tests(batches: DataFrame, ref, keys: Sequence[str] = BATCH,
-                min_rows: int = MIN_BATCH_ROWS) -> DataFrame:
+                min_rows: int = MIN_BATCH_ROWS, points_in_reference: bool = False) -> DataFrame:
     """PSI + KS for every batch x sensor with at least ``min_rows`` non-null
     values (D7). ``ref`` is the tuple returned by :func:`reference_model`."""
     ecdf, stats, edges, ref_bins, k_empty = ref
     keys = list(keys)
     vals = batches.filter(F.col("value").isNotNull())
     psi = batch_psi(vals, edges, ref_bins, k_empty, keys)
-    ks = batch_ks(vals, ecdf, stats, keys)
+    ks = batch_ks(vals, ecdf, stats, keys, points_in_reference)
     return stage(psi.join(ks, keys).filter(F.col("sample_size") >= min_rows))
 
 
@@ -204,7 +211,7 @@ def calibrate(train_long: DataFrame, ref, q: float = CALIBRATION_QUANTILE,
     (1-q)-quantile of engine p-values); sensors with no usable engine keep
     the defaults. Returns (dataset, sensor, psi_threshold, ks_pvalue_threshold)."""
     eng = train_long.withColumn("severity", F.lit("calibration"))
-    tests = batch_tests(eng, ref)
+    tests = batch_tests(eng, ref, points_in_reference=True)
     ones = F.lit(1).cast("long")
     psi_r = ordered_scan(tests.select(*REF, F.col("psi").alias("value")).withColumn("cnt", ones),
                          REF, ["value"], weight="cnt", out="cum_le")
