@@ -63,3 +63,13 @@ def test_group_kfold_balanced(spark):
     for r in folds:
         sizes[r.fold] += 1
     assert max(sizes) - min(sizes) <= 1
+
+
+def test_sliding_windows_chunked_equal_unchunked(spark):
+    rnd = np.random.default_rng(3)
+    rows = [Row(dataset="d", engine_id=e, cycle=c, sensor_1=float(rnd.normal()), rul=n - c)
+            for e, n in ((1, 130), (2, 20), (3, 61)) for c in range(1, n + 1)]
+    df = spark.createDataFrame(rows)
+    a = {(r.engine_id, r.end_cycle): r.x for r in W.sliding_windows(df, ["sensor_1"], 50, 1, chunk=60).collect()}
+    b = {(r.engine_id, r.end_cycle): r.x for r in W.sliding_windows(df, ["sensor_1"], 50, 1).collect()}
+    assert a == b and len(a) == 81 + 1 + 12
