@@ -29,7 +29,7 @@ def regime_ids(df: DataFrame, key: str = "regime_key", by=("dataset",), out: str
 
 
 def with_regime_id(df: DataFrame, key: str = "regime_key", by=("dataset",)) -> DataFrame:
-    return df.join(F.broadcast(regime_ids(df, key, by)), [*by, key], "left")
+    return df.join(regime_ids(df, key, by), [*by, key], "left")  # AQE broadcasts it when small
 
 
 # ---------------------------------------------------------------- R1 / R8
