@@ -21,6 +21,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from cyclewise.operators import drift as D
@@ -119,8 +120,12 @@ def stream_gate(flags_stream: DataFrame, required_batches: int = 3, required_sen
 def stream_rollup(stream: DataFrame, kind: str = "tumbling", duration: str = "1 hour", slide: str = "30 minutes",
                   watermark: str = "1 hour", ts: str = "ts", engine: str = "engine_id", value: str = "value") -> DataFrame:
     """K4: per-engine count / mean / max in event-time windows with a watermark.
-    ``ts`` may be TIMESTAMP_NTZ; it is read as UTC (session time zone UTC)."""
-    s = stream.withColumn("_et", F.col(ts).cast("timestamp")).withWatermark("_et", watermark)
+    A TIMESTAMP_NTZ ``ts`` (which ``withWatermark`` rejects) is read as a UTC
+    wall clock whatever the session time zone, so windows align to UTC."""
+    et = F.col(ts).cast("timestamp")
+    if isinstance(stream.schema[ts].dataType, T.TimestampNTZType):
+        et = F.to_utc_timestamp(et, session_tz(stream.sparkSession))
+    s = stream.withColumn("_et", et).withWatermark("_et", watermark)
     if kind == "tumbling":
         w = F.window("_et", duration)
     elif kind == "sliding":
@@ -135,6 +140,17 @@ def stream_rollup(stream: DataFrame, kind: str = "tumbling", duration: str = "1
                     "n", "mean", "max"))
 
 
+def session_tz(spark: SparkSession) -> str:
+    return spark.conf.get("spark.sql.session.timeZone")
+
+
+def utc_text(c) -> F.Column:
+    """Render an instant as its UTC wall clock, whatever the session time zone."""
+    col = F.col(c) if isinstance(c, str) else c
+    spark = SparkSession.getActiveSession()
+    return F.date_format(F.from_utc_timestamp(col, session_tz(spark)), "yyyy-MM-dd HH:mm:ss")
+
+
 def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drive a streaming query to completion (availableNow) into a parquet
     folder and return the result as a static DataFrame."""

@@ -35,3 +35,16 @@ def test_out_of_order_microbatches():
     exp = machine(counts)
     for r, (d, c, trig, action) in zip(out, exp):
         assert (r.drift_detected, r.consecutive_drift_batches, r.retraining_episode_active, r.action) == (d, c, trig, action)
+
+
+def test_rollup_independent_of_session_time_zone(spark):
+    import __spark_entry__ as entry
+    q = entry.queries()["stream_rollup_tumbling"]
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        a = q(spark, "/root/testdata/sf0.001").orderBy("engine_id", "window_start").collect()
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        b = q(spark, "/root/testdata/sf0.001").orderBy("engine_id", "window_start").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", tz)
+    assert a and a == b
