@@ -20,3 +20,15 @@ def test_scan_matches_window(spark):
         "t", F.row_number().over(w).alias("seq"),
         F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum")).collect()}
     assert got == exp
+
+
+def test_hot_path_on_driver_table(spark):
+    li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select(
+        "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    got = ordered_scan(li, ["l_suppkey"], order, out="cycle", hot_rows=300)   # most suppliers are "hot"
+    w = Window.partitionBy("l_suppkey").orderBy(*order)
+    exp = li.withColumn("cycle", F.row_number().over(w))
+    key = ["l_suppkey", *order, "cycle"]
+    assert got.select(*key).exceptAll(exp.select(*key)).count() == 0
+    assert got.count() == exp.count() == 60000
