@@ -227,6 +227,11 @@ def calibrate(train_long: DataFrame, ref, q: float = CALIBRATION_QUANTILE,
         F.coalesce(F.least(F.lit(p_default), F.col("q_p")), F.lit(p_default)).alias("ks_pvalue_threshold")))
 
 
+def batch_id_col(severity: str = "severity", index: str = "batch_index") -> F.Column:
+    """``<severity>_<index>``, index zero-padded to at least 4 digits (never cut)."""
+    return F.format_string("%s_%04d", F.col(severity), F.col(index).cast("int"))
+
+
 def detect(tests: DataFrame, thresholds: DataFrame, require_both: bool = True,
            run_ts=None) -> DataFrame:
     """Flags and the 16 result fields (timestamp = run time)."""
@@ -237,7 +242,7 @@ def detect(tests: DataFrame, thresholds: DataFrame, require_both: bool = True,
     ks_flag = F.col("ks_pvalue") < kt
     drift = (psi_flag & ks_flag) if require_both else (psi_flag | ks_flag)
     ts = F.current_timestamp() if run_ts is None else F.lit(run_ts).cast("timestamp")
-    batch_id = F.concat(F.col("severity"), F.lit("_"), F.lpad(F.col("batch_index").cast("string"), 4, "0")) \
+    batch_id = batch_id_col() \
         if "batch_index" in tests.columns else F.lit(None).cast("string")
     return j.select(
         ts.alias("timestamp"), "dataset", batch_id.alias("batch_id"), "engine_id", "severity", "sensor",

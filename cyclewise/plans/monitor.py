@@ -71,7 +71,7 @@ def monitor(long_df: DataFrame, severities=tuple(D.SEVERITY_MULTIPLIERS), noise_
         F.sort_array(F.collect_set(F.when(F.col("status") == "drift", F.col("sensor")))).alias("drifted_sensors"))
     flags = (batches.join(per_batch, ["dataset", "severity", "engine_id"], "left")
              .select("dataset", "severity", "engine_id", "batch_index",
-                     F.concat("severity", F.lit("_"), F.lpad(F.col("batch_index").cast("string"), 4, "0")).alias("batch_id"),
+                     D.batch_id_col().alias("batch_id"),
                      F.coalesce("drifted_sensor_count", F.lit(0).cast("long")).alias("drifted_sensor_count"),
                      F.coalesce("drifted_sensors", F.array().cast("array<string>")).alias("drifted_sensors")))
     gate = drift_gate(flags, required_sensors=quorum)

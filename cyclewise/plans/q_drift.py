@@ -118,7 +118,7 @@ shifted AS (SELECT dataset, engine_id, cycle, sensor, severity,
 {_tests_sql('shifted', 'dataset, severity, engine_id', 'bt')},
 pos AS (SELECT dataset, engine_id, row_number() OVER (PARTITION BY dataset ORDER BY engine_id) - 1 AS batch_index
         FROM (SELECT DISTINCT dataset, engine_id FROM test)),
-results AS (SELECT bt.dataset, severity || '_' || lpad(CAST(p.batch_index AS VARCHAR), 4, '0') AS batch_id,
+results AS (SELECT bt.dataset, printf('%s_%04d', severity, p.batch_index) AS batch_id,
    bt.engine_id, severity, sensor, psi, ks_statistic, ks_pvalue,
    CASE WHEN psi > psi_threshold AND ks_pvalue < ks_pvalue_threshold THEN 'drift' ELSE 'stable' END AS status,
    psi_threshold, ks_pvalue_threshold, psi > psi_threshold AS psi_flag, ks_pvalue < ks_pvalue_threshold AS ks_flag,
@@ -129,7 +129,7 @@ rollup0 AS (SELECT dataset, batch_id, severity, median(psi) AS psi, median(ks_st
    avg(CASE WHEN status = 'drift' THEN 1.0 ELSE 0.0 END) AS drift_rate FROM results GROUP BY ALL),
 rollup AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY dataset ORDER BY batch_id) - 1 AS BIGINT) AS batch FROM rollup0),
 flags AS (SELECT p.dataset, s.severity, p.engine_id, p.batch_index,
-   s.severity || '_' || lpad(CAST(p.batch_index AS VARCHAR), 4, '0') AS batch_id,
+   printf('%s_%04d', s.severity, p.batch_index) AS batch_id,
    CAST(coalesce(sum(CASE WHEN r.status = 'drift' THEN 1 ELSE 0 END), 0) AS BIGINT) AS drifted_sensor_count,
    count(r.sensor) AS checks
    FROM pos p CROSS JOIN sev s LEFT JOIN results r ON r.dataset = p.dataset AND r.engine_id = p.engine_id

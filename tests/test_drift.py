@@ -78,3 +78,8 @@ def test_unknown_severity_is_an_error(spark):
     except ValueError:
         return
     raise AssertionError("expected ValueError")
+
+
+def test_batch_id_is_never_truncated(spark):
+    df = spark.createDataFrame([Row(severity="normal", batch_index=7), Row(severity="severe", batch_index=12345)])
+    assert [r.b for r in df.select(D.batch_id_col().alias("b")).collect()] == ["normal_0007", "severe_12345"]
