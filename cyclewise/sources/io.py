@@ -53,11 +53,11 @@ def read_rul(spark: SparkSession, path: str, dataset: str) -> DataFrame:
 
 
 def write_rul(truth: DataFrame, path: str) -> None:
-    """Inverse of S2: positions in order, one value and a trailing blank per line."""
-    body = truth.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "rul"))),
-                                              lambda s: F.concat(s["rul"].cast("string"), F.lit(" "))),
-                                  "\n").alias("value"))
-    body.coalesce(1).write.mode("overwrite").text(path)
+    """Inverse of S2: one ordered text file, line i = position i, a trailing
+    blank per line. The single writer sorts its rows (streamed, no array)."""
+    (truth.select("position", F.concat(F.col("rul").cast("string"), F.lit(" ")).alias("value"))
+     .coalesce(1).sortWithinPartitions("position").select("value")
+     .write.mode("overwrite").text(path))
 
 
 def check_rul_alignment(test: DataFrame, truth: DataFrame) -> DataFrame:
