@@ -330,3 +330,27 @@ def what_if_shift(long_df: DataFrame, severities: Sequence[str] = tuple(SEVERITY
         noisy = shifted + F.lit(noise_std) * z
         shifted = noisy if normal_noise else F.when(F.col("severity") == "normal", shifted).otherwise(noisy)
     return x.withColumn("value", shifted).drop("_mult")
+
+
+REFERENCE_PARTS = ("ecdf", "stats", "edges", "ref_bins", "k_empty")
+
+
+def save_reference(ref, path: str) -> None:
+    """Persist every part of a fitted reference model as Parquet."""
+    for name, part in zip(REFERENCE_PARTS, ref):
+        part.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_reference(spark, path: str):
+    """Load a saved reference model (the detector auto-loads it when present)."""
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in REFERENCE_PARTS)
+
+
+def reference_or_fit(spark, path: str, ref_long: DataFrame):
+    """Auto-load the reference at ``path`` if it exists, else fit and save it."""
+    try:
+        return load_reference(spark, path)
+    except Exception:  # noqa: BLE001 - missing path
+        ref = reference_model(ref_long)
+        save_reference(ref, path)
+        return load_reference(spark, path)

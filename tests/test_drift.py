@@ -83,3 +83,17 @@ def test_unknown_severity_is_an_error(spark):
 def test_batch_id_is_never_truncated(spark):
     df = spark.createDataFrame([Row(severity="normal", batch_index=7), Row(severity="severe", batch_index=12345)])
     assert [r.b for r in df.select(D.batch_id_col().alias("b")).collect()] == ["normal_0007", "severe_12345"]
+
+
+def test_reference_save_load_roundtrip(spark, tmp_path):
+    rows = [Row(dataset="d", engine_id=0, cycle=i, sensor="s", value=float(i % 7)) for i in range(50)]
+    ref_long = spark.createDataFrame(rows)
+    path = str(tmp_path / "ref")
+    ref = D.reference_or_fit(spark, path, ref_long)          # fits and saves
+    again = D.reference_or_fit(spark, path, ref_long.limit(0))  # auto-loads, no refit
+    assert [p.count() for p in ref] == [p.count() for p in again]
+    batch = spark.createDataFrame([Row(dataset="d", severity="x", engine_id=1, cycle=i, sensor="s", value=float(i % 5))
+                                   for i in range(20)])
+    a = D.batch_tests(batch, ref).collect()[0]
+    b = D.batch_tests(batch, again).collect()[0]
+    assert (a.psi, a.ks_statistic) == (b.psi, b.ks_statistic)
