@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from cyclewise.operators import drift as D
-from cyclewise.session import checkpoint_dir
+from cyclewise.session import checkpoint_dir, stage
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -48,17 +48,31 @@ def engine_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 
 def stream_detect(stream: DataFrame, ref, thresholds: DataFrame, positions: DataFrame, sink: str,
-                  require_both: bool = True, checkpoint: str | None = None, run_ts=None):
-    """K2: detect per arriving micro-batch; returns the finished query handle
-    (``availableNow``: process what is there, then stop)."""
+                  require_both: bool = True, checkpoint: str | None = None, run_ts=None,
+                  flags_sink: str | None = None, severities=tuple(D.SEVERITY_MULTIPLIERS)):
+    """K2: detect per arriving micro-batch (``foreachBatch``) against a fixed
+    reference; results go to ``sink/epoch=<id>`` (a retried epoch overwrites
+    its own folder). With ``flags_sink`` it also writes one row per
+    (engine, severity) with its drifted-sensor count - skipped batches
+    included with 0 - which is the input of the streaming gate (K3).
+    Runs with ``availableNow`` and returns the finished query."""
     spark = stream.sparkSession
+    sev = F.explode(F.array(*[F.lit(x) for x in severities])).alias("severity")
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         if batch.isEmpty():
             return
         tests = D.batch_tests(batch, ref).join(positions, ["dataset", "engine_id"])
-        res = D.detect(tests, thresholds, require_both, run_ts)
+        res = stage(D.detect(tests, thresholds, require_both, run_ts))
         res.write.mode("overwrite").parquet(os.path.join(sink, f"epoch={epoch}"))
+        if flags_sink:
+            engines = batch.select("dataset", "engine_id").distinct().join(positions, ["dataset", "engine_id"])
+            counts = res.groupBy("dataset", "severity", "engine_id").agg(
+                F.sum((F.col("status") == "drift").cast("long")).alias("drifted_sensor_count"))
+            flags = (engines.select("*", sev).join(counts, ["dataset", "severity", "engine_id"], "left")
+                     .select("dataset", "severity", "engine_id", F.col("batch_index").cast("long"),
+                             F.coalesce("drifted_sensor_count", F.lit(0).cast("long")).alias("drifted_sensor_count")))
+            flags.write.mode("overwrite").parquet(os.path.join(flags_sink, f"epoch={epoch}"))
 
     q = (stream.writeStream.foreachBatch(per_batch)
          .option("checkpointLocation", checkpoint or scratch(spark, "detect-ckpt"))
