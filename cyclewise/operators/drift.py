@@ -138,10 +138,17 @@ def reference_bins(ecdf: DataFrame, stats: DataFrame, edges: DataFrame, eps: flo
 def batch_psi(batches: DataFrame, edges: DataFrame, ref_bins: DataFrame, k_empty: DataFrame,
               keys: Sequence[str] = BATCH, eps: float = PSI_EPS) -> DataFrame:
     """D3: PSI per batch x sensor. ``batches`` has (keys..., value) non-null."""
+    bc = batches.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cb"))
+    return psi_from_counts(bc, edges, ref_bins, k_empty, keys, eps)
+
+
+def psi_from_counts(bc: DataFrame, edges: DataFrame, ref_bins: DataFrame, k_empty: DataFrame,
+                    keys: Sequence[str] = BATCH, eps: float = PSI_EPS) -> DataFrame:
+    """D3 on per-batch value counts (keys..., value, cb)."""
     keys = list(keys)
-    cur = (batches.join(F.broadcast(edges), REF)
+    cur = (bc.join(F.broadcast(edges), REF)
            .withColumn("bin", count_le_small("inner", "value", PSI_BINS - 1))
-           .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("cc")))
+           .groupBy(*keys, "bin").agg(F.sum("cb").alias("cc")))
     # at most nbins rows per batch x sensor here, so this window is bounded
     cur = cur.withColumn("m", F.sum("cc").over(Window.partitionBy(*keys)))
     j = cur.join(F.broadcast(ref_bins), [*REF, "bin"], "left")
@@ -159,8 +166,14 @@ def batch_ks(batches: DataFrame, ecdf: DataFrame, stats: DataFrame, keys: Sequen
     ``points_in_reference``: every batch value is a reference value (the
     calibration batches are the reference's own engines), so the ECDF already
     holds F_ref at every batch point."""
-    keys = list(keys)
     bc = stage(batches.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cb")))
+    return ks_from_counts(bc, ecdf, stats, keys, points_in_reference)
+
+
+def ks_from_counts(bc: DataFrame, ecdf: DataFrame, stats: DataFrame, keys: Sequence[str] = BATCH,
+                   points_in_reference: bool = False) -> DataFrame:
+    """D4 on per-batch value counts (keys..., value, cb)."""
+    keys = list(keys)
     if points_in_reference:
         look = ecdf.select(*REF, "value", F.col("cum_le").alias("le"), (F.col("cum_le") - F.col("cnt")).alias("lt"))
     else:
@@ -191,8 +204,10 @@ def batch_tests(batches: DataFrame, ref, keys: Sequence[str] = BATCH,
     ecdf, stats, edges, ref_bins, k_empty = ref
     keys = list(keys)
     vals = batches.filter(F.col("value").isNotNull())
-    psi = batch_psi(vals, edges, ref_bins, k_empty, keys)
-    ks = batch_ks(vals, ecdf, stats, keys, points_in_reference)
+    # one pass over the batch rows: per-batch value counts feed both tests
+    bc = stage(vals.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cb")))
+    psi = psi_from_counts(bc, edges, ref_bins, k_empty, keys)
+    ks = ks_from_counts(bc, ecdf, stats, keys, points_in_reference)
     return stage(psi.join(ks, keys).filter(F.col("sample_size") >= min_rows))
 
 
