@@ -211,3 +211,54 @@ WHERE decision = 'promote' QUALIFY row_number() OVER (PARTITION BY dataset ORDER
 def current_models(spark, sf):
     """V2: latest promoted model per dataset."""
     return X.current_models(_registry(spark, sf)).select("dataset", "model", "rmse", "created_at", "decision", "version")
+
+
+@register("baseline_cross_validation", with_fleets("lineitem", extra=f"""
+lab AS (SELECT *, CAST(LEAST(max(cycle) OVER (PARTITION BY dataset, engine_id) - cycle, 125) AS INTEGER) AS rul,
+               count(*) OVER (PARTITION BY dataset, engine_id) AS n FROM fleet_lineitem WHERE split = 'train'),
+folds AS (SELECT dataset, engine_id, CAST(CASE WHEN (p // 5) % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END AS INTEGER) AS fold
+          FROM (SELECT dataset, engine_id, row_number() OVER (PARTITION BY dataset ORDER BY size DESC, engine_id) - 1 AS p
+                FROM (SELECT dataset, engine_id, count(*) AS size FROM lab GROUP BY ALL))),
+lf AS (SELECT l.*, f.fold FROM lab l JOIN folds f USING (dataset, engine_id)),
+fit AS (SELECT l.dataset, k.k AS fold, floor(l.cycle / {BUCKET}) AS bucket, l.rul
+        FROM lf l JOIN range(0, 5) k(k) ON l.fold <> k.k),
+gm AS (SELECT dataset, fold, avg(rul) AS g FROM fit GROUP BY ALL),
+bm AS (SELECT dataset, fold, bucket, avg(rul) AS pb FROM fit GROUP BY ALL),
+pts AS (SELECT dataset, engine_id, fold, cycle, CAST(rul AS DOUBLE) AS y FROM lf
+        WHERE cycle = least(n, greatest(50, floor(n * CAST('0.8' AS DOUBLE))))),
+sc AS (SELECT p.dataset, p.fold, p.y, greatest(least(coalesce(b.pb, g.g), 125.0), 0.0) AS p
+       FROM pts p JOIN gm g USING (dataset, fold) LEFT JOIN bm b ON b.dataset = p.dataset AND b.fold = p.fold
+            AND b.bucket = floor(p.cycle / {BUCKET})),
+per AS (SELECT dataset, fold, sqrt(avg((p - y) * (p - y))) AS rmse, avg(abs(p - y)) AS mae,
+          CASE WHEN var_pop(y) = 0 THEN CASE WHEN sum((p - y) * (p - y)) = 0 THEN 1.0 ELSE 0.0 END
+               ELSE 1.0 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)) END AS r2,
+          avg(CASE WHEN p - y < 0 THEN exp(-(p - y) / 13.0) - 1 ELSE exp((p - y) / 10.0) - 1 END) AS nasa_score
+        FROM sc GROUP BY ALL)
+""") + """
+SELECT dataset, fold, round(rmse, 3) AS rmse, round(mae, 3) AS mae, round(r2, 3) AS r2, round(nasa_score, 3) AS nasa_score FROM per
+UNION ALL
+SELECT dataset, -1, round(avg(rmse), 3), round(avg(mae), 3), round(avg(r2), 3), round(avg(nasa_score), 3) FROM per GROUP BY dataset""")
+def baseline_cross_validation(spark, sf):
+    """M1/X4 data path with an exact oracle: 5 engine folds (G1); for every
+    fold the cycle-bucket mean-RUL model is refit on the other folds (the
+    fit rows are replicated once per fold they train, k - 1 = 4 times), the
+    fold's engines are scored at 0.8 of their life, metrics per fold and
+    their unweighted mean (fold -1)."""
+    from cyclewise.operators.windows import group_kfold
+    train = with_rul(fleet(spark, sf, "lineitem")).filter("split = 'train'")
+    folds = group_kfold(train, 5).select("dataset", "engine_id", "fold")
+    lf = train.join(folds, ["dataset", "engine_id"])
+    others = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k != F.col("fold"))
+    fit = lf.select("dataset", F.explode(others).alias("fold"), F.floor(F.col("cycle") / BUCKET).alias("bucket"), "rul")
+    gm = fit.groupBy("dataset", "fold").agg(F.avg("rul").alias("g"))
+    bm = fit.groupBy("dataset", "fold", "bucket").agg(F.avg("rul").alias("pb"))
+    ends = truncation_ends(lf, (0.8,)).withColumnRenamed("end_cycle", "cycle")
+    pts = (lf.join(ends, ["dataset", "engine_id", "cycle"])
+           .select("dataset", "engine_id", "fold", F.floor(F.col("cycle") / BUCKET).alias("bucket"),
+                   F.col("rul").cast("double").alias("y")))
+    sc = (pts.join(F.broadcast(gm), ["dataset", "fold"]).join(bm, ["dataset", "fold", "bucket"], "left")
+          .select("dataset", "fold", "y", clip_prediction(F.coalesce("pb", "g")).alias("p")))
+    per = X.regression_metrics(sc, ["dataset", "fold"], digits=None).drop("n")
+    mean = X.cv_summary(per, ["dataset"]).withColumn("fold", F.lit(-1))
+    per = per.select("dataset", "fold", *[F.round(c, 3).alias(c) for c in ("rmse", "mae", "r2", "nasa_score")])
+    return per.unionByName(mean.select("dataset", F.col("fold").cast("int").alias("fold"), "rmse", "mae", "r2", "nasa_score"))
