@@ -47,6 +47,11 @@ def engine_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def engine_count(staged: DataFrame, engine: str = "engine_id") -> int:
+    """K1: number of engines (batches) the replay will deliver."""
+    return staged.select(engine).distinct().count()
+
+
 def stream_detect(stream: DataFrame, ref, thresholds: DataFrame, positions: DataFrame, sink: str,
                   require_both: bool = True, checkpoint: str | None = None, run_ts=None,
                   flags_sink: str | None = None, severities=tuple(D.SEVERITY_MULTIPLIERS)):
