@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cyclewise.llm.bpe import encode_digests
 from cyclewise.llm.mixing import mix_sources
 from cyclewise.llm.quality import classify_quality
+from cyclewise.llm.substring_dedup import dedup_digests
 from cyclewise.llm.token_counts import token_counts
 from cyclewise.llm.token_files import token_file_digests
 from cyclewise.sources.tables import table
@@ -32,6 +33,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
