@@ -21,11 +21,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise.llm.common import (U64, batch_of, byte_column, documents, mix64, new_word_memo, signed, slices,
+from cyclewise.llm.common import (NO_ID, U64, batch_of, byte_column, documents, mix64, new_word_memo, signed, slices,
                                   staged, word_hashes)
 
 WINDOW = 50
@@ -190,6 +191,15 @@ KEPT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_rem
                         ("kept", pa.string()), ("kept_sha256", pa.string())])
 
 
+def kept_words(words: list[bytes], spans) -> list[bytes]:
+    """``words`` without those in any of the spans (a, b)."""
+    kept, at = [], 0
+    for a, b in sorted((s["a"], s["b"]) for s in ([] if spans is None else spans)):
+        kept += words[at:a]
+        at = max(at, b)
+    return kept + words[at:]
+
+
 def _kept(docs: DataFrame, window: int, shingle: int, digest: bool) -> DataFrame:
     ranges = repeated_ranges(docs, window, shingle)
     arrow = pa.schema([f for f in KEPT_ARROW if f.name != ("kept" if digest else "kept_sha256")])
@@ -200,11 +210,7 @@ def _kept(docs: DataFrame, window: int, shingle: int, digest: bool) -> DataFrame
             for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), byte_column(batch),
                                            batch.column("ranges").to_pylist()):
                 words = (text or b"").split()
-                kept, at = [], 0
-                for s in sorted(spans or [], key=lambda s: (s["a"], s["b"])):
-                    kept += words[at:s["a"]]
-                    at = max(at, s["b"])
-                kept += words[at:]
+                kept = kept_words(words, spans)
                 joined = b" ".join(kept)
                 for k, v in zip(out, (doc_id, len(words), len(words) - len(kept),
                                       hashlib.sha256(joined).hexdigest() if digest else joined.decode())):
@@ -228,6 +234,26 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, shingle: int = SHING
     return _kept(documents(docs, id_col, text_col), window, shingle, False)
 
 
+def kept_texts(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated passages cut from the text. Texts that lose no
+    word stay as they are; rows that lose every word go; rows without words
+    stay."""
+    ranges = repeated_ranges(documents(docs, id_col, text_col), window, shingle)
+    keyed = docs.withColumns({"_sid": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)),
+                              "_h": F.xxhash64(F.col(text_col).cast("string"))})
+    ranges = ranges.select(F.col("sid").alias("_sid"), F.col("h").alias("_h"), F.col("ranges").alias("_ranges"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None or not len(s) else b" ".join(kept_words((t or "").encode().split(), s)).decode()
+                          for t, s in zip(texts, spans)], dtype=object)
+
+    hit = keyed.join(ranges, ["_sid", "_h"], "left")
+    out = hit.withColumn(text_col, cut(F.col(text_col).cast("string"), F.col("_ranges")))
+    return out.filter(F.col("_ranges").isNull() | (F.col(text_col) != "")).select(*docs.columns)
+
+
 def dedup_digests(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """As ``dedup_substrings``, with the SHA-256 of the kept words."""
