@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclewise.llm.bpe import encode_digests
+from cyclewise.llm.fingerprints import fingerprint_edits
+from cyclewise.llm.jaccard_join import jaccard_components
 from cyclewise.llm.mixing import mix_sources
 from cyclewise.llm.quality import classify_quality
 from cyclewise.llm.substring_dedup import dedup_digests
 from cyclewise.llm.token_counts import token_counts
 from cyclewise.llm.token_files import token_file_digests
+from cyclewise.llm.topk import top_k
+from cyclewise.llm.url_filter import filter_urls
 from cyclewise.sources.tables import table
 
 QUERIES = {}
@@ -43,6 +47,30 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
