@@ -127,7 +127,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 names=["set", "shingles"])
 
     one = docs.select("sid", "h", "text").join(wanted, ["sid", "h"])
-    return one.select("set", "text").mapInArrow(run, "set long, shingles array<long>").dropDuplicates(["set"])
+    return one.select("set", "text").mapInArrow(run, "set long, shingles array<long>")
 
 
 # -- comparing ------------------------------------------------------------------
@@ -196,8 +196,10 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     size = matrix.select(F.col("set").alias("leader"), F.col("n_shingles").alias("leader_n")).distinct()
     star = staged(star.join(size, "leader").filter(sizes_fit(F.col("n_shingles"), F.col("leader_n"), percent))
                   .select("set", "leader"), "star")
-    wanted = firsts.join(matrix.select("set").distinct(), "set", "left_semi")
+    wanted = staged(firsts.join(matrix.select("set").distinct(), "set", "left_semi"), "sets-wanted")
     arrays = staged(shingles_of(docs, wanted, k), "shingles")
+    if arrays.count() > wanted.count():  # rows that repeat id and text
+        arrays = staged(arrays.dropDuplicates(["set"]), "shingles-once")
     led = arrays.select(F.col("set").alias("leader"), F.col("shingles").alias("other"))
     edges = staged(star.join(arrays, "set").join(led, "leader")
                    .filter(links(F.col("shingles"), F.col("other"), percent))
