@@ -8,15 +8,18 @@ in two rounds:
     part more than shingles can differ between two linked sets of such sizes,
     so linked sets agree in at least one whole part. The hash of a part is a
     token of the set. Sets that share a token follow the smallest set that has
-    it, and those that link with that leader form its group (groups of many
-    sets are dealt into bounded ones). The token-group matrix has a row for
+    it, and those that follow one leader form its group (groups of many sets
+    are dealt into bounded ones); sets that link with a leader are joined. The token-group matrix has a row for
     every token and group that holds it, and a group stores the union of its
     sets' shingles.
 
-2.  Queries. A set asks every group of another component with which it shares
-    a token. Its overlap with the group's union bounds its overlap with each
-    set of the group; only groups whose bound reaches the overlap that a link
-    needs are opened, and their sets compared one by one.
+2.  Queries. Two sets of different components that share a token are not both
+    in the largest component that has it, so one of them asks: it counts its
+    tokens in every group that holds one. Linked sets share at least as many
+    tokens as parts are left when every differing shingle spoils one, and the
+    overlap with the group's union bounds that with each set of the group;
+    only groups that reach both are opened, and their sets of other components
+    compared one by one.
 
 Sets that one component already joins are never compared, so copies cost one
 comparison each and not one for each pair.
@@ -79,9 +82,9 @@ def tokens_of(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-SETS = "sid long, h long, n_shingles long, ka long, kb long, tokens array<long>"
-SETS_ARROW = pa.schema([("sid", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("ka", pa.int64()),
-                        ("kb", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+SETS = "sid long, h long, n_shingles long, parts long, ka long, kb long, tokens array<long>"
+SETS_ARROW = pa.schema([("sid", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("parts", pa.int64()),
+                        ("ka", pa.int64()), ("kb", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
 
 def shingle_sets(batch: pa.RecordBatch, memo, k: int) -> list[np.ndarray]:
@@ -106,6 +109,7 @@ def sets_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
             flat = signed(np.concatenate([*tokens, np.zeros(0, U64)]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("sid"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([parts_for(class_top(size_class(len(s))), percent) for s in sets], pa.int64()),
                  pa.array(signed(np.array([a for a, _ in key], dtype=U64))),
                  pa.array(signed(np.array([b for _, b in key], dtype=U64))),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=SETS_ARROW)
@@ -181,12 +185,14 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     rows = rows.join(lowest, "sid").withColumn(
         "node", F.when((F.col("sid") < EXTRA) & (F.col("h") == F.col("h0")), F.col("sid")).otherwise(extra))
     # equal sets: the smallest number stands for all
-    first = rows.filter("n_shingles > 0").groupBy("ka", "kb", "n_shingles").agg(F.min("node").alias("first"))
+    rows = staged(rows, "rows")
+    first = staged(rows.filter("n_shingles > 0").groupBy("ka", "kb", "n_shingles").agg(F.min("node").alias("first")),
+                   "equal-sets")
     named = staged(rows.join(first, ["ka", "kb", "n_shingles"], "left")
                    .select("sid", "h", "n_shingles", "node", F.coalesce("first", "node").alias("set")), "sets-named")
     firsts = named.filter((F.col("set") == F.col("node")) & (F.col("n_shingles") > 0)).select("sid", "h", "set")
-    token = (sets.select("sid", "h", "n_shingles", "tokens").join(firsts, ["sid", "h"])
-             .select("set", "n_shingles", F.explode("tokens").alias("token")))
+    token = (sets.select("sid", "h", "n_shingles", "parts", "tokens").join(firsts, ["sid", "h"])
+             .select("set", "n_shingles", "parts", F.explode("tokens").alias("token")))
     shared = staged(token.groupBy("token").agg(F.min("set").alias("leader"), F.max("set").alias("last"))
                     .filter("leader < last").select("token", "leader"), "tokens-shared")
     matrix = staged(token.join(shared, "token"), "token-sets")
@@ -206,41 +212,56 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
                    .select(F.col("set").alias("a"), F.col("leader").alias("b")), "edges-star")
     comp = components(edges)
 
-    # round 2: sets against the groups of other components
-    placed = matrix.join(comp, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_tokens = placed.join(split.filter("lo < hi").select("token"), "token", "left_semi")
-    open_tokens = staged(open_tokens, "tokens-open")
-    members = open_tokens.select("set", "component", "n_shingles").distinct()
-    count = members.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    group = F.pmod(F.xxhash64("set"), F.greatest(F.lit(1), F.ceil(F.col("members") / GROUP_SETS)))
-    groups = staged(members.join(count, "component").select("set", "component", "n_shingles", group.alias("part")),
-                    "groups")
-    gkey = ["component", "part"]
-    union = (groups.join(arrays, "set").select(*gkey, "n_shingles", F.explode("shingles").alias("x"))
-             .groupBy(*gkey).agg(F.collect_set("x").alias("union"), F.min("n_shingles").alias("lo_n"),
-                                 F.max("n_shingles").alias("hi_n")))
-    token_group = open_tokens.select("token", "set").join(groups, "set").select("token", *gkey).distinct()
-    asks = (open_tokens.select("token", F.col("set").alias("q"), F.col("component").alias("q_component"),
-                               F.col("n_shingles").alias("q_n"))
-            .join(token_group, "token").filter(F.col("q_component") > F.col("component"))
-            .select("q", "q_n", *gkey).distinct())
-    query = arrays.select(F.col("set").alias("q"), F.col("shingles").alias("q_shingles"))
+    # round 2: the sets outside a token's largest component ask the groups that hold the token
+    follows = matrix.groupBy("set", "n_shingles", "parts").agg(F.min("leader").alias("family"))
+    follows = follows.join(comp, "set", "left").withColumn("component", F.coalesce("component", "set"))
+    weight = follows.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+    family = follows.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    part = F.pmod(F.xxhash64("set"), F.ceil(F.col("members") / GROUP_SETS))
+    placed = staged(follows.join(weight, "component").join(family, "family")
+                    .select("set", "n_shingles", "parts", "component", "weight", "family", part.alias("part")), "placed")
+    tokens = matrix.select("token", "set").join(placed, "set")
+    split = staged(tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                               F.max(F.struct("weight", "component")).alias("main"))
+                   .filter("lo < hi").select("token", F.col("main.component").alias("main")), "tokens-split")
+    tokens = staged(tokens.join(split, "token"), "tokens-open")
+    gkey = ["family", "part"]
+    members = placed.join(tokens.select("set").distinct(), "set", "left_semi")
+    groups = staged(members.join(arrays, "set").groupBy(*gkey).agg(
+        F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"),
+        F.min("n_shingles").alias("lo_n"), F.max("n_shingles").alias("hi_n"), F.min("component").alias("lo"),
+        F.max("component").alias("hi")), "groups")
+    outline = groups.select(*gkey, "lo_n", "hi_n", "lo", "hi")
+    asking = tokens.filter(F.col("component") != F.col("main")).select(
+        "token", F.col("set").alias("q"), F.col("component").alias("q_component"), F.col("n_shingles").alias("q_n"),
+        F.col("parts").alias("q_parts"))
+    q = ["q", "q_component", "q_n", "q_parts"]
+    asks = (asking.join(tokens.select("token", *gkey).distinct(), "token").groupBy(*q, *gkey)
+            .agg(F.count_distinct("token").alias("shared")))
+    # linked sets differ in at most `apart` shingles, each of which spoils one part
+    largest = F.least(F.col("hi_n"), F.floor(F.col("q_n") * 100 / percent))
+    apart = F.floor((F.col("q_n") + largest) * (100 - percent) / (100 + percent))
     near = ((F.lit(100) * F.col("q_n") >= F.lit(percent) * F.col("lo_n"))
-            & (F.lit(100) * F.col("hi_n") >= F.lit(percent) * F.col("q_n")))
+            & (F.lit(100) * F.col("hi_n") >= F.lit(percent) * F.col("q_n"))
+            & (F.col("shared") >= F.col("q_parts") - apart)
+            & ((F.col("lo") != F.col("q_component")) | (F.col("hi") != F.col("q_component"))))
+    asks = staged(asks.join(outline, gkey).filter(near).select(*q, *gkey), "asks")
+    query = arrays.select(F.col("set").alias("q"), F.col("shingles").alias("q_shingles"))
     bound = F.lit(100) * F.size(F.array_intersect("q_shingles", "union")) >= F.lit(percent) * F.col("q_n")
-    opened = staged(asks.join(union, gkey).filter(near).join(query, "q").filter(bound).select("q", "q_n", *gkey),
-                    "groups-opened")
-    pairs = (opened.join(groups, gkey).filter(sizes_fit(F.col("q_n"), F.col("n_shingles"), percent))
-             .select("q", "set"))
-    more = (pairs.join(arrays, "set").join(query, "q").filter(links(F.col("shingles"), F.col("q_shingles"), percent))
+    opened = staged(asks.join(query, "q").join(groups.select(*gkey, "union"), gkey).filter(bound)
+                    .select("q", "q_n", "q_component", *gkey), "groups-opened")
+    pairs = (opened.join(placed.select("set", "component", "n_shingles", *gkey), gkey)
+             .filter((F.col("component") != F.col("q_component"))
+                     & sizes_fit(F.col("q_n"), F.col("n_shingles"), percent)).select("q", "set"))
+    more = (staged(pairs, "pairs").join(arrays, "set").join(query, "q")
+            .filter(links(F.col("shingles"), F.col("q_shingles"), percent))
             .select(F.col("q").alias("a"), F.col("set").alias("b")))
     more = staged(more, "edges-more")
     if not more.isEmpty():
         comp = components(edges.union(more))
     out = staged(named.join(comp, "set", "left")
                  .select("sid", "h", "n_shingles", F.coalesce("component", "set").alias("node")), "components")
-    smallest = out.groupBy("node").agg(F.min("sid").alias("component"))
+    smallest = staged(out.groupBy("node").agg(F.min("sid").alias("component")), "smallest")
     return out.join(smallest, "node").select("sid", "h", "n_shingles", "component")
 
 

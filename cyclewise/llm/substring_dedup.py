@@ -180,8 +180,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGL
     mixed = (marked.filter((F.col("sid") == F.col("first")) & (F.col("in_cell") > 1)).groupBy("sid", "h")
              .agg(F.collect_set(F.struct("start", "n")).alias("spans")))
     keys = staged(window_keys(docs, mixed, window), "windows")
-    firsts = (keys.groupBy("ka", "kb").agg(F.min("sid").alias("first"), F.max("sid").alias("last"))
-              .filter("first < last").select("ka", "kb", "first"))
+    # written first, so that the join below is one of two exchanges, which Spark splits where a key is frequent
+    firsts = staged(keys.groupBy("ka", "kb").agg(F.min("sid").alias("first"), F.max("sid").alias("last"))
+                    .filter("first < last").select("ka", "kb", "first"), "windows-first")
     single = (keys.join(firsts, ["ka", "kb"]).filter(F.col("sid") > F.col("first"))
               .select("sid", "h", F.col("pos").alias("a"), (F.col("pos") + window).alias("b")))
     return copies.unionByName(single).groupBy("sid", "h").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
