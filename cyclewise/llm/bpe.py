@@ -23,6 +23,10 @@ from pyspark.sql import DataFrame
 from cyclewise.llm.common import BatchMemo, Memo, batch_of, byte_column, documents, slices
 
 
+#: chunks whose result a worker keeps, some 400 bytes each
+MEMO_CHUNKS = 600_000
+
+
 class ForcedBoundaryBpe:
     """Encoder and decoder for a BPE vocabulary file of the tokenizers library
     that marks word ends by a suffix. The file's normaliser and splitter are
@@ -45,7 +49,7 @@ class ForcedBoundaryBpe:
         self.inner = {pair for t in self.vocab for s in [self.symbols(t)] for pair in zip(s, s[1:])}
         by_id = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.token = [by_id.get(i, "") for i in range(max(by_id) + 1)]
-        self.chunks = BatchMemo(self._chunks)
+        self.chunks = BatchMemo(self._chunks, MEMO_CHUNKS)
         self.word_ids = Memo(self._word)
         self.fragment_ids = Memo(self._fragment)
 

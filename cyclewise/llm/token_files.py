@@ -16,6 +16,7 @@ alone. A document of more than FRAME_TOKENS tokens takes several frames.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -41,6 +42,10 @@ CHECKSUM_FLAG = 0x80
 INDEX_MAGIC = 0x58444957
 FRAME_TOKENS = 1 << 20
 FILE_BYTES = 256 << 20
+#: chunks whose ids a worker keeps, some 200 bytes each
+MEMO_CHUNKS = 1_000_000
+#: blanks other than space and line feed
+OTHER_BLANK = re.compile(r"[^\S \n]")
 
 
 # -- encoding -----------------------------------------------------------------
@@ -65,7 +70,7 @@ class TextEncoder:
         for token, i in self.tok.get_vocab(with_added_tokens=False).items():
             self.opens[i] = token.startswith(space)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.chunks = BatchMemo(self._ids_of_chunks)
+        self.chunks = BatchMemo(self._ids_of_chunks, MEMO_CHUNKS)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -86,9 +91,14 @@ class TextEncoder:
                 out[k] = raw[a:b]
         return out
 
+    @staticmethod
+    def separable(text: str) -> bool:
+        """Whether every space stands alone between two non-blanks."""
+        return bool(text) and not (text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text
+                                   or "\n " in text or OTHER_BLANK.search(text))
+
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any([not c or c[0].isspace() or c[-1].isspace() for c in chunks]) else chunks
-               for chunks in (t.split(" ") for t in texts)]
+        cut = [t.split(" ") if self.separable(t) else None for t in texts]
         self.chunks.learn([c[1:] for c in cut if c])
         known = self.chunks.__getitem__
         return [self._ids(t) if c is None else self._ids(c[0]) + b"".join(map(known, c[1:]))
