@@ -228,6 +228,7 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     gkey = ["family", "part"]
     members = placed.join(tokens.select("set").distinct(), "set", "left_semi")
     groups = staged(members.join(arrays, "set").groupBy(*gkey).agg(
+        F.collect_list(F.struct("set", "component", "shingles")).alias("sets"),
         F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"),
         F.min("n_shingles").alias("lo_n"), F.max("n_shingles").alias("hi_n"), F.min("component").alias("lo"),
         F.max("component").alias("hi")), "groups")
@@ -248,14 +249,11 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     asks = staged(asks.join(outline, gkey).filter(near).select(*q, *gkey), "asks")
     query = arrays.select(F.col("set").alias("q"), F.col("shingles").alias("q_shingles"))
     bound = F.lit(100) * F.size(F.array_intersect("q_shingles", "union")) >= F.lit(percent) * F.col("q_n")
-    opened = staged(asks.join(query, "q").join(groups.select(*gkey, "union"), gkey).filter(bound)
-                    .select("q", "q_n", "q_component", *gkey), "groups-opened")
-    pairs = (opened.join(placed.select("set", "component", "n_shingles", *gkey), gkey)
-             .filter((F.col("component") != F.col("q_component"))
-                     & sizes_fit(F.col("q_n"), F.col("n_shingles"), percent)).select("q", "set"))
-    more = (staged(pairs, "pairs").join(arrays, "set").join(query, "q")
-            .filter(links(F.col("shingles"), F.col("q_shingles"), percent))
-            .select(F.col("q").alias("a"), F.col("set").alias("b")))
+    linked = F.filter("sets", lambda m: (m["component"] != F.col("q_component"))
+                      & sizes_fit(F.col("q_n"), F.size(m["shingles"]), percent)
+                      & links(m["shingles"], F.col("q_shingles"), percent))
+    opened = asks.join(query, "q").join(groups.select(*gkey, "union", "sets"), gkey).filter(bound)
+    more = opened.select(F.col("q").alias("a"), F.explode(F.transform(linked, lambda m: m["set"])).alias("b"))
     more = staged(more, "edges-more")
     if not more.isEmpty():
         comp = components(edges.union(more))
