@@ -178,7 +178,7 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     """(sid, h, n_shingles, component) of every different row of ``docs``;
     component is the smallest sid of the component."""
     sets = staged(sets_of(docs, k, percent), "sets")
-    rows = sets.select("sid", "h", "n_shingles", "ka", "kb").distinct()
+    rows = sets.select("sid", "h", "n_shingles", "parts", "ka", "kb").distinct()
     # a number for each row: its id, but for null and repeated ids one above all ids
     lowest = rows.groupBy("sid").agg(F.min("h").alias("h0"))
     extra = F.lit(EXTRA) + F.xxhash64("sid", "h").bitwiseAND(F.lit(EXTRA - 1))
@@ -189,19 +189,22 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     first = staged(rows.filter("n_shingles > 0").groupBy("ka", "kb", "n_shingles").agg(F.min("node").alias("first")),
                    "equal-sets")
     named = staged(rows.join(first, ["ka", "kb", "n_shingles"], "left")
-                   .select("sid", "h", "n_shingles", "node", F.coalesce("first", "node").alias("set")), "sets-named")
-    firsts = named.filter((F.col("set") == F.col("node")) & (F.col("n_shingles") > 0)).select("sid", "h", "set")
-    token = (sets.select("sid", "h", "n_shingles", "parts", "tokens").join(firsts, ["sid", "h"])
-             .select("set", "n_shingles", "parts", F.explode("tokens").alias("token")))
+                   .select("sid", "h", "n_shingles", "parts", "node", F.coalesce("first", "node").alias("set")),
+                   "sets-named")
+    firsts = named.filter((F.col("set") == F.col("node")) & (F.col("n_shingles") > 0))
+    sizes = firsts.select("set", "n_shingles", "parts")
+    firsts = firsts.select("sid", "h", "set")
+    token = (sets.select("sid", "h", "tokens").join(firsts, ["sid", "h"])
+             .select("set", F.explode("tokens").alias("token")))
     shared = staged(token.groupBy("token").agg(F.min("set").alias("leader"), F.max("set").alias("last"))
                     .filter("leader < last").select("token", "leader"), "tokens-shared")
     matrix = staged(token.join(shared, "token"), "token-sets")
 
     # round 1: every set against the leaders it follows
-    star = matrix.filter(F.col("set") != F.col("leader")).select("set", "leader", "n_shingles").distinct()
-    size = matrix.select(F.col("set").alias("leader"), F.col("n_shingles").alias("leader_n")).distinct()
-    star = staged(star.join(size, "leader").filter(sizes_fit(F.col("n_shingles"), F.col("leader_n"), percent))
-                  .select("set", "leader"), "star")
+    star = staged(matrix.filter(F.col("set") != F.col("leader")).select("set", "leader").distinct(), "star-all")
+    size = sizes.select(F.col("set").alias("leader"), F.col("n_shingles").alias("leader_n"))
+    star = staged(star.join(sizes, "set").join(size, "leader")
+                  .filter(sizes_fit(F.col("n_shingles"), F.col("leader_n"), percent)).select("set", "leader"), "star")
     wanted = staged(firsts.join(matrix.select("set").distinct(), "set", "left_semi"), "sets-wanted")
     arrays = staged(shingles_of(docs, wanted, k), "shingles")
     if arrays.count() > wanted.count():  # rows that repeat id and text
@@ -213,7 +216,7 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     comp = components(edges)
 
     # round 2: the sets outside a token's largest component ask the groups that hold the token
-    follows = matrix.groupBy("set", "n_shingles", "parts").agg(F.min("leader").alias("family"))
+    follows = staged(matrix.groupBy("set").agg(F.min("leader").alias("family")), "families").join(sizes, "set")
     follows = follows.join(comp, "set", "left").withColumn("component", F.coalesce("component", "set"))
     weight = follows.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
     family = follows.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
