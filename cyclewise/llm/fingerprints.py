@@ -30,7 +30,7 @@ def sketch(text: Column, k: int = SHINGLE, scale: int = SCALE) -> Column:
         n = F.size(h)
         runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))),
                            lambda i: F.xxhash64(*[F.get(h, i + (j - 1)) for j in range(k)]))
-        return F.when(n > 0, F.filter(runs, lambda x: x < F.lit(low + width))).otherwise(
+        return F.when(n > 0, F.filter(runs, lambda x: x <= F.lit(low + width - 1))).otherwise(
             F.array().cast("array<long>"))
 
     # one pass over the words, kept for the several uses of the array
