@@ -107,7 +107,7 @@ def fit_rules(rows: DataFrame, features: list[str], label: str = "label", trees:
         return RuleModel((), math.log(p / (1 - p)))
     data = VectorAssembler(inputCols=features, outputCol="x").transform(rows)
     forest = RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed,
-                                    featureSubsetStrategy="sqrt", minInstancesPerNode=10, maxBins=32)
+                                    featureSubsetStrategy="sqrt", minInstancesPerNode=2, maxBins=32)
     rules = tree_rules(forest.fit(data), features)
     if not rules:
         return RuleModel((), 0.0)
