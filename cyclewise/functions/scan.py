@@ -103,7 +103,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     bounds = piece_bounds(marked.filter(F.col("_hot")), sort_cols, n)
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(sort_cols)])
     pid = F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise(count_le_sorted(bounds, key, max_len=n + 1))
-    base = marked.withColumn("_w", w).withColumn("_pid", pid).drop("_hot")
+    # dealt by piece too: an earlier partitioning by the keys alone would do for the window below
+    base = marked.withColumn("_w", w).withColumn("_pid", pid).drop("_hot").repartition(*keys, "_pid")
     local = Window.partitionBy(*keys, "_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     scanned = base.withColumn("_local", F.sum("_w").over(local))
     totals = base.filter(F.col("_pid") >= 0).groupBy(*keys, "_pid").agg(F.sum("_w").alias("_tot"))
@@ -114,10 +115,15 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
             .drop("_w", "_pid", "_local", "_off"))
 
 
-def chunk_frames(df: DataFrame, seq_col: str, halo: int, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+def chunk_frames(df: DataFrame, seq_col: str, halo: int, chunk: int = DEFAULT_CHUNK,
+                 keys: Sequence[str] = ("dataset", "engine_id")) -> DataFrame:
     """Assign ``_chunk`` from a dense 1-based sequence and duplicate the last
     ``halo`` rows of every chunk into the next one (``_halo`` = True there).
-    Run windows over ``partitionBy(keys + ['_chunk'])`` and drop halo rows."""
+    Run windows over ``partitionBy(keys + ['_chunk'])`` and drop halo rows.
+
+    The rows are dealt anew by (keys, _chunk): after a join on the keys alone
+    the data would count as partitioned well enough for those windows, and a
+    hot key would stay in one task whatever its chunks."""
     if halo >= chunk:
         raise ValueError("halo must be smaller than the chunk size")
     c = F.floor((F.col(seq_col) - 1) / F.lit(chunk)).cast("long")
@@ -126,7 +132,7 @@ def chunk_frames(df: DataFrame, seq_col: str, halo: int, chunk: int = DEFAULT_CH
     spill = F.struct((c + 1).alias("c"), F.lit(True).alias("h"))
     exploded = df.withColumn("_ch", F.explode(F.when(tail, F.array(home, spill)).otherwise(F.array(home))))
     return (exploded.withColumn("_chunk", F.col("_ch.c")).withColumn("_halo", F.col("_ch.h"))
-            .drop("_ch"))
+            .drop("_ch").repartition(*keys, "_chunk"))
 
 
 def drop_halo(df: DataFrame) -> DataFrame:

@@ -362,10 +362,9 @@ def load_reference(spark, path: str):
 
 
 def reference_or_fit(spark, path: str, ref_long: DataFrame):
-    """Auto-load the reference at ``path`` if it exists, else fit and save it."""
-    try:
-        return load_reference(spark, path)
-    except Exception:  # noqa: BLE001 - missing path
-        ref = reference_model(ref_long)
-        save_reference(ref, path)
-        return load_reference(spark, path)
+    """Auto-load the reference at ``path`` if it exists, else fit and save it.
+    A stored reference that cannot be read is an error and is left alone."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        save_reference(reference_model(ref_long), path)
+    return load_reference(spark, path)

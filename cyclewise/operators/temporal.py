@@ -26,7 +26,7 @@ def add_temporal(df: DataFrame, sensors: Sequence[str], window: int = 5, second:
     ``cycle`` must be dense 1..n per engine (the fleet views guarantee it).
     """
     halo = max(window - 1, 2 if second else 1)
-    c = chunk_frames(df, cycle, halo, chunk)
+    c = chunk_frames(df, cycle, halo, chunk, keys)
     w = Window.partitionBy(*keys, "_chunk").orderBy(cycle)
     roll = w.rowsBetween(-(window - 1), 0)
     cols = []

@@ -33,7 +33,7 @@ def sliding_windows(df: DataFrame, features: Sequence[str], w: int = 50, step: i
     """W1 + W2: (keys..., end_cycle, y, x ARRAY<ARRAY<DOUBLE>>) with x of
     w time steps; an engine shorter than w gives one window, zeros in front."""
     lengths = df.groupBy(*keys).agg(F.max(cycle).alias("_n"))
-    c = chunk_frames(df.join(lengths, list(keys)), cycle, w - 1, chunk)
+    c = chunk_frames(df.join(lengths, list(keys)), cycle, w - 1, chunk, keys)
     frame = Window.partitionBy(*keys, "_chunk").orderBy(cycle).rowsBetween(-(w - 1), 0)
     row = F.array(*[F.col(f).cast("double") for f in features])
     x = c.withColumn("x", F.collect_list(row).over(frame))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 
 DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -37,20 +38,37 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+#: scratch folder of each local application that names none
+_SCRATCH: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session leaves it unset (tests, local runs) do we pick a
-    scratch folder of our own and register it.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not path:
-        path = tempfile.mkdtemp(prefix="cyclewise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    Only a local session may leave it unset (tests, local runs); it gets a
+    scratch folder of its own. On a cluster that is an error, because the
+    executors do not share the driver's disk."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = tempfile.mkdtemp(prefix="cyclewise-ckpt-")
+        spark.sparkContext.setCheckpointDir(_SCRATCH[app])
+    return _SCRATCH[app]
+
+
+def _storable(kind: T.DataType) -> bool:
+    """Whether Parquet holds the type."""
+    if isinstance(kind, T.StructType):
+        return all(_storable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _storable(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _storable(kind.keyType) and _storable(kind.valueType)
+    return not isinstance(kind, (T.NullType, T.CalendarIntervalType))
 
 
 def stage(df):
@@ -58,13 +76,15 @@ def stage(df):
     checkpoint folder (never localCheckpoint). Cuts the lineage so later
     branches neither re-run nor re-plan the upstream, a lost executor only
     re-reads files, and readers get column pruning and filter pushdown.
-    Types Parquet cannot hold fall back to a reliable checkpoint."""
+    Types Parquet cannot hold go to a reliable ``checkpoint()``."""
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "stage-" + uuid.uuid4().hex)
-    try:
-        df.write.parquet(path)
-    except Exception:  # noqa: BLE001 - e.g. NullType / interval columns
+    folder = checkpoint_dir(spark)
+    if not _storable(df.schema):
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(folder)
         return df.checkpoint(eager=True)
+    path = os.path.join(folder, "stage-" + uuid.uuid4().hex)
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from cyclewise.operators import windows as W
 
@@ -73,3 +74,28 @@ def test_sliding_windows_chunked_equal_unchunked(spark):
     a = {(r.engine_id, r.end_cycle): r.x for r in W.sliding_windows(df, ["sensor_1"], 50, 1, chunk=60).collect()}
     b = {(r.engine_id, r.end_cycle): r.x for r in W.sliding_windows(df, ["sensor_1"], 50, 1).collect()}
     assert a == b and len(a) == 81 + 1 + 12
+
+
+def test_hot_engine_is_split_after_a_keyed_join(spark):
+    """Chunks of one engine lie in several tasks even where a join has dealt the rows by engine."""
+    from cyclewise.functions.scan import chunk_frames
+    from cyclewise.operators.temporal import add_temporal
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                          "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(1, 401).selectExpr("'d' AS dataset", "7 AS engine_id", "cast(id AS int) AS cycle",
+                                            "cast(id % 13 AS double) AS s1")
+        n = df.groupBy("dataset", "engine_id").agg(F.max("cycle").alias("n"))
+        joined = df.join(n, ["dataset", "engine_id"])
+        tasks = chunk_frames(joined, "cycle", 4, 20).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 1
+        feats = add_temporal(joined, ["s1"], chunk=20)
+        assert feats.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        plain = add_temporal(joined, ["s1"], chunk=10_000)
+        cols = ["cycle", "s1_diff1", "s1_roll_mean5", "s1_roll_std5"]
+        assert sorted(map(tuple, feats.select(cols).collect())) == sorted(map(tuple, plain.select(cols).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
