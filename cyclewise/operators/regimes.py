@@ -154,7 +154,7 @@ def apply_regime_scalers(df: DataFrame, params: DataFrame, sensors: Sequence[str
     if check:
         bad = [r[regime] for r in unseen_regimes(df, params, regime).collect()]
         if bad:
-            raise ValueError(f"Unseen operating regimes encountered: {sorted(bad, key=str)}")
+            raise ValueError(f"no scaler was fitted for the regimes {sorted(bad, key=str)}")
     wide = params.groupBy("dataset", regime).agg(
         *[F.max(F.when(F.col("sensor") == s, F.struct("mean", "std"))).alias(f"_p_{s}") for s in sensors])
     j = df.join(F.broadcast(wide), ["dataset", regime], "left")

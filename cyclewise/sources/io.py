@@ -74,7 +74,7 @@ def assert_rul_alignment(test: DataFrame, truth: DataFrame) -> None:
     bad = check_rul_alignment(test, truth).filter(~F.col("aligned")).collect()
     if bad:
         b = bad[0]
-        raise ValueError(f"RUL rows ({b.rul_rows}) do not match test engines ({b.engines}) for {b.dataset}.")
+        raise ValueError(f"{b.dataset}: {b.engines} test engines, but {b.rul_rows} truth rows")
 
 
 def write_processed(df: DataFrame, path: str) -> None:

@@ -15,9 +15,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ def engine_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
     """K1: replay the staged files as a stream; error on missing key columns."""
     for c in ("engine_id", "cycle"):
         if c not in schema.fieldNames():
-            raise ValueError("Stream data must contain engine_id and cycle columns")
+            raise ValueError(f"the stream has no column {c}")
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
@@ -88,51 +90,76 @@ def stream_detect(stream: DataFrame, ref, thresholds: DataFrame, positions: Data
 
 GATE_OUT = ("dataset string, severity string, batch_index long, drifted_sensor_count long, drift_detected boolean, "
             "consecutive_drift_batches long, retraining_episode_active boolean, action string")
-GATE_STATE = "next long, count long, stable long, triggered boolean, pending string"
+GATE_STATE = "done long, last_stable long, last_drift long, fired boolean, waiting string"
+#: batches that may wait for an earlier one before it counts as missing
+MAX_WAITING = 10_000
+
+
+def gate_rows(index: np.ndarray, count: np.ndarray, before: tuple[int, int, bool], required_batches: int,
+              required_sensors: int, stable_reset: int) -> tuple[pd.DataFrame, tuple[int, int, bool]]:
+    """Decisions for consecutive batches by the definition of ``drift_gate``.
+
+    ``before`` is (last stable index, last drifted index, whether the open
+    episode has fired) of all earlier batches. A run's length is the distance
+    to the last batch of the other kind. An episode ends where a stable run
+    has just the length ``stable_reset``; it fires at its first batch whose
+    drifted run has ``required_batches``."""
+    drift = count >= required_sensors
+    last_stable = np.maximum.accumulate(np.where(drift, before[0], index))
+    last_drift = np.maximum.accumulate(np.where(drift, index, before[1]))
+    run = index - last_stable
+    episode = np.cumsum(index - last_drift == stable_reset)
+    at = np.arange(len(index))
+    fires = np.full(int(episode[-1]) + 1, len(index))
+    ready = np.flatnonzero(run >= required_batches)
+    np.minimum.at(fires, episode[ready], ready)
+    if before[2]:
+        fires[0] = -1
+    here = fires[episode]
+    action = np.select([at == here, (at > here) & drift], ["trigger_retraining", "retraining_pending"],
+                       "continue_prediction")
+    out = pd.DataFrame({"batch_index": index, "drifted_sensor_count": count, "drift_detected": drift,
+                        "consecutive_drift_batches": run, "retraining_episode_active": at >= here, "action": action})
+    return out, (int(last_stable[-1]), int(last_drift[-1]), bool(at[-1] >= here[-1]))
+
+
+def _gate_fn(required_batches: int, required_sensors: int, stable_reset: int, max_waiting: int = MAX_WAITING):
+    names = [c.split()[0] for c in GATE_OUT.split(", ")]
 
-
-def _gate_fn(required_batches: int, required_sensors: int, stable_reset: int):
     def fn(key, pdfs, state):
-        if state.exists:
-            nxt, count, stable, triggered, pending = state.get
-        else:
-            nxt, count, stable, triggered, pending = 0, 0, 0, False, ""
-        rows = {}
-        if pending:
-            for part in pending.split(";"):
-                i, c = part.split(":")
-                rows[int(i)] = int(c)
+        done, *before, waiting = state.get if state.exists else (-1, -1, -1, False, "{}")
+        known = {int(i): c for i, c in json.loads(waiting).items()}
         for pdf in pdfs:
-            for i, c in zip(pdf["batch_index"], pdf["drifted_sensor_count"]):
-                rows[int(i)] = int(c)
-        out = []
-        while nxt in rows:
-            c = rows.pop(nxt)
-            d = c >= required_sensors
-            count = count + 1 if d else 0
-            stable = 0 if d else stable + 1
-            if triggered and stable >= stable_reset:
-                triggered, count = False, 0
-            trig = count >= required_batches and not triggered
-            if trig:
-                triggered = True
-            action = ("trigger_retraining" if trig else
-                      "retraining_pending" if triggered and d else "continue_prediction")
-            out.append((key[0], key[1], nxt, c, d, count, triggered, action))
-            nxt += 1
-        left = ";".join(f"{i}:{c}" for i, c in sorted(rows.items()))
-        state.update((nxt, count, stable, triggered, left))
-        yield pd.DataFrame(out, columns=["dataset", "severity", "batch_index", "drifted_sensor_count",
-                                         "drift_detected", "consecutive_drift_batches",
-                                         "retraining_episode_active", "action"])
+            known |= dict(zip(pdf["batch_index"].astype(int).tolist(), pdf["drifted_sensor_count"].astype(int).tolist()))
+        known = {i: c for i, c in known.items() if i > done}
+        ready, at = [], done + 1
+        while known:
+            if at in known:
+                ready.append((at, known.pop(at), False))
+            elif len(known) > max_waiting:  # the batch is missing: as a skipped one, its count left null
+                ready.append((at, 0, True))
+            else:
+                break
+            at += 1
+        out = pd.DataFrame(columns=names)
+        if ready:
+            index, count, missing = (np.array(x) for x in zip(*ready))
+            out, before = gate_rows(index, count, tuple(before), required_batches, required_sensors, stable_reset)
+            out["drifted_sensor_count"] = out["drifted_sensor_count"].astype("Int64").mask(missing)
+            out = out.assign(dataset=key[0], severity=key[1])[names]
+        state.update((at - 1, *before, json.dumps(known)))
+        yield out
     return fn
 
 
 def stream_gate(flags_stream: DataFrame, required_batches: int = 3, required_sensors: int = 3,
-                stable_reset: int = 2) -> DataFrame:
-    """K3: the gate as streaming state, one tiny row per batch; equals D9."""
+                stable_reset: int = 2, max_waiting: int = MAX_WAITING) -> DataFrame:
+    """K3: the gate as streaming state, one tiny row per batch; equals D9.
+    Batches may come out of order; at most ``max_waiting`` of a gate wait for
+    an earlier one, which then is recorded with a null sensor count and counts
+    as a skipped batch."""
     return flags_stream.groupBy("dataset", "severity").applyInPandasWithState(
-        _gate_fn(required_batches, required_sensors, stable_reset), GATE_OUT, GATE_STATE, "append",
+        _gate_fn(required_batches, required_sensors, stable_reset, max_waiting), GATE_OUT, GATE_STATE, "append",
         GroupStateTimeout.NoTimeout)
 
 

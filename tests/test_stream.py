@@ -5,7 +5,7 @@ import random
 import pandas as pd
 
 from cyclewise.streaming.engine_stream import _gate_fn
-from tests.test_gate import machine
+from tests.test_gate import CASES
 
 
 class FakeState:
@@ -20,21 +20,31 @@ class FakeState:
         self.exists, self._v = True, v
 
 
+def feed(fn, state, counts, order, size):
+    out = []
+    for at in range(0, len(order), size):
+        part = order[at:at + size]
+        pdf = pd.DataFrame({"batch_index": part, "drifted_sensor_count": [counts[i] for i in part]})
+        for res in fn(("d", "normal"), iter([pdf]), state):
+            out.extend(res.itertuples(index=False))
+    return out
+
+
 def test_out_of_order_microbatches():
     rnd = random.Random(4)
-    counts = [rnd.choice([0, 1, 3, 4]) for _ in range(40)]
-    idx = list(range(40))
-    rnd.shuffle(idx)
-    chunks = [idx[i:i + 7] for i in range(0, 40, 7)]
-    fn, st, out = _gate_fn(3, 3, 2), FakeState(), []
-    for ch in chunks:
-        pdf = pd.DataFrame({"batch_index": ch, "drifted_sensor_count": [counts[i] for i in ch]})
-        for res in fn(("d", "normal"), iter([pdf]), st):
-            out.extend(res.itertuples(index=False))
-    assert [r.batch_index for r in out] == list(range(40))
-    exp = machine(counts)
-    for r, (d, c, trig, action) in zip(out, exp):
-        assert (r.drift_detected, r.consecutive_drift_batches, r.retraining_episode_active, r.action) == (d, c, trig, action)
+    for counts, want in CASES.values():
+        order = list(range(len(counts)))
+        rnd.shuffle(order)
+        out = feed(_gate_fn(3, 3, 2), FakeState(), counts, order, 2)
+        assert [r.batch_index for r in out] == list(range(len(counts)))
+        assert [(r.consecutive_drift_batches, int(r.retraining_episode_active), r.action) for r in out] == want
+
+
+def test_a_missing_batch_does_not_stall_the_gate():
+    counts = [3, 3, None, 3, 3, 3, 3]
+    out = feed(_gate_fn(3, 3, 2, max_waiting=2), FakeState(), counts, [0, 1, 3, 4, 5, 6], 1)
+    assert [r.batch_index for r in out] == list(range(7))
+    assert pd.isna(out[2].drifted_sensor_count) and [r.action for r in out][5] == "trigger_retraining"
 
 
 def test_rollup_independent_of_session_time_zone(spark):
