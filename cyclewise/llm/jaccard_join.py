@@ -4,9 +4,9 @@ Documents are sets of word shingles; two link when their Jaccard likeness
 reaches a percentage. Equal sets are one set from the start. The rest is done
 in two rounds:
 
-1.  Groups. Each set is cut into parts by the hash of its shingles, with one
-    part more than shingles can differ between two linked sets of such sizes,
-    so linked sets agree in at least one whole part. The hash of a part is a
+1.  Groups. Each set is cut into parts by the hash of its shingles, into more
+    parts than shingles can differ between two linked sets of such sizes, so
+    linked sets agree in at least one whole part. The hash of a part is a
     token of the set. Sets that share a token follow the smallest set that has
     it, and those that follow one leader form its group (groups of many sets
     are dealt into bounded ones); sets that link with a leader are joined. The token-group matrix has a row for
@@ -27,6 +27,7 @@ comparison each and not one for each pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,26 +61,42 @@ def class_top(c: int) -> int:
     return int(CLASS_RATIO ** (c + 1))
 
 
-def parts_for(top: int, percent: int) -> int:
-    """One more than linked sets of at most ``top`` shingles can differ by:
+def most_apart(top: int, percent: int) -> int:
+    """How many shingles linked sets of at most ``top`` can differ by:
     100 I >= p U gives a + b - 2 I <= (100 - p)(a + b) / (100 + p)."""
-    return (100 - percent) * 2 * top // (100 + percent) + 1
+    return (100 - percent) * 2 * top // (100 + percent)
 
 
-def tokens_of(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Tokens of a set (its sorted shingle hashes): a hash of each part, for
-    the set's size class and, as the smaller partner, for the next one if a
-    linked set can lie in it."""
+def parts_for(top: int, percent: int) -> int:
+    """Parts of a class: more than linked sets can differ by, with room for
+    the parts that will be empty."""
+    d = most_apart(top, percent)
+    return d + 3 + math.ceil(1.5 * d * math.exp(-top / CLASS_RATIO / max(d, 1)))
+
+
+def tokens_of(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Tokens of a set (its sorted shingle hashes), and the least number of
+    filled parts in a class. A token is the hash of a filled part, for the
+    set's size class and, as the smaller partner, for the next one if a linked
+    set can lie in it.
+
+    Of two linked sets, as many parts as differing shingles can be spoilt and
+    the empty ones agree in nothing. While one of the sets has fewer empty
+    parts than the class has parts to spare, a filled part must agree; a set
+    with more empty ones gives a token for each of those too."""
     n = len(shingles)
-    out = []
+    out, filled = [], n
     for c in sorted({size_class(n), size_class(n * 100 // percent)}):
         parts = parts_for(class_top(c), percent)
         part = (mix64(shingles + U64(c)) % U64(parts)).astype(np.int64)
         sums = np.zeros(parts, dtype=U64)
         np.add.at(sums, part, mix64(shingles))
-        counts = np.bincount(part, minlength=parts).astype(U64)
-        out.append(mix64(mix64(sums + counts) + U64(c << 40) + np.arange(parts, dtype=U64)))
-    return np.concatenate(out)
+        counts = np.bincount(part, minlength=parts)
+        token = mix64(mix64(sums + counts.astype(U64)) + U64(c << 40) + np.arange(parts, dtype=U64))
+        empty = int((counts == 0).sum())
+        out.append(token if empty >= parts - most_apart(class_top(c), percent) else token[counts > 0])
+        filled = min(filled, parts - empty)
+    return np.concatenate(out), filled
 
 
 SETS = "sid long, h long, n_shingles long, parts long, ka long, kb long, tokens array<long>"
@@ -104,12 +121,13 @@ def sets_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
             sets = shingle_sets(batch, memo, k)
             key = [(0, 0) if not len(s) else (int(mix64(s).sum(dtype=U64)), int(mix64(s + U64(1)).sum(dtype=U64)))
                    for s in sets]
-            tokens = [tokens_of(s, percent) if len(s) else s for s in sets]
+            found = [tokens_of(s, percent) if len(s) else (s, 0) for s in sets]
+            tokens = [t for t, _ in found]
             offsets = np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)
             flat = signed(np.concatenate([*tokens, np.zeros(0, U64)]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("sid"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([parts_for(class_top(size_class(len(s))), percent) for s in sets], pa.int64()),
+                 pa.array([n for _, n in found], pa.int64()),
                  pa.array(signed(np.array([a for a, _ in key], dtype=U64))),
                  pa.array(signed(np.array([b for _, b in key], dtype=U64))),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=SETS_ARROW)
@@ -242,7 +260,7 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     q = ["q", "q_component", "q_n", "q_parts"]
     asks = (asking.join(tokens.select("token", *gkey).distinct(), "token").groupBy(*q, *gkey)
             .agg(F.count_distinct("token").alias("shared")))
-    # linked sets differ in at most `apart` shingles, each of which spoils one part
+    # linked sets differ in at most `apart` shingles, each of which spoils one filled part of the set
     largest = F.least(F.col("hi_n"), F.floor(F.col("q_n") * 100 / percent))
     apart = F.floor((F.col("q_n") + largest) * (100 - percent) / (100 + percent))
     near = ((F.lit(100) * F.col("q_n") >= F.lit(percent) * F.col("lo_n"))

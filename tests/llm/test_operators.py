@@ -199,12 +199,23 @@ def test_jaccard_components(spark, docs, table, empty, k, percent):
         assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-def test_parts_suffice():
-    for n in range(1, 400):
-        for m in range(n, n * 10 // 9 + 1):
-            c = jaccard_join.size_class(m)
-            assert c in {jaccard_join.size_class(n), jaccard_join.size_class(n * 100 // 90)}
-            assert jaccard_join.parts_for(jaccard_join.class_top(c), 90) > (n + m) * 10 // 190
+def test_linked_sets_share_a_token():
+    draw = np.random.default_rng(4)
+    for percent in (80, 90):
+        for _ in range(1500):
+            n = int(draw.integers(1, 120))
+            a = np.unique(draw.integers(0, 1 << 62, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[draw.random(len(a)) > 0.1],
+                                          draw.integers(0, 1 << 62, int(draw.integers(0, 1 + n // 8))).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if not len(b) or 100 * both < percent * (len(a) + len(b) - both):
+                continue
+            ta, fa = jaccard_join.tokens_of(a, percent)
+            tb, fb = jaccard_join.tokens_of(b, percent)
+            shared = len(np.intersect1d(ta, tb))
+            assert shared >= 1
+            apart = (len(a) + len(b)) * (100 - percent) // (100 + percent)
+            assert shared >= max(fa, fb) - apart
 
 
 def test_fingerprints(docs, table, empty):
