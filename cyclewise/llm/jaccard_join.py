@@ -219,10 +219,14 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     matrix = staged(token.join(shared, "token"), "token-sets")
 
     # round 1: every set against the leaders it follows
-    star = staged(matrix.filter(F.col("set") != F.col("leader")).select("set", "leader").distinct(), "star-all")
+    star = staged(matrix.filter(F.col("set") != F.col("leader")).groupBy("set", "leader")
+                  .agg(F.count_distinct("token").alias("led")), "star-all")
     size = sizes.select(F.col("set").alias("leader"), F.col("n_shingles").alias("leader_n"))
+    # only leaders that already share the tokens a link needs; round 2 finds every other link
+    spoilt = F.floor((F.col("n_shingles") + F.col("leader_n")) * (100 - percent) / (100 + percent))
     star = staged(star.join(sizes, "set").join(size, "leader")
-                  .filter(sizes_fit(F.col("n_shingles"), F.col("leader_n"), percent)).select("set", "leader"), "star")
+                  .filter(sizes_fit(F.col("n_shingles"), F.col("leader_n"), percent)
+                          & (F.col("led") >= F.col("parts") - spoilt)).select("set", "leader"), "star")
     wanted = staged(firsts.join(matrix.select("set").distinct(), "set", "left_semi"), "sets-wanted")
     arrays = staged(shingles_of(docs, wanted, k), "shingles")
     if arrays.count() > wanted.count():  # rows that repeat id and text
