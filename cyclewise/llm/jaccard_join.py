@@ -9,17 +9,19 @@ in two rounds:
     linked sets agree in at least one whole part. The hash of a part is a
     token of the set. Sets that share a token follow the smallest set that has
     it, and those that follow one leader form its group (groups of many sets
-    are dealt into bounded ones); sets that link with a leader are joined. The token-group matrix has a row for
-    every token and group that holds it, and a group stores the union of its
-    sets' shingles.
+    are dealt into bounded ones); sets that link with a leader are joined. The
+    token-group matrix has a row for every token and group that holds it: the
+    union of the tokens of the group's sets.
 
 2.  Queries. Two sets of different components that share a token are not both
     in the largest component that has it, so one of them asks: it counts its
     tokens in every group that holds one. Linked sets share at least as many
     tokens as parts are left when every differing shingle spoils one, and the
-    overlap with the group's union bounds that with each set of the group;
-    only groups that reach both are opened, and their sets of other components
-    compared one by one.
+    overlap with the group's tokens bounds that with each set of the group;
+    only groups that reach it are opened. In an open group the query is held
+    against each set's signature (one byte of each part's hash): parts that
+    differ are at most as many as differing shingles. What passes is compared
+    shingle by shingle.
 
 Sets that one component already joins are never compared, so copies cost one
 comparison each and not one for each pair.
@@ -35,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise.llm.common import (NO_ID, U64, byte_column, documents, mix64, new_word_memo, shingle_hashes, signed, slices,
-                                  staged, word_hashes)
+from cyclewise.llm.common import (NO_ID, U64, byte_column, documents, mix64, new_word_memo, release, shingle_hashes, signed,
+                                  slices, staged, word_hashes)
 
 SHINGLE, PERCENT = 3, 90
 #: row numbers from here on stand for rows without an id of their own
@@ -74,34 +76,47 @@ def parts_for(top: int, percent: int) -> int:
     return d + 3 + math.ceil(1.5 * d * math.exp(-top / CLASS_RATIO / max(d, 1)))
 
 
-def tokens_of(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """Tokens of a set (its sorted shingle hashes), and the least number of
-    filled parts in a class. A token is the hash of a filled part, for the
-    set's size class and, as the smaller partner, for the next one if a linked
-    set can lie in it.
-
-    Of two linked sets, as many parts as differing shingles can be spoilt and
-    the empty ones agree in nothing. While one of the sets has fewer empty
-    parts than the class has parts to spare, a filled part must agree; a set
-    with more empty ones gives a token for each of those too."""
-    n = len(shingles)
-    out, filled = [], n
-    for c in sorted({size_class(n), size_class(n * 100 // percent)}):
+def part_hashes(shingles: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(class, hash of each part, shingles in each part) of a set (its sorted
+    shingle hashes): for its size class and, as the smaller partner, for those
+    above that a linked set can lie in."""
+    n, out = len(shingles), []
+    for c in range(size_class(n), size_class(n * 100 // percent) + 1):
         parts = parts_for(class_top(c), percent)
         part = (mix64(shingles + U64(c)) % U64(parts)).astype(np.int64)
         sums = np.zeros(parts, dtype=U64)
         np.add.at(sums, part, mix64(shingles))
         counts = np.bincount(part, minlength=parts)
-        token = mix64(mix64(sums + counts.astype(U64)) + U64(c << 40) + np.arange(parts, dtype=U64))
+        out.append((c, mix64(mix64(sums + counts.astype(U64)) + U64(c << 40) + np.arange(parts, dtype=U64)), counts))
+    return out
+
+
+def tokens_of(shingles: np.ndarray, percent: int, hashes: list | None = None) -> tuple[np.ndarray, int]:
+    """Tokens of a set: the hashes of its filled parts; and the least number
+    of filled parts in a class.
+
+    Of two linked sets, as many parts as differing shingles can be spoilt and
+    the empty ones agree in nothing. While one of the sets has fewer empty
+    parts than the class has parts to spare, a filled part must agree; a set
+    with more empty ones gives a token for each of those too."""
+    out, filled = [], len(shingles)
+    for c, token, counts in hashes or part_hashes(shingles, percent):
         empty = int((counts == 0).sum())
-        out.append(token if empty >= parts - most_apart(class_top(c), percent) else token[counts > 0])
-        filled = min(filled, parts - empty)
+        out.append(token if empty >= len(counts) - most_apart(class_top(c), percent) else token[counts > 0])
+        filled = min(filled, len(counts) - empty)
     return np.concatenate(out), filled
 
 
-SETS = "sid long, h long, n_shingles long, parts long, ka long, kb long, tokens array<long>"
+def signatures_of(hashes: list) -> list[bytes]:
+    """A byte of the hash of every part, for each class of ``part_hashes``."""
+    return [(token & U64(255)).astype(np.uint8).tobytes() for _, token, _ in hashes]
+
+
+SETS = ("sid long, h long, n_shingles long, parts long, ka long, kb long, tokens array<long>, size_class int, "
+        "signatures array<binary>")
 SETS_ARROW = pa.schema([("sid", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("parts", pa.int64()),
-                        ("ka", pa.int64()), ("kb", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+                        ("ka", pa.int64()), ("kb", pa.int64()), ("tokens", pa.list_(pa.int64())),
+                        ("size_class", pa.int32()), ("signatures", pa.list_(pa.binary()))])
 
 
 def shingle_sets(batch: pa.RecordBatch, memo, k: int) -> list[np.ndarray]:
@@ -113,7 +128,7 @@ def shingle_sets(batch: pa.RecordBatch, memo, k: int) -> list[np.ndarray]:
 
 
 def sets_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Per document: the number of shingles, a 128-bit hash of the set and its tokens."""
+    """Per document: the number of shingles, a 128-bit hash of the set, its tokens and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = new_word_memo()
@@ -121,7 +136,8 @@ def sets_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
             sets = shingle_sets(batch, memo, k)
             key = [(0, 0) if not len(s) else (int(mix64(s).sum(dtype=U64)), int(mix64(s + U64(1)).sum(dtype=U64)))
                    for s in sets]
-            found = [tokens_of(s, percent) if len(s) else (s, 0) for s in sets]
+            hashes = [part_hashes(s, percent) if len(s) else [] for s in sets]
+            found = [tokens_of(s, percent, x) if len(s) else (s, 0) for s, x in zip(sets, hashes)]
             tokens = [t for t, _ in found]
             offsets = np.r_[0, np.cumsum([len(t) for t in tokens])].astype(np.int32)
             flat = signed(np.concatenate([*tokens, np.zeros(0, U64)]))
@@ -130,7 +146,9 @@ def sets_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
                  pa.array([n for _, n in found], pa.int64()),
                  pa.array(signed(np.array([a for a, _ in key], dtype=U64))),
                  pa.array(signed(np.array([b for _, b in key], dtype=U64))),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=SETS_ARROW)
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                 pa.array([size_class(len(s)) for s in sets], pa.int32()),
+                 pa.array([signatures_of(x) for x in hashes], pa.list_(pa.binary()))], schema=SETS_ARROW)
 
     return docs.select("sid", "h", "text").mapInArrow(run, SETS)
 
@@ -164,6 +182,45 @@ def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (F.lit(100) * a >= F.lit(percent) * b) & (F.lit(100) * b >= F.lit(percent) * a)
 
 
+def compared(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, k: int, percent: int, name: str) -> DataFrame:
+    """Those of the ``pairs`` (a, b) of sets that link, by their shingles."""
+    pairs = staged(pairs.distinct(), f"{name}-pairs")
+    named = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
+    wanted = staged(firsts.join(named, "set", "left_semi"), f"{name}-sets")
+    # rows that repeat id and text give the same shingles
+    arrays = staged(shingles_of(docs, wanted, k).dropDuplicates(["set"]), f"{name}-shingles")
+    one = arrays.select(F.col("set").alias("a"), F.col("shingles").alias("one"))
+    other = arrays.select(F.col("set").alias("b"), F.col("shingles").alias("other"))
+    out = staged(pairs.join(one, "a").join(other, "b").filter(links(F.col("one"), F.col("other"), percent))
+                 .select("a", "b"), name)
+    release(pairs, wanted, arrays)
+    return out
+
+
+def signatures_near(opened: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a query ``q`` and those of its ``others`` (set, size,
+    signature) that may link: parts differ by no more than shingles can.
+    ``own`` has the query's signature for each of them."""
+
+    def run(batches):
+        for batch in batches:
+            others = batch.column("others").flatten()
+            lengths = np.diff(batch.column("others").offsets.to_numpy())
+            if not len(others):
+                continue
+            q, q_n = (np.repeat(batch.column(c).to_numpy(), lengths) for c in ("q", "q_n"))
+            own, other = batch.column("own").flatten(), others.field("signature")
+            ends = np.cumsum([len(x) for x in own.to_pylist()])
+            apart = (np.frombuffer(b"".join(own.to_pylist()), np.uint8)
+                     != np.frombuffer(b"".join(other.to_pylist()), np.uint8))
+            differ = np.add.reduceat(apart.astype(np.int64), np.r_[0, ends[:-1]])
+            near = differ <= (q_n + others.field("n").to_numpy()) * (100 - percent) // (100 + percent)
+            yield pa.RecordBatch.from_arrays([pa.array(q[near]), others.field("set").filter(pa.array(near))],
+                                             names=["a", "b"])
+
+    return opened.select("q", "q_n", "own", "others").mapInArrow(run, "a long, b long")
+
+
 # -- connected components -------------------------------------------------------
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,6 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
         # settled when every set has one edge, to a set that has none
         settled = (small.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
                    and small.join(small.select(F.col("a").alias("b")), "b", "left_semi").isEmpty())
+        release(edges, large)
         edges = small
         if settled:
             return edges.select(F.col("a").alias("set"), F.col("b").alias("component"))
@@ -209,6 +267,7 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     named = staged(rows.join(first, ["ka", "kb", "n_shingles"], "left")
                    .select("sid", "h", "n_shingles", "parts", "node", F.coalesce("first", "node").alias("set")),
                    "sets-named")
+    release(rows, first)
     firsts = named.filter((F.col("set") == F.col("node")) & (F.col("n_shingles") > 0))
     sizes = firsts.select("set", "n_shingles", "parts")
     firsts = firsts.select("sid", "h", "set")
@@ -217,24 +276,22 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     shared = staged(token.groupBy("token").agg(F.min("set").alias("leader"), F.max("set").alias("last"))
                     .filter("leader < last").select("token", "leader"), "tokens-shared")
     matrix = staged(token.join(shared, "token"), "token-sets")
+    alike = sets.join(firsts.join(matrix.select("set").distinct(), "set", "left_semi"), ["sid", "h"])
+    alike = staged(alike.select("set", "size_class", "signatures").dropDuplicates(["set"]), "signatures")
+    release(sets, shared)
 
     # round 1: every set against the leaders it follows
-    star = staged(matrix.filter(F.col("set") != F.col("leader")).groupBy("set", "leader")
-                  .agg(F.count_distinct("token").alias("led")), "star-all")
+    pairs = staged(matrix.filter(F.col("set") != F.col("leader")).groupBy("set", "leader")
+                   .agg(F.count_distinct("token").alias("led")), "star-all")
     size = sizes.select(F.col("set").alias("leader"), F.col("n_shingles").alias("leader_n"))
     # only leaders that already share the tokens a link needs; round 2 finds every other link
     spoilt = F.floor((F.col("n_shingles") + F.col("leader_n")) * (100 - percent) / (100 + percent))
-    star = staged(star.join(sizes, "set").join(size, "leader")
+    star = staged(pairs.join(sizes, "set").join(size, "leader")
                   .filter(sizes_fit(F.col("n_shingles"), F.col("leader_n"), percent)
-                          & (F.col("led") >= F.col("parts") - spoilt)).select("set", "leader"), "star")
-    wanted = staged(firsts.join(matrix.select("set").distinct(), "set", "left_semi"), "sets-wanted")
-    arrays = staged(shingles_of(docs, wanted, k), "shingles")
-    if arrays.count() > wanted.count():  # rows that repeat id and text
-        arrays = staged(arrays.dropDuplicates(["set"]), "shingles-once")
-    led = arrays.select(F.col("set").alias("leader"), F.col("shingles").alias("other"))
-    edges = staged(star.join(arrays, "set").join(led, "leader")
-                   .filter(links(F.col("shingles"), F.col("other"), percent))
-                   .select(F.col("set").alias("a"), F.col("leader").alias("b")), "edges-star")
+                          & (F.col("led") >= F.col("parts") - spoilt)), "star")
+    release(pairs)
+    edges = compared(star.select(F.col("set").alias("a"), F.col("leader").alias("b")), docs, firsts, k, percent,
+                     "edges-star")
     comp = components(edges)
 
     # round 2: the sets outside a token's largest component ask the groups that hold the token
@@ -252,9 +309,8 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     tokens = staged(tokens.join(split, "token"), "tokens-open")
     gkey = ["family", "part"]
     members = placed.join(tokens.select("set").distinct(), "set", "left_semi")
-    groups = staged(members.join(arrays, "set").groupBy(*gkey).agg(
-        F.collect_list(F.struct("set", "component", "shingles")).alias("sets"),
-        F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("union"),
+    groups = staged(members.join(alike, "set").groupBy(*gkey).agg(
+        F.collect_list(F.struct("set", "component", "n_shingles", "size_class", "signatures")).alias("sets"),
         F.min("n_shingles").alias("lo_n"), F.max("n_shingles").alias("hi_n"), F.min("component").alias("lo"),
         F.max("component").alias("hi")), "groups")
     outline = groups.select(*gkey, "lo_n", "hi_n", "lo", "hi")
@@ -272,14 +328,21 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
             & (F.col("shared") >= F.col("q_parts") - apart)
             & ((F.col("lo") != F.col("q_component")) | (F.col("hi") != F.col("q_component"))))
     asks = staged(asks.join(outline, gkey).filter(near).select(*q, *gkey), "asks")
-    query = arrays.select(F.col("set").alias("q"), F.col("shingles").alias("q_shingles"))
-    bound = F.lit(100) * F.size(F.array_intersect("q_shingles", "union")) >= F.lit(percent) * F.col("q_n")
-    linked = F.filter("sets", lambda m: (m["component"] != F.col("q_component"))
-                      & sizes_fit(F.col("q_n"), F.size(m["shingles"]), percent)
-                      & links(m["shingles"], F.col("q_shingles"), percent))
-    opened = asks.join(query, "q").join(groups.select(*gkey, "union", "sets"), gkey).filter(bound)
-    more = opened.select(F.col("q").alias("a"), F.explode(F.transform(linked, lambda m: m["set"])).alias("b"))
-    more = staged(more, "edges-more")
+    release(matrix, split, tokens)
+    query = alike.select(F.col("set").alias("q"), F.col("size_class").alias("q_class"),
+                         F.col("signatures").alias("q_signatures"))
+    fits = F.filter("sets", lambda m: (m["component"] != F.col("q_component"))
+                    & sizes_fit(F.col("q_n"), m["n_shingles"], percent))
+    opened = asks.join(query, "q").join(groups.select(*gkey, "sets"), gkey).withColumn("sets", fits)
+    # the larger size class has a signature of both
+    top = lambda m: F.greatest(m["size_class"], F.col("q_class"))
+    opened = opened.filter(F.size("sets") > 0).select(
+        "q", "q_n", F.transform("sets", lambda m: F.get("q_signatures", top(m) - F.col("q_class"))).alias("own"),
+        F.transform("sets", lambda m: F.struct(
+            m["set"].alias("set"), m["n_shingles"].alias("n"),
+            F.get(m["signatures"], top(m) - m["size_class"]).alias("signature"))).alias("others"))
+    more = compared(signatures_near(opened, percent), docs, firsts, k, percent, "edges-more")
+    release(alike, groups, asks)
     if not more.isEmpty():
         comp = components(edges.union(more))
     out = staged(named.join(comp, "set", "left")
