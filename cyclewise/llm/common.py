@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,8 @@ class BatchMemo(dict):
     def learn(self, words) -> None:
         for w in self.extra:
             del self[w]
-        new = sorted(set().union(*words).difference(self))
+        # set.difference would walk the whole memo: it is no plain dict
+        new = list(filterfalse(self.__contains__, set().union(*words)))
         room = max(0, self.limit - len(self))
         self.extra = new[room:]
         if new:
