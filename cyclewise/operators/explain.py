@@ -21,8 +21,8 @@ from pyspark.ml.functions import array_to_vector
 def shapley_sampling(model, samples: DataFrame, background: DataFrame, n_features: int,
                      permutations: int = 3, seed: int = 7, features: str = "features_arr") -> DataFrame:
     """H1: (sample_id, feature, phi, value). ``samples``: (sample_id, features_arr);
-    ``background``: (bg_id, features_arr). Sizes are capped by the caller
-    (<= 100 samples, <= 20 background rows, as in the reference)."""
+    ``background``: (bg_id, features_arr), a handful of rows picked by the
+    caller (at most 20 in the registered queries)."""
     F_ = n_features
     perm = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
     # the background is a handful of rows (<= 20): carried as one literal array

@@ -206,3 +206,28 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
          .option("checkpointLocation", out + "-ckpt").outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
+
+
+def windows_to_table(df: DataFrame, name: str, keys: list[str], mode: str = "update") -> DataFrame:
+    """Drive a windowed aggregate to the end of its input (availableNow) and
+    return every window, those still open then included. Each epoch overwrites
+    its own folder, so a retried epoch is idempotent. ``update`` sends changed
+    windows, of which the last state per ``keys`` counts; session windows,
+    whose bounds move, need ``complete``, where the last epoch counts and the
+    state keeps all sessions. An empty input gives an empty table."""
+    spark = df.sparkSession
+    out = scratch(spark, name)
+    spark.createDataFrame([], df.schema).write.parquet(f"{out}/epoch=-1")
+
+    def write(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    q = (df.writeStream.foreachBatch(write).option("checkpointLocation", out + "-ckpt").outputMode(mode)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.read.schema(T.StructType([*df.schema, T.StructField("epoch", T.LongType())])).parquet(out)
+    if mode == "complete":
+        last = got.agg(F.max("epoch")).first()[0]
+        return got.filter(F.col("epoch") == last).drop("epoch")
+    state = F.struct(*[c for c in df.columns if c not in keys])
+    return got.groupBy(*keys).agg(F.max_by(state, "epoch").alias("s")).select(*keys, "s.*").select(*df.columns)

@@ -58,3 +58,20 @@ def test_rollup_independent_of_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", tz)
     assert a and a == b
+
+
+def test_rollups_return_every_window_over_several_epochs(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from cyclewise.streaming import engine_stream as K
+    path = str(tmp_path / "events")
+    rows = spark.range(60).select((F.col("id") % 3).alias("engine_id"), F.timestamp_seconds(F.col("id") * 900).alias("ts"),
+                                  F.col("id").cast("double").alias("value"))
+    for part in (rows.filter("value < 25"), rows.filter("value >= 25")):
+        part.coalesce(1).write.mode("append").parquet(path)
+    keys = ["engine_id", "window_start", "window_end"]
+    for kind, mode in (("tumbling", "update"), ("sliding", "update"), ("session", "complete")):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        got = K.windows_to_table(K.stream_rollup(stream, kind), kind, keys, mode)
+        assert sorted(got.collect()) == sorted(K.stream_rollup(rows, kind).collect())
+        empty = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "events")).filter("value < 0")
+        assert K.windows_to_table(K.stream_rollup(empty, kind), kind, keys, mode).isEmpty()
