@@ -251,8 +251,9 @@ def components(edges: DataFrame) -> DataFrame:
 # -- the join -------------------------------------------------------------------
 
 def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(sid, h, n_shingles, component) of every different row of ``docs``;
-    component is the smallest sid of the component."""
+    """(sid, h, n_shingles, node, component) of every different row of ``docs``;
+    node is a number of the component's own, component its smallest sid, which
+    others have too where rows lack an id or repeat one."""
     sets = staged(sets_of(docs, k, percent), "sets")
     rows = sets.select("sid", "h", "n_shingles", "parts", "ka", "kb").distinct()
     # a number for each row: its id, but for null and repeated ids one above all ids
@@ -348,7 +349,7 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     out = staged(named.join(comp, "set", "left")
                  .select("sid", "h", "n_shingles", F.coalesce("component", "set").alias("node")), "components")
     smallest = staged(out.groupBy("node").agg(F.min("sid").alias("component")), "smallest")
-    return out.join(smallest, "node").select("sid", "h", "n_shingles", "component")
+    return out.join(smallest, "node").select("sid", "h", "n_shingles", "node", "component")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id",
