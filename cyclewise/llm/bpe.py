@@ -122,9 +122,10 @@ class ForcedBoundaryBpe:
 
     def _chunks(self, chunks: list[bytes]) -> list[tuple[bytes, str, int]]:
         """Results of many chunks; they pass the normaliser and the splitter
-        as one text, but for those with an added token or another blank."""
+        as one text, but for those with an added token or another blank, which
+        the normaliser makes a common one, at an end of the chunk too."""
         texts = [c.decode() for c in chunks]
-        out = [self._finish(self.ids(t)) if len(t.split()) != 1 or any(a in t for a in self.special) else None
+        out = [self._finish(self.ids(t)) if t.split() != [t] or any(a in t for a in self.special) else None
                for t in texts]
         joint = [k for k, x in enumerate(out) if x is None]
         for at in range(0, len(joint), 2000):
