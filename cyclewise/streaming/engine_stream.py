@@ -6,9 +6,9 @@
 * K2 ``stream_detect`` runs the batch detector on every micro-batch against a
   fixed reference model (``foreachBatch``); each epoch overwrites its own
   output folder, so a retried epoch is idempotent.
-* K3 ``stream_gate`` carries the consecutive-batch gate across micro-batches
-  with ``applyInPandasWithState`` keyed by (dataset, severity); batches that
-  arrive ahead of their turn wait in state until the gap is filled.
+* K3 ``stream_gate`` appends the batches' counts to a table as they arrive, in
+  any order, and takes the consecutive-batch gate D9 over the ordered batches
+  at the end of the input.
 * K4 ``stream_rollup`` windowed per-engine aggregates with a watermark
   (tumbling, sliding or session windows).
 """
@@ -24,9 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from cyclewise.operators import drift as D
+from cyclewise.operators.gate import drift_gate
 from cyclewise.session import checkpoint_dir, stage
 
 
@@ -90,11 +90,6 @@ def stream_detect(stream: DataFrame, ref, thresholds: DataFrame, positions: Data
 
 GATE_OUT = ("dataset string, severity string, batch_index long, drifted_sensor_count long, drift_detected boolean, "
             "consecutive_drift_batches long, retraining_episode_active boolean, action string")
-GATE_STATE = "done long, last_stable long, last_drift long, fired boolean, waiting string"
-#: batches that may wait for an earlier one before it counts as missing
-MAX_WAITING = 10_000
-
-
 def gate_rows(index: np.ndarray, count: np.ndarray, before: tuple[int, int, bool], required_batches: int,
               required_sensors: int, stable_reset: int) -> tuple[pd.DataFrame, tuple[int, int, bool]]:
     """Decisions for consecutive batches by the definition of ``drift_gate``.
@@ -123,7 +118,9 @@ def gate_rows(index: np.ndarray, count: np.ndarray, before: tuple[int, int, bool
     return out, (int(last_stable[-1]), int(last_drift[-1]), bool(at[-1] >= here[-1]))
 
 
-def _gate_fn(required_batches: int, required_sensors: int, stable_reset: int, max_waiting: int = MAX_WAITING):
+def _gate_fn(required_batches: int, required_sensors: int, stable_reset: int, max_waiting: int | None = None):
+    """The gate as a state function for one gate, batch by batch: batches ahead of
+    their turn wait, without bound unless ``max_waiting`` is given."""
     names = [c.split()[0] for c in GATE_OUT.split(", ")]
 
     def fn(key, pdfs, state):
@@ -136,7 +133,7 @@ def _gate_fn(required_batches: int, required_sensors: int, stable_reset: int, ma
         while known:
             if at in known:
                 ready.append((at, known.pop(at), False))
-            elif len(known) > max_waiting:  # the batch is missing: as a skipped one, its count left null
+            elif max_waiting is not None and len(known) > max_waiting:  # the batch is missing: as a skipped one, its count left null
                 ready.append((at, 0, True))
             else:
                 break
@@ -152,15 +149,22 @@ def _gate_fn(required_batches: int, required_sensors: int, stable_reset: int, ma
     return fn
 
 
-def stream_gate(flags_stream: DataFrame, required_batches: int = 3, required_sensors: int = 3,
-                stable_reset: int = 2, max_waiting: int = MAX_WAITING) -> DataFrame:
-    """K3: the gate as streaming state, one tiny row per batch; equals D9.
-    Batches may come out of order; at most ``max_waiting`` of a gate wait for
-    an earlier one, which then is recorded with a null sensor count and counts
-    as a skipped batch."""
-    return flags_stream.groupBy("dataset", "severity").applyInPandasWithState(
-        _gate_fn(required_batches, required_sensors, stable_reset, max_waiting), GATE_OUT, GATE_STATE, "append",
-        GroupStateTimeout.NoTimeout)
+def stream_gate(flags_stream: DataFrame, positions: DataFrame, required_batches: int = 3, required_sensors: int = 3,
+                stable_reset: int = 2, severities=tuple(D.SEVERITY_MULTIPLIERS)) -> DataFrame:
+    """K3: drives the stream of batch counts to the end of its input and gives
+    the gate's rows; equals D9. Batches may come in any order and any number of
+    them ahead of others: the stream only appends to a table. ``positions``
+    (dataset, batch_index) names the batches there are; one without a count at
+    the end has a null count and is a skipped batch to the gate."""
+    keys = ["dataset", "severity", "batch_index"]
+    counts = run_to_table(flags_stream.select(*keys, "drifted_sensor_count"), "gate-counts")
+    sev = F.explode(F.array(*[F.lit(x) for x in severities])).alias("severity")
+    known = positions.select("dataset", sev, F.col("batch_index").cast("long").alias("batch_index"))
+    flags = known.join(counts, keys, "full").withColumn("missing", F.col("drifted_sensor_count").isNull())
+    flags = flags.withColumn("drifted_sensor_count", F.coalesce("drifted_sensor_count", F.lit(0).cast("long")))
+    g = drift_gate(flags, required_batches, required_sensors, stable_reset)
+    g = g.withColumn("drifted_sensor_count", F.when(~F.col("missing"), F.col("drifted_sensor_count")))
+    return g.select(*[c.split()[0] for c in GATE_OUT.split(", ")])
 
 
 def stream_rollup(stream: DataFrame, kind: str = "tumbling", duration: str = "1 hour", slide: str = "30 minutes",
