@@ -251,13 +251,13 @@ def degradation_features(spark, sf):
 
 @register("regime_sweep")
 def regime_sweep(spark, sf):
-    """KMeans k=2..10 on distinct scaled settings (weighted), best of seeds;
+    """KMeans k=2..10 on distinct scaled settings (weighted), best of 20 restarts;
     inertia, silhouette, Davies-Bouldin, Calinski-Harabasz per k."""
     import os
     key = (spark.sparkContext.applicationId, os.path.abspath(sf))
     if key not in _SWEEPS:
         df = regime_frame(spark, sf).filter("split = 'train'")
-        _SWEEPS[key] = stage(R.sweep_regimes(df, Z, range(2, 11), seeds=(0, 1)))
+        _SWEEPS[key] = stage(R.sweep_regimes(df, Z, range(2, 11), seeds=range(20)))
     return _SWEEPS[key]
 
 
