@@ -11,12 +11,15 @@ contributions telescope to f(x) - f(b), so sum(phi) = f(x) - mean f(b).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.ml.functions import array_to_vector
 
+from cyclewise.functions.scan import ordered_scan
+
 
 def shapley_sampling(model, samples: DataFrame, background: DataFrame, n_features: int,
                      permutations: int = 3, seed: int = 7, features: str = "features_arr") -> DataFrame:
@@ -39,7 +42,7 @@ def shapley_sampling(model, samples: DataFrame, background: DataFrame, n_feature
     mixed = F.zip_with(F.col("x"), F.col("b"), lambda a, c: F.struct(a.alias("a"), c.alias("c")))
     coal = F.transform(F.sequence(F.lit(0), F.lit(F_ - 1)), lambda j: F.when(
         F.element_at("rank", j + 1) < F.col("step"), F.element_at(mixed, j + 1)["a"]).otherwise(F.element_at(mixed, j + 1)["c"]))
-    scored = model.transform(steps.withColumn("features", array_to_vector(coal)))
+    scored = model.transform(steps.withColumn("features_arr", coal).withColumn("features", array_to_vector("features_arr")))
     w = Window.partitionBy("sample_id", "bg_id", "perm").orderBy("step")   # F + 1 rows per group
     delta = scored.select("sample_id", "bg_id", "perm", "step", "rank", "x",
                           (F.col("prediction") - F.lag("prediction").over(w)).alias("d")).filter(F.col("step") > 0)
@@ -80,21 +83,45 @@ def influences(phi: DataFrame, scored: DataFrame) -> DataFrame:
         "influence", F.when(F.col("phi") > 0, "increases predicted RUL").otherwise("decreases predicted RUL"))
 
 
-def ice_curves(model, windows: DataFrame, sensor_index: int, n_features: int, w: int = 50, grid: int = 20,
-               summary=None) -> DataFrame:
-    """H6: 20 grid values from p5 to p95 of the sensor's values; the sensor is
-    set to the grid value at every time step of every window, which is then
-    re-summarised and predicted. Returns (sample_id, grid_i, grid_value, prediction)."""
-    vals = windows.select(F.explode(F.transform("x", lambda r: r[sensor_index])).alias("v"))
-    p5, p95 = vals.agg(F.percentile_approx("v", [0.05, 0.95], 10000)).first()[0]
-    pts = [p5 + (p95 - p5) * i / (grid - 1) for i in range(grid)]
+def window_quantiles(rows: DataFrame, sensor: str, probs: Sequence[float], zeros: int = 0) -> list[float]:
+    """Exact numpy-linear quantiles of a sensor over all time steps of a set of
+    windows: ``rows`` are the readings in them with ``mult`` (how many of the
+    windows hold the reading), ``zeros`` the number of padding steps. Distinct
+    values with prefix counts; only the values at the wanted ranks come back."""
+    values = rows.groupBy(F.coalesce(F.col(sensor).cast("double"), F.lit(0.0)).alias("v")).agg(
+        F.sum("mult").cast("long").alias("c"))
+    if zeros:
+        pad = rows.sparkSession.createDataFrame([(0.0, int(zeros))], "v double, c long")
+        values = values.unionByName(pad).groupBy("v").agg(F.sum("c").alias("c"))
+    upto = ordered_scan(values.withColumn("_all", F.lit(0)), ["_all"], ["v"], weight="c", out="upto")
+    total = values.agg(F.sum("c")).first()[0] or 0
+    if not total:
+        return [float("nan")] * len(probs)
+    ranks = sorted({r for q in probs for r in (math.floor((total - 1) * q), math.ceil((total - 1) * q))})
+    hit = F.array(*[F.lit(r).cast("long") for r in ranks])
+    inside = F.filter(hit, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("c")))
+    at = {r: row.v for row in upto.select("v", inside.alias("hit")).filter(F.size("hit") > 0).collect() for r in row.hit}
+    out = []
+    for q in probs:
+        h = (total - 1) * q
+        lo, hi = at[math.floor(h)], at[math.ceil(h)]
+        out.append(lo + (hi - lo) * (h - math.floor(h)))
+    return out
+
+
+def ice_curves(model, samples: DataFrame, sensor_index: int, low: float, high: float, grid: int = 20,
+               stats: int = 4) -> DataFrame:
+    """H6: (sample_id, grid_i, grid_value, prediction) for ``grid`` values from
+    ``low`` to ``high``. A sensor held at v over a whole window has the
+    summary (v, v, 0, 0), so only those four features change and no window is
+    rebuilt: ``samples`` are (sample_id, features_arr)."""
+    pts = [low + (high - low) * i / (grid - 1) for i in range(grid)]
     g = F.explode(F.array(*[F.struct(F.lit(i).alias("gi"), F.lit(float(v)).alias("gv")) for i, v in enumerate(pts)]))
-    rep = windows.select("sample_id", "x", g.alias("g"))
-    x2 = F.transform("x", lambda row: F.transform(
-        F.sequence(F.lit(0), F.lit(n_features - 1)),
-        lambda j: F.when(j == sensor_index, F.col("g.gv")).otherwise(F.element_at(row, j + 1))))
-    rep = rep.withColumn("x", x2)
-    feats = rep.withColumn("features", array_to_vector(summary(F.col("x"))))
+    rep = samples.select("sample_id", F.col("features_arr").alias("_f"), g.alias("g"))
+    at = sensor_index * stats
+    held = F.array(F.col("g.gv"), F.col("g.gv"), F.lit(0.0), F.lit(0.0))
+    arr = F.concat(F.slice("_f", 1, at), held, F.slice("_f", at + stats + 1, F.size("_f")))
+    feats = rep.withColumn("features_arr", arr).withColumn("features", array_to_vector("features_arr"))
     return model.transform(feats).select("sample_id", F.col("g.gi").alias("grid_i"), F.col("g.gv").alias("grid_value"),
                                          "prediction")
 

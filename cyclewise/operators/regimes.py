@@ -2,8 +2,8 @@
 
 Cluster quality measures take labels and a feature vector given as columns;
 they are aggregates over the data plus tiny k x k centroid tables, so they
-are linear in the data (the reference's silhouette is O(n^2); here R3 uses
-Spark ML's linear squared-Euclidean evaluator - a documented deviation).
+are linear in the data (the reference's silhouette is O(n^2); R3 here is the
+squared-Euclidean one in closed form - a documented deviation).
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from cyclewise.functions.exprs import one_hot
 from cyclewise.functions.scan import ordered_scan
+from cyclewise.operators.kmeans import fit_kmeans
+from cyclewise.session import stage
 
 SETTINGS = ["setting_1", "setting_2", "setting_3"]
 ONE_HOT_WIDTH = 6
@@ -73,21 +75,61 @@ def assign_regimes(df: DataFrame, centroids: DataFrame, features: Sequence[str],
     return j.withColumn(out, F.array_min(d)["l"]).drop("_cents")
 
 
-# ---------------------------------------------------------------- R4 / R5
+# ---------------------------------------------------------------- R3 / R4 / R5
 
 def _sqdist(a, b):
     return F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
 
 
-def davies_bouldin(df: DataFrame, features: Sequence[str], label: str, by=("dataset",)) -> DataFrame:
+def _weighted(df: DataFrame, features: Sequence[str], weight: str | None):
+    """The feature vector and the weight (1 a row by default) as columns _x, _w."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    return df.withColumn("_x", F.array(*[F.col(f).cast("double") for f in features])).withColumn("_w", w)
+
+
+def _cluster_sums(df: DataFrame, n: int, label: str, by) -> DataFrame:
+    """(by..., label, nk, c, q): weight, mean vector, weighted sum of squared norms."""
+    norm = F.aggregate("_x", F.lit(0.0), lambda s, v: s + v * v)
+    return df.groupBy(*by, label).agg(
+        F.sum("_w").alias("nk"),
+        F.array(*[F.sum(F.col("_w") * F.col("_x")[j]) / F.sum("_w") for j in range(n)]).alias("c"),
+        F.sum(F.col("_w") * norm).alias("q"))
+
+
+def silhouette(df: DataFrame, features: Sequence[str], label: str, by=("dataset",),
+               weight: str | None = None) -> DataFrame:
+    """R3 with squared Euclidean distances, linear in the data: the mean squared
+    distance of x to a cluster is |x|^2 - 2 x.c + q / n. A row alone in its
+    cluster scores 0. NULL for a single cluster."""
+    by = list(by)
+    rows = _weighted(df, features, weight)
+    sums = _cluster_sums(rows, len(features), label, by)
+    all_ = sums.groupBy(*by).agg(F.collect_list(F.struct(F.col(label).alias("l"), "nk", "c", "q")).alias("_cl"))
+    norm = F.aggregate("_x", F.lit(0.0), lambda s, v: s + v * v)
+    j = rows.join(all_, by).withColumn("_n", norm)  # one row a dataset: AQE broadcasts it
+    mean = F.transform("_cl", lambda c: F.struct(
+        c["l"].alias("l"), c["nk"].alias("nk"),
+        (F.col("_n") - 2 * F.aggregate(F.zip_with(c["c"], "_x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+         + c["q"] / c["nk"]).alias("d")))
+    j = j.withColumn("_m", mean)
+    own = F.filter("_m", lambda c: c["l"] == F.col(label))[0]
+    a = F.greatest(F.lit(0.0), own["d"] * own["nk"] / (own["nk"] - 1))
+    b = F.array_min(F.transform(F.filter("_m", lambda c: c["l"] != F.col(label)), lambda c: F.greatest(F.lit(0.0), c["d"])))
+    s = F.when(own["nk"] <= 1, F.when(b.isNotNull(), 0.0)).when(F.greatest(a, b) == 0, F.when(b.isNotNull(), 0.0)) \
+        .otherwise(F.try_divide(b - a, F.greatest(a, b)))
+    j = j.withColumn("_s", F.when(b.isNotNull(), s))
+    return j.groupBy(*by).agg((F.sum(F.col("_w") * F.col("_s")) / F.sum("_w")).alias("silhouette"))
+
+
+def davies_bouldin(df: DataFrame, features: Sequence[str], label: str, by=("dataset",),
+                   weight: str | None = None) -> DataFrame:
     """mean_i max_{j != i} (S_i + S_j) / d(c_i, c_j), S = mean distance to
-    the own centroid. Centroids are k rows per dataset (broadcast); the k x k
-    pairing is over those centroid rows only."""
+    the own centroid. The k x k pairing is over the k centroid rows a dataset."""
     by = list(by)
-    cents = centroids_from_labels(df, features, label, by)
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    s = (df.join(F.broadcast(cents), [*by, label])
-         .groupBy(*by, label).agg(F.avg(F.sqrt(_sqdist(x, F.col("c")))).alias("s")))
+    rows = _weighted(df, features, weight)
+    cents = _cluster_sums(rows, len(features), label, by).drop("q", "nk")
+    s = (rows.join(cents, [*by, label])
+         .groupBy(*by, label).agg((F.sum(F.col("_w") * F.sqrt(_sqdist(F.col("_x"), F.col("c")))) / F.sum("_w")).alias("s")))
     ci = cents.join(s, [*by, label]).select(*by, F.col(label).alias("i"), F.col("c").alias("ci"), F.col("s").alias("si"))
     cj = ci.select(*by, F.col("i").alias("j"), F.col("ci").alias("cj"), F.col("si").alias("sj"))
     pairs = ci.join(cj, by).filter(F.col("i") != F.col("j"))
@@ -95,17 +137,19 @@ def davies_bouldin(df: DataFrame, features: Sequence[str], label: str, by=("data
     return r.groupBy(*by, "i").agg(F.max("r").alias("m")).groupBy(*by).agg(F.avg("m").alias("davies_bouldin"))
 
 
-def calinski_harabasz(df: DataFrame, features: Sequence[str], label: str, by=("dataset",)) -> DataFrame:
-    """(B / (k - 1)) / (W / (n - k))."""
+def calinski_harabasz(df: DataFrame, features: Sequence[str], label: str, by=("dataset",),
+                      weight: str | None = None) -> DataFrame:
+    """(B / (k - 1)) / (W / (n - k)), and the within sum W (the inertia)."""
     by = list(by)
-    cents = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("nk"), F.array(*[F.avg(f) for f in features]).alias("c"))
-    overall = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(f) for f in features]).alias("g"))
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    w = df.join(F.broadcast(cents), [*by, label]).groupBy(*by).agg(F.sum(_sqdist(x, F.col("c"))).alias("W"))
+    rows = _weighted(df, features, weight)
+    cents = _cluster_sums(rows, len(features), label, by).drop("q")
+    mean = F.array(*[F.sum(F.col("nk") * F.col("c")[j]) / F.sum("nk") for j in range(len(features))])
+    overall = cents.groupBy(*by).agg(F.sum("nk").alias("n"), mean.alias("g"))
+    w = rows.join(cents, [*by, label]).groupBy(*by).agg(F.sum(F.col("_w") * _sqdist(F.col("_x"), F.col("c"))).alias("W"))
     b = (cents.join(overall, by).groupBy(*by).agg(F.sum(F.col("nk") * _sqdist(F.col("c"), F.col("g"))).alias("B"),
                                                  F.count(F.lit(1)).alias("k"), F.first("n").alias("n")))
-    return b.join(w, by).select(*by, "k", ((F.col("B") / (F.col("k") - 1)) / (F.col("W") / (F.col("n") - F.col("k"))))
-                                .alias("calinski_harabasz"))
+    score = F.try_divide(F.try_divide(F.col("B"), F.col("k") - 1), F.try_divide(F.col("W"), F.col("n") - F.col("k")))
+    return b.join(w, by).select(*by, "k", score.alias("calinski_harabasz"), F.col("W").alias("within"))
 
 
 # ---------------------------------------------------------------- R6 / R7
@@ -190,43 +234,51 @@ def regime_distribution(df: DataFrame, regime: str = "regime_id") -> DataFrame:
     return df.groupBy("dataset", "split", regime).agg(F.count(F.lit(1)).alias("rows"))
 
 
-# ---------------------------------------------------------------- R2 / R3 / R15 (Spark ML)
-
-def sweep_regimes(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 11),
-                  seeds: Sequence[int] = (0, 1, 2), by: str = "dataset", max_iter: int = 100) -> DataFrame:
-    """R2 + R3 + R4 + R5: KMeans for each k on the distinct settings points
-    weighted by multiplicity (k-means cost is additive over duplicates), the
-    best of several seeds by training cost; then inertia (per row),
-    silhouette (squared Euclidean, Spark ML), Davies-Bouldin and
-    Calinski-Harabasz on the labelled rows. One row per (dataset, k)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import VectorAssembler
-
-    spark = df.sparkSession
-    rows = []
-    datasets = [r[0] for r in df.select(by).distinct().collect()]
-    for ds in datasets:
-        part = df.filter(F.col(by) == ds)
-        pts = part.groupBy(*features).agg(F.count(F.lit(1)).cast("double").alias("w"))
-        pts = VectorAssembler(inputCols=list(features), outputCol="features").transform(pts).cache()
-        for k in ks:
-            best = None
-            for s in seeds:
-                m = KMeans(k=k, seed=s, weightCol="w", maxIter=max_iter).fit(pts)
-                cost = m.summary.trainingCost
-                if best is None or cost < best[0]:
-                    best = (cost, m)
-            model = best[1]
-            lab = model.transform(pts)
-            sil = ClusteringEvaluator(weightCol="w").evaluate(lab) if k > 1 else None
-            labelled = part.join(lab.select(*features, F.col("prediction").alias("label")), list(features))
-            db = davies_bouldin(labelled, features, "label", [by]).collect()[0]["davies_bouldin"]
-            ch = calinski_harabasz(labelled, features, "label", [by]).collect()[0]["calinski_harabasz"]
-            rows.append((ds, int(k), float(best[0]), sil, db, ch))
-        pts.unpersist()
-    return spark.createDataFrame(rows, f"{by} string, clusters int, inertia double, silhouette double, "
-                                       "davies_bouldin double, calinski_harabasz double")
+# ---------------------------------------------------------------- R2 / R15
+
+def weighted_points(df: DataFrame, features: Sequence[str], by: str = "dataset") -> DataFrame:
+    """Distinct feature vectors with their multiplicity ``w``: k-means cost and
+    every quality measure are additive over equal rows."""
+    return df.groupBy(by, *features).agg(F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def sweep_regimes(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 11), restarts: int = 20,
+                  by: str = "dataset", max_iter: int = 300, seed: int = 42) -> DataFrame:
+    """For each k the best of ``restarts`` k-means runs, all fitted at
+    once on the distinct weighted points, then inertia, silhouette (squared
+    Euclidean), Davies-Bouldin and Calinski-Harabasz from the same points with
+    the label of every k. One row per (dataset, k)."""
+    points = stage(weighted_points(df, features, by))
+    best = fit_kmeans(points, features, list(ks), restarts, by, max_iter=max_iter, seed=seed)
+    cents = [(name, int(k), i, [float(v) for v in c]) for (name, k), (_, m) in best.items() for i, c in enumerate(m)]
+    table = df.sparkSession.createDataFrame(cents, f"{by} string, clusters int, label int, c array<double>")
+    each = points.join(table.select(by, "clusters").distinct(), by)
+    lab = stage(assign_regimes(each, table, features, (by, "clusters"), "label", "label").drop("_cents"))
+    keys = (by, "clusters")
+    out = calinski_harabasz(lab, features, "label", keys, "w").drop("k")
+    out = out.join(silhouette(lab, features, "label", keys, "w"), list(keys))
+    out = out.join(davies_bouldin(lab, features, "label", keys, "w"), list(keys))
+    return out.select(by, "clusters", F.col("within").alias("inertia"), "silhouette", "davies_bouldin",
+                      "calinski_harabasz")
+
+
+def fit_regimes(df: DataFrame, features: Sequence[str], ks: Sequence[int], restarts: int = 20, by: str = "dataset",
+                seed: int = 42) -> DataFrame:
+    """(dataset, clusters, kid, c) centroids of the best of ``restarts`` runs for each k."""
+    points = stage(weighted_points(df, features, by))
+    best = fit_kmeans(points, features, list(ks), restarts, by, seed=seed)
+    rows = [(name, int(k), i, [float(v) for v in c]) for (name, k), (_, m) in best.items() for i, c in enumerate(m)]
+    return df.sparkSession.createDataFrame(rows, f"{by} string, clusters int, kid int, c array<double>")
+
+
+def recommend_k(df: DataFrame, settings: Sequence[str], metrics: DataFrame, by: str = "dataset") -> DataFrame:
+    """R7 with the reference's first branch: a dataset with one operating
+    condition gets one cluster, without a vote; the others the vote's k."""
+    conditions = df.groupBy(by).agg(F.count_distinct(F.struct(*settings)).alias("_n"))
+    voted = vote_k(metrics, (by,))
+    k = F.when(F.col("_n") <= 1, F.lit(1)).otherwise(F.col("recommended_k"))
+    return conditions.join(voted, by, "left").select(
+        by, "silhouette", "davies_bouldin", "calinski_harabasz", "elbow", k.cast("int").alias("recommended_k"))
 
 
 def regime_projection_2d(df: DataFrame, features: Sequence[str], label: str = "regime_id") -> DataFrame:
@@ -245,7 +297,6 @@ def normalize(df: DataFrame, sensors: Sequence[str], mode: str = "regime_plus_gl
     any other mode leaves the sensors as they are. Every scaler is fitted on
     the train split and applied to all rows."""
     from cyclewise.operators.profile import apply_zscore, fit_global_zscore
-    from cyclewise.session import stage
 
     def long(x, ids):
         return x.unpivot(list(ids), list(sensors), "sensor", "value")

@@ -247,17 +247,40 @@ def degradation_features(spark, sf):
     return out
 
 
-# ---------------------------------------------------------------- Spark ML (rows-only)
+# ---------------------------------------------------------------- sweep and vote
+
+#: k-means restarts of the reference
+RESTARTS = 20
+
+_SIL = " + ".join(f"z_setting_{j} * c.c{j}" for j in (1, 2, 3))
+
+
+@register("regime_silhouette", BASE_SQL + f""",
+pt AS (SELECT dataset, regime_id, z_setting_1, z_setting_2, z_setting_3,
+              z_setting_1 * z_setting_1 + z_setting_2 * z_setting_2 + z_setting_3 * z_setting_3 AS nn,
+              count(*) AS w FROM base GROUP BY ALL),
+cl AS (SELECT dataset, regime_id, sum(w) AS nk, sum(w * z_setting_1) / sum(w) AS c1, sum(w * z_setting_2) / sum(w) AS c2,
+              sum(w * z_setting_3) / sum(w) AS c3, sum(w * nn) / sum(w) AS q FROM pt GROUP BY ALL),
+m AS (SELECT p.dataset, p.regime_id, p.w, p.z_setting_1, p.z_setting_2, p.z_setting_3,
+             max(CASE WHEN c.regime_id = p.regime_id THEN greatest(0, (nn - 2 * ({_SIL}) + q) * nk / (nk - 1)) END) AS a,
+             min(CASE WHEN c.regime_id <> p.regime_id THEN greatest(0, nn - 2 * ({_SIL}) + q) END) AS b
+      FROM pt p JOIN cl c USING (dataset) GROUP BY ALL)
+SELECT dataset, round(sum(w * (b - a) / greatest(a, b)) / sum(w), 6) AS silhouette FROM m GROUP BY ALL""")
+def regime_silhouette(spark, sf):
+    """Squared-Euclidean silhouette of the regime labels on scaled settings."""
+    s = R.silhouette(regime_frame(spark, sf), Z, "regime_id")
+    return s.select("dataset", r6("silhouette").alias("silhouette"))
+
 
 @register("regime_sweep")
 def regime_sweep(spark, sf):
-    """KMeans k=2..10 on distinct scaled settings (weighted), best of 20 restarts;
+    """K-means k=2..10 on distinct scaled settings (weighted), best of 20 restarts;
     inertia, silhouette, Davies-Bouldin, Calinski-Harabasz per k."""
     import os
     key = (spark.sparkContext.applicationId, os.path.abspath(sf))
     if key not in _SWEEPS:
         df = regime_frame(spark, sf).filter("split = 'train'")
-        _SWEEPS[key] = stage(R.sweep_regimes(df, Z, range(2, 11), seeds=range(20)))
+        _SWEEPS[key] = stage(R.sweep_regimes(df, Z, range(2, 11), RESTARTS))
     return _SWEEPS[key]
 
 
@@ -266,8 +289,8 @@ _SWEEPS: dict = {}
 
 @register("regime_vote")
 def regime_vote(spark, sf):
-    """Elbow and majority vote over the sweep."""
-    return R.vote_k(regime_sweep(spark, sf))
+    """One condition -> one cluster, else elbow and majority vote over the sweep."""
+    return R.recommend_k(regime_frame(spark, sf).filter("split = 'train'"), SETTINGS, regime_sweep(spark, sf))
 
 
 @register("regime_projection")
