@@ -81,10 +81,11 @@ def _sqdist(a, b):
     return F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
 
 
-def _weighted(df: DataFrame, features: Sequence[str], weight: str | None):
-    """The feature vector and the weight (1 a row by default) as columns _x, _w."""
+def _weighted(df: DataFrame, features: Sequence[str], label: str, by, weight: str | None):
+    """Keys, label, feature vector _x and weight _w (1 a row by default) alone,
+    so that other columns cannot clash."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    return df.withColumn("_x", F.array(*[F.col(f).cast("double") for f in features])).withColumn("_w", w)
+    return df.select(*by, label, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"), w.alias("_w"))
 
 
 def _cluster_sums(df: DataFrame, n: int, label: str, by) -> DataFrame:
@@ -102,7 +103,7 @@ def silhouette(df: DataFrame, features: Sequence[str], label: str, by=("dataset"
     distance of x to a cluster is |x|^2 - 2 x.c + q / n. A row alone in its
     cluster scores 0. NULL for a single cluster."""
     by = list(by)
-    rows = _weighted(df, features, weight)
+    rows = _weighted(df, features, label, by, weight)
     sums = _cluster_sums(rows, len(features), label, by)
     all_ = sums.groupBy(*by).agg(F.collect_list(F.struct(F.col(label).alias("l"), "nk", "c", "q")).alias("_cl"))
     norm = F.aggregate("_x", F.lit(0.0), lambda s, v: s + v * v)
@@ -126,7 +127,7 @@ def davies_bouldin(df: DataFrame, features: Sequence[str], label: str, by=("data
     """mean_i max_{j != i} (S_i + S_j) / d(c_i, c_j), S = mean distance to
     the own centroid. The k x k pairing is over the k centroid rows a dataset."""
     by = list(by)
-    rows = _weighted(df, features, weight)
+    rows = _weighted(df, features, label, by, weight)
     cents = _cluster_sums(rows, len(features), label, by).drop("q", "nk")
     s = (rows.join(cents, [*by, label])
          .groupBy(*by, label).agg((F.sum(F.col("_w") * F.sqrt(_sqdist(F.col("_x"), F.col("c")))) / F.sum("_w")).alias("s")))
@@ -141,7 +142,7 @@ def calinski_harabasz(df: DataFrame, features: Sequence[str], label: str, by=("d
                       weight: str | None = None) -> DataFrame:
     """(B / (k - 1)) / (W / (n - k)), and the within sum W (the inertia)."""
     by = list(by)
-    rows = _weighted(df, features, weight)
+    rows = _weighted(df, features, label, by, weight)
     cents = _cluster_sums(rows, len(features), label, by).drop("q")
     mean = F.array(*[F.sum(F.col("nk") * F.col("c")[j]) / F.sum("nk") for j in range(len(features))])
     overall = cents.groupBy(*by).agg(F.sum("nk").alias("n"), mean.alias("g"))

@@ -1,34 +1,44 @@
 """The registered model and regime queries take the reference's settings."""
+import inspect
+
 import pytest
 
+from cyclewise.operators import boosting as B
 from cyclewise.plans import q_models as Q
 from cyclewise.plans import q_regimes as QR
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_tree_selection_fits_the_whole_range_and_others_take_its_pick(spark, monkeypatch):
-    real, made = Q.M.make_model, []
+def test_boosting_takes_the_reference_settings_and_its_pick(spark, monkeypatch):
+    defaults = {k: p.default for k, p in inspect.signature(B.BoostingRun.__init__).parameters.items()}
+    assert (defaults["rounds"], defaults["depth"], defaults["patience"]) == (2000, 6, 40)
+    assert (defaults["learning_rate"], defaults["subsample"], defaults["colsample"], defaults["reg_lambda"]) == (
+        0.05, 0.8, 0.8, 1.0)
+    real, runs = Q.M.boost, []
 
-    def make(kind, *args, **kw):
-        model = real(kind, *args, **kw)
-        made.append((kind, model.getMaxIter() if kind == "gbt" else None, model.getMaxDepth() if kind != "linear" else None))
-        return model.setMaxIter(2) if kind == "gbt" else model
+    def boost(*args, **kw):
+        assert not kw  # the queries change no setting
+        runs.append(real(*args, rounds=3, **kw))
+        return runs[-1]
 
-    monkeypatch.setattr(Q.M, "make_model", make)
+    monkeypatch.setattr(Q.M, "boost", boost)
     monkeypatch.setattr(Q, "_MEMO", {})
     best = Q.gbt_tree_selection(spark, SF).first().best_tree_count
-    assert made == [("gbt", 2000, 6)] and 1 <= best <= 2
-    Q.model_comparison(spark, SF).collect()
-    assert made[1:] == [("gbt", best, 6), ("random_forest", None, 8), ("linear", None, None)]
+    assert 1 <= best <= 3 and len(runs[0].model("final").trees) == best
+    rows = Q.gbt_cross_validation(spark, SF).collect()
+    assert sorted(r.fold for r in rows) == [-1, 0, 1, 2, 3, 4]
+    assert {r.fold: r.trees for r in rows if r.fold >= 0} == {f: runs[0].tasks[f].best for f in range(5)}
+    assert {r.model for r in Q.model_comparison(spark, SF).collect()} == {"gbt", "random_forest", "linear"}
+    assert len(runs) == 1
 
 
 def test_sweep_takes_twenty_restarts(spark, monkeypatch):
     class Seen(Exception):
         pass
 
-    def sweep(df, features, ks, seeds):
-        assert len(set(seeds)) == 20 and list(ks) == list(range(2, 11))
+    def sweep(df, features, ks, restarts):
+        assert restarts == 20 and list(ks) == list(range(2, 11))
         raise Seen
 
     monkeypatch.setattr(QR.R, "sweep_regimes", sweep)
