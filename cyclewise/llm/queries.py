@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cyclewise.llm.bpe import encode_digests
+from cyclewise.llm.chat import chat_digests, format_chats, probe
 from cyclewise.llm.fingerprints import fingerprint_edits
 from cyclewise.llm.jaccard_join import jaccard_components
 from cyclewise.llm.mixing import mix_sources
@@ -80,3 +81,28 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+esc AS (
+  SELECT *, length(replace(replace(replace(replace(role, '\', '\\'), '<turn>', '\<turn>'), '</turn>', '\</turn>'), chr(10), '\n'))
+          + length(replace(replace(replace(text, '\', '\\'), '<turn>', '\<turn>'), '</turn>', '\</turn>')) + 15 AS n FROM rows)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM esc GROUP BY conv_id"""
+
+
+@query
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    convs = convs.unionByName(probe(spark), allowMissingColumns=True)
+    return chat_digests(format_chats(convs, vocabulary("byte_bpe_50k.json"))).drop("n_tokens", "n_loss_tokens")
+
+
+ORACLE["op12_chat_formatting"] = CHAT_SQL
