@@ -13,6 +13,7 @@ from cyclewise.llm.jaccard_join import jaccard_components
 from cyclewise.llm.mixing import mix_sources
 from cyclewise.llm.quality import classify_quality
 from cyclewise.llm.substring_dedup import dedup_digests
+from cyclewise.llm.token_alignment import align_documents
 from cyclewise.llm.token_counts import token_counts
 from cyclewise.llm.token_files import token_file_digests
 from cyclewise.llm.topk import top_k
@@ -106,3 +107,9 @@ def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op12_chat_formatting"] = CHAT_SQL
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                           vocabulary("piece_bpe_32k.model"))
