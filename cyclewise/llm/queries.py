@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cyclewise.llm.bpe import encode_digests
 from cyclewise.llm.chat import chat_digests, format_chats, probe
+from cyclewise.llm.collocations import collocations
 from cyclewise.llm.fingerprints import fingerprint_edits
 from cyclewise.llm.jaccard_join import jaccard_components
 from cyclewise.llm.mixing import mix_sources
@@ -84,6 +85,38 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+_GRAMS = " UNION ALL ".join(
+    f"SELECT lang, list_aggregate(w[i:i + {k - 1}], 'string_agg', ' ') AS phrase, {k} AS size FROM "
+    f"(SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM pieces WHERE len(w) >= {k})" for k in range(1, 6))
+ORACLE["op11_collocations"] = r"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM
+    (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs)),
+n AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, phrase, size, count(*) AS f FROM (""" + _GRAMS + """) GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM cand),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, n.n,
+      (1000::HUGEINT * c.a * n.n::HUGEINT) // (l.f::HUGEINT * r.f) AS score
+    FROM cuts c JOIN n ON n.lang = c.lang
+    JOIN f l ON l.lang = c.lang AND l.phrase = list_aggregate(c.w[1:k], 'string_agg', ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = list_aggregate(c.w[k + 1:], 'string_agg', ' ')),
+weak AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS pick FROM scored),
+inside AS (SELECT lang, list_aggregate(w[i:i + m - 1], 'string_agg', ' ') AS phrase, max(a) AS longer FROM
+    (SELECT lang, w, a, size, m, unnest(range(1, size - m + 2)) AS i FROM
+        (SELECT lang, w, a, size, unnest(range(2, size)) AS m FROM cand WHERE size > 2)) GROUP BY ALL),
+kept AS (SELECT s.* FROM weak s LEFT JOIN inside i USING (lang, phrase)
+    WHERE s.pick = 1 AND (i.longer IS NULL OR 100 * i.longer < 100 * s.a))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000"""
+
+
 CHAT_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
