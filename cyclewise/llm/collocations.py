@@ -12,9 +12,10 @@
   of the wanted parts of a range with the range's count automaton.
 
 A phrase with the least count has only parts with the least count. So the
-words are counted first; pairs are counted where both words pass, longer
-phrases where all their pairs do. The test is a bit set of fixed size that
-tasks carry: a false pass costs work, never a count.
+words are counted first, then the pairs whose words both pass, by a 64-bit
+hash alone, and at last, exactly, the phrases whose pairs all pass. The tests
+are bit sets of fixed size that tasks carry; a false pass, or pairs that share
+a hash, cost work, never a count.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cyclewise.llm.common import slices, staged
+from cyclewise.llm.common import mix64, slices, staged
 
 LEAST = 100
 LONGEST = 5
@@ -41,6 +42,8 @@ NO_LANG = "und"
 FILTER_BITS = 24
 #: n-grams a task unites before it writes them
 SHARD_STATES = 400_000
+#: pair hashes a task unites before it writes them, 16 bytes each
+SHARD_PAIRS = 3_000_000
 BATCH_ROWS = 512
 
 BREAK = b"\xff"  # a byte that UTF-8 never uses
@@ -66,80 +69,119 @@ def tokens_of(texts: list[bytes]) -> list[bytes]:
 
 # -- filter ---------------------------------------------------------------------
 
-def slot(lang: bytes, phrase: bytes, bits: int) -> int:
-    return xxhash.xxh3_64_intdigest(lang + b"\x00" + phrase) & ((1 << bits) - 1)
+def word_hashes(lang: bytes, words: list[bytes]) -> np.ndarray:
+    seed = xxhash.xxh3_64_intdigest(lang)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
+
+
+def pair_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Of each word and the next one."""
+    return mix64(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix64(hashes[1:]))
 
 
 class Filter:
-    """A bit set of (language, phrase)."""
+    """A bit set of hashes."""
 
     def __init__(self, bits: int, words: np.ndarray):
         self.bits, self.words = bits, words
 
-    def passes(self, lang: bytes, phrases: list[bytes]) -> np.ndarray:
-        s = np.fromiter((slot(lang, p, self.bits) for p in phrases), dtype=np.int64, count=len(phrases))
-        return (self.words[s >> 6] >> (s & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        s = hashes & np.uint64((1 << self.bits) - 1)
+        return (self.words[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)
 
     @classmethod
-    def of(cls, counts: DataFrame, bits: int) -> "Filter":
-        """The filter of the (lang, phrase) rows; its words, at most 2^bits / 64, come to the driver."""
-
-        def mark(batches):
-            for b in batches:
-                s = np.array([slot(l.encode(), p.encode(), bits) for l, p in zip(
-                    b.column(0).to_pylist(), b.column(1).to_pylist())], dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s >> 6), pa.array((np.uint64(1) << (s & 63).astype(np.uint64)).view(np.int64))],
-                    names=["word", "bit"])
-
-        got = counts.select("lang", "phrase").mapInArrow(mark, "word long, bit long").groupBy("word").agg(
-            F.expr("bit_or(bit)").alias("bit")).toPandas()
+    def of(cls, hashes: DataFrame, bits: int) -> "Filter":
+        """The filter of the rows' ``h``; its words, at most 2^bits / 64, come to the driver."""
+        slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+        got = hashes.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(h & 63 & {(1 << bits) - 1}L as int))")
+                            .alias("bit")).groupBy("word").agg(F.expr("bit_or(bit)").alias("bit")).toPandas()
         words = np.zeros(max(1, (1 << bits) >> 6), dtype=np.uint64)
         words[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64).view(np.uint64)
         return cls(bits, words)
 
 
+def hashed_words(counts: DataFrame) -> DataFrame:
+    """``h`` of the (lang, phrase) rows, all of one word."""
+
+    def hashes(batches):
+        for b in batches:
+            rows: dict = {}
+            for lang, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows.setdefault(lang, []).append(word.encode())
+            for lang, words in rows.items():
+                yield pa.RecordBatch.from_arrays([pa.array(word_hashes(lang.encode(), words).view(np.int64))], names=["h"])
+
+    return counts.select("lang", "phrase").mapInArrow(hashes, "h long")
+
+
 # -- shards ---------------------------------------------------------------------
 
-def transducer(tokens: list[bytes], lang: bytes, sizes: tuple[int, ...], words: Filter | None,
-               pairs: Filter | None) -> Iterator[tuple[list[bytes], np.ndarray]]:
+class Tokens:
+    """The words of some texts of a language by number, in byte order; ``fine``
+    marks the positions whose word passes."""
+
+    def __init__(self, texts: list[bytes], lang: bytes, words: Filter | None = None):
+        tokens = tokens_of(texts)
+        self.vocabulary = sorted(set(tokens))
+        number = {w: i for i, w in enumerate(self.vocabulary)}
+        self.ids = np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        fine = np.array([w != BREAK for w in self.vocabulary], dtype=bool)
+        self.hashes = None
+        if words is not None:
+            each = word_hashes(lang, self.vocabulary)
+            fine &= words.passes(each)
+            self.hashes = each[self.ids] if len(self.ids) else each
+        self.fine = fine[self.ids] if len(self.ids) else fine
+
+    def pairs(self) -> np.ndarray:
+        """Where a pair of words that pass starts."""
+        return np.flatnonzero(self.fine[:-1] & self.fine[1:])
+
+
+def transducer(tokens: Tokens, sizes: tuple[int, ...], pairs: Filter | None = None
+               ) -> Iterator[tuple[list[bytes], np.ndarray]]:
     """States of the wanted sizes with their weights, one level after the other.
 
     Words are numbered in byte order, so the sorted codes (prefix state, next
-    word) of a level are its n-grams in order."""
-    vocabulary = sorted(set(tokens))
-    number = {w: i for i, w in enumerate(vocabulary)}
-    ids = np.fromiter(map(number.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+    word) of a level are its n-grams in order. Longer n-grams are followed
+    where all their pairs pass."""
+    ids, vocabulary = tokens.ids, tokens.vocabulary
     v = len(vocabulary)
-    fine = np.array([w != BREAK for w in vocabulary], dtype=bool)
-    if words is not None:
-        fine &= words.passes(lang, vocabulary)
-    state = ids
-    ok = fine[ids] if v else np.zeros(0, bool)  # an n-gram of the level starts here
-    names, step = vocabulary, None
-    for size in range(1, max(sizes) + 1):
-        if size > 1:
-            at = np.flatnonzero(ok[:len(step)] & step)
-            codes, inverse = np.unique(state[at] * v + ids[at + size - 1], return_inverse=True)
-            names = [names[c // v] + b" " + vocabulary[c % v] for c in codes.tolist()]
-            ok, state = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)
-            ok[at], state[at] = True, inverse
-            if size == 2 and pairs is not None and len(names):
-                good = pairs.passes(lang, names)
-                ok[at] = good[inverse]
+    if 1 in sizes:
+        weights = np.bincount(ids[tokens.fine], minlength=v)
+        keep = np.flatnonzero(weights)
+        yield [vocabulary[i] for i in keep.tolist()], weights[keep]
+    if max(sizes) < 2 or len(ids) < 2:
+        return
+    at = tokens.pairs()
+    if pairs is not None:
+        at = at[pairs.passes(pair_hashes(tokens.hashes)[at])]
+    fits = np.zeros(len(ids), bool)
+    fits[at] = True
+    state, names = ids, vocabulary
+    for size in range(2, max(sizes) + 1):
+        if size > 2:  # the pair at its end must pass too
+            at = at[at + size - 2 < len(ids)]
+            at = at[fits[at + size - 2]]
+        codes, inverse = np.unique(state[at] * v + ids[at + size - 1], return_inverse=True)
+        names = [names[c // v] + b" " + vocabulary[c % v] for c in codes.tolist()]
+        state = np.zeros(len(ids), np.int64)
+        state[at] = inverse
         if size in sizes:
-            weights = np.bincount(state[ok], minlength=len(names))
-            keep = np.flatnonzero(weights)
-            yield [names[i] for i in keep.tolist()], weights[keep]
-        # the next level needs a word that passes behind a word, a pair that passes behind a pair
-        if size <= 2:
-            fits = ok
-        step = fits[size if size == 1 else size - 1:]
+            yield names, np.bincount(inverse, minlength=len(names))
 
 
 SHARD = "lang string, phrase string, n long"
 
 
+def by_language(batch: pa.RecordBatch) -> dict[bytes, list[bytes]]:
+    texts: dict[bytes, list[bytes]] = {}
+    for lang, text in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+        if text:
+            texts.setdefault(lang, []).append(text)
+    return texts
+
+
 def shard_counts(docs: DataFrame, sizes: tuple[int, ...], words: Filter | None = None, pairs: Filter | None = None,
                  states: int = SHARD_STATES) -> DataFrame:
     """(lang, phrase, n): the united count transducers of each task as sorted
@@ -155,12 +197,8 @@ def shard_counts(docs: DataFrame, sizes: tuple[int, ...], words: Filter | None =
     def count(batches):
         held: dict = {}
         for batch in slices(batches, BATCH_ROWS):
-            texts: dict[bytes, list[bytes]] = {}
-            for lang, text in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                if text:
-                    texts.setdefault(lang, []).append(text)
-            for lang, mine in texts.items():
-                for names, weights in transducer(tokens_of(mine), lang, sizes, words, pairs):
+            for lang, mine in by_language(batch).items():
+                for names, weights in transducer(Tokens(mine, lang, words), sizes, pairs):
                     for name, n in zip(names, weights.tolist()):
                         key = lang, name
                         held[key] = held.get(key, 0) + n
@@ -173,6 +211,37 @@ def shard_counts(docs: DataFrame, sizes: tuple[int, ...], words: Filter | None =
     return docs.mapInArrow(count, SHARD)
 
 
+def frequent_pairs(docs: DataFrame, words: Filter, least: int, states: int = SHARD_PAIRS) -> DataFrame:
+    """``h`` of the pairs that may have ``least`` occurrences: pairs of passing
+    words counted by hash, united in each task before the shuffle."""
+
+    def merged(held):
+        h, n = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+        keys, inverse = np.unique(h, return_inverse=True)
+        return keys, np.bincount(inverse, n, len(keys)).astype(np.int64)
+
+    def count(batches):
+        held, size = [], 0
+        for batch in slices(batches, BATCH_ROWS):
+            for lang, mine in by_language(batch).items():
+                tokens = Tokens(mine, lang, words)
+                if len(tokens.ids) > 1:
+                    h, n = np.unique(pair_hashes(tokens.hashes)[tokens.pairs()], return_counts=True)
+                    held.append((h, n.astype(np.int64)))
+                    size += len(h)
+            if size >= states:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size >= states // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["h", "n"])
+                    held, size = [], 0
+        if held:
+            h, n = merged(held)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    return docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+
+
 def united(shards: DataFrame) -> DataFrame:
     """Weights of equal n-grams summed by prefix range; the sum needs no other shuffle."""
     parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -187,16 +256,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
                        F.col(text_col).cast("string").alias("text"))
     words = staged(united(staged(shard_counts(rows, (1,)), "words")), "words")
     totals = staged(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    found = [words.filter(F.col("n") >= least)]
-    known, pairs = Filter.of(found[0], filter_bits), None
-    for sizes in ((2,), tuple(range(3, longest + 1))):
-        if sizes and longest >= sizes[0]:
-            shard = staged(shard_counts(rows, sizes, known, pairs), "phrases")
-            found.append(staged(united(shard).filter(F.col("n") >= least), "phrases"))
-            pairs = Filter.of(found[-1], filter_bits)
-    counts = found[0]
-    for more in found[1:]:
-        counts = counts.unionByName(more)
+    counts = words.filter(F.col("n") >= least)
+    if longest > 1:
+        known = Filter.of(hashed_words(counts), filter_bits)
+        pairs = Filter.of(frequent_pairs(rows, known, least), filter_bits)
+        shards = staged(shard_counts(rows, tuple(range(2, longest + 1)), known, pairs), "phrases")
+        counts = counts.unionByName(united(shards).filter(F.col("n") >= least))
     return counts.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), F.col("n").alias("f")), totals
 
 
