@@ -41,9 +41,11 @@ NO_LANG = "und"
 #: bits of the filter that tasks carry (2 MB)
 FILTER_BITS = 24
 #: n-grams a task unites before it writes them
-SHARD_STATES = 400_000
-#: pair hashes a task unites before it writes them, 16 bytes each
+SHARD_STATES = 300_000
+#: pair hashes a task unites before it sends them, 16 bytes each
 SHARD_PAIRS = 3_000_000
+#: bits of a pair's hash; pairs that share them are counted together and may pass for nothing
+HASH_BITS = 40
 BATCH_ROWS = 512
 
 BREAK = b"\xff"  # a byte that UTF-8 never uses
@@ -80,7 +82,7 @@ def pair_hashes(hashes: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A bit set of hashes."""
+    """A bit set of hashes, by their low bits."""
 
     def __init__(self, bits: int, words: np.ndarray):
         self.bits, self.words = bits, words
@@ -188,58 +190,103 @@ def shard_counts(docs: DataFrame, sizes: tuple[int, ...], words: Filter | None =
     n-grams with weights; a task writes them whenever it holds ``states``."""
 
     def rows(held: dict):
-        items = sorted(held.items())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k, _ in items], pa.binary()).cast(pa.string()),
-             pa.array([k[1] for k, _ in items], pa.binary()).cast(pa.string()),
-             pa.array([n for _, n in items], pa.int64())], names=["lang", "phrase", "n"])
+        for lang, counts in sorted(held.items()):
+            names = sorted(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang.decode()] * len(names), pa.string()), pa.array(names, pa.binary()).cast(pa.string()),
+                 pa.array([counts[x] for x in names], pa.int64())], names=["lang", "phrase", "n"])
 
     def count(batches):
         held: dict = {}
         for batch in slices(batches, BATCH_ROWS):
             for lang, mine in by_language(batch).items():
                 for names, weights in transducer(Tokens(mine, lang, words), sizes, pairs):
+                    counts = held.setdefault(lang, {})
                     for name, n in zip(names, weights.tolist()):
-                        key = lang, name
-                        held[key] = held.get(key, 0) + n
-                    if len(held) >= states:
-                        yield rows(held)
+                        counts[name] = counts.get(name, 0) + n
+                    if sum(map(len, held.values())) >= states:
+                        yield from rows(held)
                         held = {}
-        if held:
-            yield rows(held)
+        yield from rows(held)
 
     return docs.mapInArrow(count, SHARD)
 
 
+def _packed(h: np.ndarray, n: np.ndarray, shift: int) -> Iterator[tuple[int, bytes]]:
+    """(range, block) of sorted hashes and their counts; a block holds the
+    gaps between hashes and the counts, byte plane by byte plane."""
+    starts = np.flatnonzero(np.diff(h >> np.uint64(shift), prepend=np.uint64(1) << np.uint64(63)))
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(h)]):
+        both = np.stack([np.diff(h[i:j], prepend=np.uint64(0)), n[i:j].astype(np.uint64)])
+        yield int(h[i] >> np.uint64(shift)), zlib.compress(both.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(block), np.uint8).reshape(8, -1)
+    gaps, n = np.ascontiguousarray(planes.T).view(np.uint64).reshape(2, -1)
+    return np.cumsum(gaps, dtype=np.uint64), n
+
+
+def _united(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    h, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+    n = np.zeros(len(h), np.uint64)
+    np.add.at(n, inverse, np.concatenate([y for _, y in held]))
+    return h, n
+
+
 def frequent_pairs(docs: DataFrame, words: Filter, least: int, states: int = SHARD_PAIRS) -> DataFrame:
     """``h`` of the pairs that may have ``least`` occurrences: pairs of passing
-    words counted by hash, united in each task before the shuffle."""
+    words counted by HASH_BITS of their hash. Each task unites its pairs and
+    sends them as packed blocks, one a hash range; a range's blocks are summed
+    one range after the other."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shift = HASH_BITS - min(20, max(1, (64 * parts - 1).bit_length()))
+    kept = np.uint64((1 << HASH_BITS) - 1)
 
-    def merged(held):
-        h, n = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-        keys, inverse = np.unique(h, return_inverse=True)
-        return keys, np.bincount(inverse, n, len(keys)).astype(np.int64)
+    def blocks(h, n):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*_packed(h, n, shift)), (pa.int64(), pa.binary()))],
+                                          names=["range", "block"])
 
     def count(batches):
         held, size = [], 0
         for batch in slices(batches, BATCH_ROWS):
             for lang, mine in by_language(batch).items():
                 tokens = Tokens(mine, lang, words)
-                if len(tokens.ids) > 1:
-                    h, n = np.unique(pair_hashes(tokens.hashes)[tokens.pairs()], return_counts=True)
-                    held.append((h, n.astype(np.int64)))
+                at = tokens.pairs() if len(tokens.ids) > 1 else ()
+                if len(at):
+                    h, n = np.unique(pair_hashes(tokens.hashes)[at] & kept, return_counts=True)
+                    held.append((h, n.astype(np.uint64)))
                     size += len(h)
             if size >= states:
-                held = [merged(held)]
+                held = [_united(held)]
                 size = len(held[0][0])
                 if size >= states // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["h", "n"])
+                    yield blocks(*held[0])
                     held, size = [], 0
         if held:
-            h, n = merged(held)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+            yield blocks(*_united(held))
+
+    def add(batches):
+        held, now = [], None
+
+        def frequent():
+            h, n = _united(held)
+            return pa.RecordBatch.from_arrays([pa.array(h[n >= least].view(np.int64))], names=["h"])
+
+        for batch in batches:
+            for r, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and r != now:
+                    yield frequent()
+                    held = []
+                now = r
+                held.append(_unpacked(block))
+                if len(held) == 64:
+                    held = [_united(held)]
+        if held:
+            yield frequent()
 
-    return docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    sent = docs.mapInArrow(count, "range long, block binary").repartition(parts, "range").sortWithinPartitions("range")
+    return sent.mapInArrow(add, "h long")
 
 
 def united(shards: DataFrame) -> DataFrame:

@@ -83,3 +83,17 @@ def test_automata(items, wanted):
     assert len(set(auto.states)) == len(auto.states)
     got = dict(C.Automaton.of([(w, 1) for w in wanted]).compose(auto))
     assert got == {" ".join(w): total[w] for w in wanted if w in total}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(0, (1 << C.HASH_BITS) - 1), st.integers(1, 1 << 40), min_size=1, max_size=50))
+def test_packed_blocks(counts):
+    import numpy as np
+    h = np.array(sorted(counts), dtype=np.uint64)
+    n = np.array([counts[x] for x in h.tolist()], dtype=np.uint64)
+    out = {}
+    for r, block in C._packed(h, n, 34):
+        keys, values = C._unpacked(block)
+        assert set((keys >> np.uint64(34)).tolist()) == {r}
+        out.update(zip(keys.tolist(), values.tolist()))
+    assert out == counts
