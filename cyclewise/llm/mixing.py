@@ -164,7 +164,7 @@ class Mix:
         names = spark.createDataFrame(
             [(i, r["source"], -(-r["n"] // BUCKET_DOCS), size[i], target[i]) for i, r in enumerate(found)],
             "source_id int, source string, buckets long, source_size long, target double")
-        self.names = F.broadcast(names)  # one row per source, MAX_SOURCES at most
+        self.names = names  # one row per source, MAX_SOURCES at most; joins broadcast it while it is small
         laid = grouped.join(self.names, grouped["source"].eqNullSafe(names["source"])).drop(names["source"])
         laid = laid.withColumn("bucket", F.pmod(F.xxhash64("sid", "h"), F.col("buckets")))
         w = Window.partitionBy("source_id", "bucket").orderBy("sid", "h")
@@ -237,15 +237,19 @@ class Mix:
                  .agg(F.sort_array(F.collect_list(F.struct("helping", "from", "to"))).alias("parts")))
         parts = parts.join(self.names.select("source_id", F.col("source").alias("_source")), "source_id")
         parts = parts.select("sid", "h", "_source", "copy", "parts")
-        words = words_of(text_col)
+        # the document in one column, so that none of its columns can clash
+        keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+                            F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_sid"),
+                            F.xxhash64(F.col(text_col).cast("string")).alias("_h"),
+                            F.col(source_col).cast("string").alias("_of"))
+        # rows that repeat id, text and source share one text; the other columns are those of one row, by a hash
+        keyed = keyed.groupBy("_sid", "_h", "_of").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc"))
+        joined = keyed.join(parts, (F.col("_sid") == F.col("sid")) & (F.col("_h") == F.col("h"))
+                            & F.col("_of").eqNullSafe(F.col("_source")))
+        words = words_of(F.col("_doc").getField(text_col))
         text = F.array_join(F.flatten(F.transform(
             "parts", lambda p: F.slice(words, p["from"].cast("int") + 1, (p["to"] - p["from"]).cast("int")))), " ")
-        first = docs.select(*docs.columns, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_sid"),
-                            F.xxhash64(F.col(text_col).cast("string")).alias("_h"))
-        keyed = first.dropDuplicates(["_sid", "_h", source_col])
-        joined = keyed.join(parts, (F.col("_sid") == F.col("sid")) & (F.col("_h") == F.col("h"))
-                            & F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-        return joined.withColumn(text_col, text).select(*docs.columns)
+        return joined.select(*[text.alias(c) if c == text_col else F.col("_doc").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:

@@ -39,8 +39,8 @@ def integer_vectors(df: DataFrame, scale: int, id_col: str, vector_col: str) ->
 
 
 def matrix(rows: list, width: int) -> np.ndarray:
-    """Vectors as rows; shorter ones end in zeros."""
-    out = np.zeros((len(rows), width))
+    """Vectors as rows of integers; shorter ones end in zeros."""
+    out = np.zeros((len(rows), width), np.int64)
     for i, r in enumerate(rows):
         out[i, :len(r)] = r
     return out
@@ -49,7 +49,7 @@ def matrix(rows: list, width: int) -> np.ndarray:
 def pick_pivots(rows: DataFrame, width: int, n: int, sample: int) -> np.ndarray:
     """Far-apart vectors of a sample taken by a hash of the id."""
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").collect()
-    vectors = np.unique(matrix([r.v for r in some], width), axis=0)
+    vectors = np.unique(matrix([r.v for r in some], width), axis=0).astype(float)
     chosen, gap = [0], np.full(len(vectors), np.inf)
     while len(chosen) < min(n, len(vectors)):
         gap = np.minimum(gap, np.linalg.norm(vectors - vectors[chosen[-1]], axis=1))
@@ -71,28 +71,56 @@ class Block:
 
     def __init__(self, ids: bytes, vectors: bytes, table: bytes, width: int, pivots: int):
         self.ids = np.frombuffer(ids, np.int64)
-        self.v = np.frombuffer(vectors, np.float64).reshape(len(self.ids), width)
+        self.i = np.frombuffer(vectors, np.int64).reshape(len(self.ids), width)
+        self.v = self.i.astype(float)
         self.table = np.frombuffer(table, np.float64).reshape(len(self.ids), pivots)
         self.norm = (self.v ** 2).sum(1)
 
 
-def search(q: np.ndarray, q_id: int, q_table: np.ndarray, block: Block, k: int, least: float) -> list[tuple[int, int]]:
-    """Best k (score, vec_id) of the block among scores of at least ``least``."""
+def safe_gap(gap, q_norm: float, norm: float, far: float):
+    """A distance bound less what rounding may have added to it; ``far`` is the largest pivot's norm."""
+    return np.maximum(gap - 1e-6 * (1 + gap) - 1e-7 * (q_norm ** 0.5 + norm ** 0.5 + far), 0)
+
+
+def upper(q_norm: float, norm, gap):
+    """Bound of the inner product, with room for rounding."""
+    return (q_norm + norm - gap ** 2) / 2 + 1e-6 + 1e-12 * (q_norm + norm)
+
+
+def search(q: np.ndarray, q_id: int, q_table: np.ndarray, block: Block, k: int, least: float, far: float,
+           large: bool) -> list[tuple[int, int]]:
+    """Best k (score, vec_id) of the block among scores of at least ``least``.
+    Scores of ``large`` vectors, beyond the integers that doubles hold, are
+    summed in 64-bit integers; one that does not fit them is an error."""
     gap = np.abs(block.table - q_table).max(1) if block.table.shape[1] else np.zeros(len(block.ids))
-    gap = np.maximum(gap - 1e-6 * (1 + gap), 0)
-    bound = (float(q @ q) + block.norm - gap ** 2) / 2 + 1e-6
+    qf = q.astype(float)
+    q_norm = float(qf @ qf)
+    bound = upper(q_norm, block.norm, safe_gap(gap, q_norm, float(block.norm.max()), far))
+    least = least - 1e-12 * abs(least) if np.isfinite(least) else least
     live = np.flatnonzero((bound >= least) & (block.ids != q_id))
     order = live[np.argsort(-bound[live], kind="stable")]
-    best_s, best_i = np.zeros(0), np.zeros(0, np.int64)
-    for at in range(0, len(order), CHUNK):
+    best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, step = 0, CHUNK
+    while at < len(order):
         if len(best_s) >= k and bound[order[at]] < best_s[k - 1]:
             break
-        some = order[at:at + CHUNK]
-        s, i = np.concatenate([best_s, block.v[some] @ q]), np.concatenate([best_i, block.ids[some]])
+        some = order[at:at + step]
+        at, step = at + step, 2 * step
+        near = block.v[some] @ qf
+        if large:
+            if (np.abs(near) >= 2.0 ** 63 * (1 - 1e-9)).any():
+                raise ValueError("a score of these vectors does not fit 64 bits; use a smaller scale")
+            new = block.i[some] @ q
+        else:
+            new = near.astype(np.int64)
+        floor = best_s[k - 1] if len(best_s) >= k else None
+        fine = np.flatnonzero(new >= (least if floor is None else max(least, floor)))
+        if len(fine) > k:  # all that may be among the best, ties included
+            fine = fine[new[fine] >= np.partition(new[fine], len(fine) - k)[len(fine) - k]]
+        s, i = np.concatenate([best_s, new[fine]]), np.concatenate([best_i, block.ids[some[fine]]])
         top = np.lexsort((i, -s))[:k]
         best_s, best_i = s[top], i[top]
-    keep = best_s >= least
-    return list(zip(best_s[keep].astype(np.int64).tolist(), best_i[keep].tolist()))
+    return list(zip(best_s.tolist(), best_i.tolist()))
 
 
 PACKED = "block int, ids binary, vectors binary, tab binary, low binary, high binary, norm double"
@@ -107,23 +135,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
     another id; equal scores go to the smaller id. Vectors of unequal length
     count as ended by zeros. Rows that repeat a query's id and vector ask once;
     repeated candidates each count. A query with no candidate, and an empty
-    table, give no rows."""
+    table, give no rows. Scores are exact as far as they fit 64 bits, and an
+    error beyond."""
     spark = vectors.sparkSession
     rows = staged(integer_vectors(vectors, scale, id_col, vector_col), "vectors")
     n, width, largest = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.array_max(F.transform(
         "v", lambda e: F.abs(e))))).first()
     width = width or 0
-    if width * float(largest or 0) ** 2 * 2 >= 2 ** 53:
-        raise ValueError("scores of these vectors are not exact in doubles; use a smaller scale")
+    large = width * float(largest or 0) ** 2 * 2 >= 2 ** 53
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pivot = pick_pivots(rows, width, pivots, PIVOT_SAMPLE)
-    n_pivots = len(pivot)
+    n_pivots, far = len(pivot), float(np.sqrt((pivot ** 2).sum(1).max()))
 
     def place(batches):
         for b in batches:
             v = matrix(b.column("v").to_pylist(), width)
-            d = distances(v, pivot)
+            d = distances(v.astype(float), pivot)
             yield pa.RecordBatch.from_arrays(
                 [b.column("vec_id"), pa.array([packed(x) for x in v]), pa.array([packed(x) for x in d]),
                  pa.array(d.argmin(1).astype(np.int32))], names=["vec_id", "vector", "tab", "nearest"])
@@ -139,9 +167,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
 
     def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         tab = np.frombuffer(b"".join(t.column("tab").to_pylist()), np.float64).reshape(t.num_rows, n_pivots)
-        v = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(t.num_rows, width)
+        v = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.int64).reshape(t.num_rows, width).astype(float)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()),
-                         "ids": [packed(t.column("vec_id").to_numpy())], "vectors": [packed(v)], "tab": [packed(tab)],
+                         "ids": [packed(t.column("vec_id").to_numpy())], "vectors": [b"".join(t.column("vector").to_pylist())], "tab": [packed(tab)],
                          "low": [packed(tab.min(0))], "high": [packed(tab.max(0))],
                          "norm": [float((v ** 2).sum(1).max())]})
 
@@ -159,7 +187,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
                 out = []
                 for q in row["queries"]:
                     least = q["least"] if q.get("least") is not None else -np.inf
-                    hits = search(np.frombuffer(q["vector"]), q["vec_id"], np.frombuffer(q["tab"]), blk, k, least)
+                    hits = search(np.frombuffer(q["vector"], np.int64), q["vec_id"], np.frombuffer(q["tab"]), blk, k,
+                                  least, far, large)
                     out += [(q["vec_id"], q["variant"], i, s) for s, i in hits]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[j] for x in out], pa.int64()) for j in range(4)],
@@ -185,10 +214,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
                 low, high = np.frombuffer(row["low"]), np.frombuffer(row["high"])
                 live = []
                 for q in row["queries"]:
-                    t, v = np.frombuffer(q["tab"]), np.frombuffer(q["vector"])
-                    gap = np.maximum(np.maximum(low - t, t - high), 0).max()
-                    gap = max(gap - 1e-6 * (1 + gap), 0)
-                    if q["least"] is None or (float(v @ v) + row["norm"] - gap ** 2) / 2 + 1e-6 >= q["least"]:
+                    t, v = np.frombuffer(q["tab"]), np.frombuffer(q["vector"], np.int64).astype(float)
+                    gap = safe_gap(np.maximum(np.maximum(low - t, t - high), 0).max(), float(v @ v), row["norm"], far)
+                    if q["least"] is None or upper(float(v @ v), row["norm"], gap) >= q["least"] - 1e-12 * abs(q["least"]):
                         live.append(q)
                 if live:
                     yield pa.RecordBatch.from_pylist([{"block": row["block"], "queries": live}], schema=OPEN_ARROW)

@@ -98,23 +98,25 @@ def test_token_files_are_plain_zstandard_and_checked(spark, docs):
 
 
 def test_token_counts(docs, table, empty):
-    opening, following = map(set, token_counts.pieces(vocabulary("piece_bpe_32k.model")))
+    path = vocabulary("piece_bpe_32k.model")
+    opening, following = map(set, token_counts.pieces(path))
 
     def greedy(word):
-        at = n = 0
-        while at < len(word):
-            have = opening if at == 0 else following
-            end = next((e for e in range(min(len(word), at + 40), at, -1) if word[at:e] in have), None)
-            if end is None:
-                return None
-            at, n = end, n + 1
+        """Longest pieces from the left: the first one opens the word (the bare
+        mark, the empty string here, may), then following ones, or one a byte."""
+        end = max(e for e in range(len(word) + 1) if word[:e] in opening)
+        n = 1
+        while end < len(word):
+            to = next((e for e in range(len(word), end, -1) if word[end:e] in following), None)
+            n += 1 if to else len(word[end].encode())
+            end = to or end + 1
         return n
 
+    assert "" in opening
     want = []
     for d, t, _ in table:
         counts = [greedy(w.decode()) for w in split(t)]
-        want.append((-1 if d is None else d, len(counts), sum(1 if c is None else c for c in counts), counts.count(None)))
-    path = vocabulary("piece_bpe_32k.model")
+        want.append((-1 if d is None else d, len(counts), sum(counts), 0))
     got = [(-1 if r[0] is None else r[0], *r[1:]) for r in token_counts.token_counts(docs, path).collect()]
     assert sorted(got) == sorted(want)
     assert token_counts.token_counts(empty, path).count() == 0
@@ -266,6 +268,22 @@ def test_top_k(spark):
     assert topk.top_k(df.filter("vec_id = 300"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e6, 1e7])
+def test_top_k_of_large_vectors_is_exact(spark, size):
+    draw = np.random.default_rng(3)
+    vectors = [(i, (size * draw.normal(size=8)).tolist()) for i in range(150)] + [(200, [size] * 8), (201, [size] * 8)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=5).collect()
+    exact = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors]
+    for q, v in exact:
+        if q % 20 == 0:
+            want = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in exact if i != q)[:5]
+            assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+    if size == 1e7:
+        with pytest.raises(Exception, match="does not fit 64 bits"):
+            topk.top_k(df.union(spark.createDataFrame([(300, [1e8] * 8)], df.schema)), F.col("vec_id") == 300).collect()
+
+
 def test_url_filter(spark):
     rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/")]
     html = "<p>fresh news daily bread " * 30 + "</p>"
