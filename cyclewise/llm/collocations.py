@@ -46,6 +46,8 @@ SHARD_STATES = 300_000
 SHARD_PAIRS = 3_000_000
 #: bits of a pair's hash; pairs that share them are counted together and may pass for nothing
 HASH_BITS = 40
+#: leading bits of a hash that name its range; a task sends one block a range, whatever the cluster's size
+RANGE_BITS = 11
 BATCH_ROWS = 512
 
 BREAK = b"\xff"  # a byte that UTF-8 never uses
@@ -240,7 +242,7 @@ def frequent_pairs(docs: DataFrame, words: Filter, least: int, states: int = SHA
     sends them as packed blocks, one a hash range; a range's blocks are summed
     one range after the other."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shift = HASH_BITS - min(20, max(1, (64 * parts - 1).bit_length()))
+    shift = HASH_BITS - RANGE_BITS
     kept = np.uint64((1 << HASH_BITS) - 1)
 
     def blocks(h, n):
