@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cyclewise.sources import snapshots
 from cyclewise.functions.exprs import count_le_small, ks_pvalue
 from cyclewise.functions.scan import ordered_scan
 from cyclewise.session import stage
@@ -350,21 +351,20 @@ def what_if_shift(long_df: DataFrame, severities: Sequence[str] = tuple(SEVERITY
 REFERENCE_PARTS = ("ecdf", "stats", "edges", "ref_bins", "k_empty")
 
 
-def save_reference(ref, path: str) -> None:
-    """Persist every part of a fitted reference model as Parquet."""
-    for name, part in zip(REFERENCE_PARTS, ref):
-        part.write.mode("overwrite").parquet(f"{path}/{name}")
+def save_reference(ref, path: str) -> str:
+    """Publish every part of a fitted reference model as one new version; returns its name."""
+    return snapshots.publish(ref[0].sparkSession, path, dict(zip(REFERENCE_PARTS, ref)))
 
 
-def load_reference(spark, path: str):
-    """Load a saved reference model (the detector auto-loads it when present)."""
-    return tuple(spark.read.parquet(f"{path}/{name}") for name in REFERENCE_PARTS)
+def load_reference(spark, path: str, version: str | None = None):
+    """Load the latest published reference model, or a given version."""
+    parts = snapshots.load(spark, path, version)
+    return tuple(parts[name] for name in REFERENCE_PARTS)
 
 
 def reference_or_fit(spark, path: str, ref_long: DataFrame):
-    """Auto-load the reference at ``path`` if it exists, else fit and save it.
-    A stored reference that cannot be read is an error and is left alone."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    """Auto-load the reference published at ``path``, else fit and publish it.
+    A version that was not published (its writer was stopped) does not count."""
+    if snapshots.latest(spark, path) is None:
         save_reference(reference_model(ref_long), path)
     return load_reference(spark, path)

@@ -32,15 +32,21 @@ def engine_positions(df: DataFrame, keys=("dataset",), engine: str = "engine_id"
     return ordered_scan(engines, list(keys), [engine], out=out)
 
 
-def attach_truth(test: DataFrame, truth: DataFrame, keys=("dataset",), engine: str = "engine_id") -> DataFrame:
+def attach_truth(test: DataFrame, truth: DataFrame, keys=("dataset",), engine: str = "engine_id",
+                 required: bool = False) -> DataFrame:
     """L2: line i of the truth file belongs to the i-th smallest engine id.
 
     ``truth`` has (dataset, position, rul). Returns (dataset, engine_id, rul)
     for every test engine; an engine without a truth line keeps rul NULL and is
-    reported by :func:`missing_truth`.
+    reported by :func:`missing_truth`; with ``required`` it ends the query with
+    an error that names it, as in the reference.
     """
     pos = engine_positions(test, keys, engine)
-    return pos.join(truth, [*keys, "position"], "left").select(*keys, engine, "position", "rul")
+    rul = F.col("rul")
+    if required:
+        name = F.concat_ws(" ", *[F.col(k).cast("string") for k in (*keys, engine)])
+        rul = F.coalesce(rul, F.raise_error(F.concat(F.lit("no truth for engine "), name)).cast("int")).alias("rul")
+    return pos.join(truth, [*keys, "position"], "left").select(*keys, engine, "position", rul)
 
 
 def missing_truth(test: DataFrame, truth: DataFrame, keys=("dataset",), engine: str = "engine_id") -> DataFrame:

@@ -51,7 +51,7 @@ def rul_truth_alignment(spark, sf):
     io.write_rul(truth, path)
     back = io.read_rul(spark, path, "lineitem")
     io.assert_rul_alignment(test, back)
-    return attach_truth(test, back).select("dataset", "engine_id", "position", "rul")
+    return attach_truth(test, back, required=True).select("dataset", "engine_id", "position", "rul")
 
 
 @register("processed_roundtrip", with_fleets("lineitem", extra=(
@@ -91,12 +91,12 @@ def retraining_triggers_sink(spark, sf):
 
 @register("reference_store_roundtrip", ORACLE["drift_reference_stats"])
 def reference_store_roundtrip(spark, sf):
-    """Reference statistics persisted and auto-loaded."""
-    from cyclewise.operators.drift import fit_reference
-    _, stats = fit_reference(monitor_input(spark, sf).filter(F.col("split") == "train"))
+    """The whole reference published as one version, and its statistics auto-loaded."""
+    from cyclewise.operators.drift import reference_or_fit
     path = scratch(spark, "reference")
-    io.save_table(stats, path)
-    s = io.load_table(spark, path)
+    train = monitor_input(spark, sf).filter(F.col("split") == "train")
+    reference_or_fit(spark, path, train)                # fitted and published
+    s = reference_or_fit(spark, path, train.limit(0))[1]  # found there
     return s.select("dataset", "sensor", "n", r6("mean").alias("mean"), r6("std").alias("std"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,14 +42,22 @@ def write_telemetry_text(df: DataFrame, path: str, columns: Sequence[str]) -> No
 
 
 def read_rul(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """One value per line, line i belongs to the i-th smallest engine.
-    The truth file is one short line per engine; it is read whole so the
-    line position is explicit (no reliance on split or partition order)."""
-    lines = spark.read.text(path, wholetext=True)
-    return (lines.select(F.posexplode(F.split(F.col("value"), "\n")).alias("i", "line"))
-            .filter(F.length(F.trim("line")) > 0)
-            .select(F.lit(dataset).alias("dataset"), (F.col("i") + 1).cast("long").alias("position"),
-                    F.trim("line").cast("int").alias("rul")))
+    """One value per line, line i belongs to the i-th smallest engine; blank
+    lines do not count. A line's number is its rank in its file split plus the
+    lines of the splits before (by file, then offset), so a truth file of any
+    size is read in parallel and only the splits, not the lines, are ordered
+    together."""
+    lines = spark.read.text(path).select(
+        F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.filter(F.length("line") > 0)
+    splits = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "start", F.coalesce(before, F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("file", "start").orderBy("at"))
+    ranked = lines.withColumn("rank", rank).join(splits, ["file", "start"])
+    return ranked.select(F.lit(dataset).alias("dataset"), (F.col("before") + F.col("rank")).cast("long").alias("position"),
+                         F.col("line").cast("int").alias("rul"))
 
 
 def write_rul(truth: DataFrame, path: str) -> None:
