@@ -15,22 +15,25 @@ def test_boosting_takes_the_reference_settings_and_its_pick(spark, monkeypatch):
     assert (defaults["rounds"], defaults["depth"], defaults["patience"]) == (2000, 6, 40)
     assert (defaults["learning_rate"], defaults["subsample"], defaults["colsample"], defaults["reg_lambda"]) == (
         0.05, 0.8, 0.8, 1.0)
-    real, runs = Q.M.boost, []
+    runs = []
 
-    def boost(*args, **kw):
-        assert not kw  # the queries change no setting
-        runs.append(real(*args, rounds=3, **kw))
-        return runs[-1]
+    def short(real):
+        def boost(*args, **kw):
+            assert not kw  # the queries change no setting
+            runs.append(real(*args, rounds=3, **kw))
+            return runs[-1]
+        return boost
 
-    monkeypatch.setattr(Q.M, "boost", boost)
+    monkeypatch.setattr(Q.M, "boost", short(Q.M.boost))
+    monkeypatch.setattr(Q.M, "boost_folds", short(Q.M.boost_folds))
     monkeypatch.setattr(Q, "_MEMO", {})
     best = Q.gbt_tree_selection(spark, SF).first().best_tree_count
     assert 1 <= best <= 3 and len(runs[0].model("final").trees) == best
     rows = Q.gbt_cross_validation(spark, SF).collect()
     assert sorted(r.fold for r in rows) == [-1, 0, 1, 2, 3, 4]
-    assert {r.fold: r.trees for r in rows if r.fold >= 0} == {f: runs[0].tasks[f].best for f in range(5)}
+    assert {r.fold: r.trees for r in rows if r.fold >= 0} == {f: runs[1].tasks[f].best for f in range(5)}
     assert {r.model for r in Q.model_comparison(spark, SF).collect()} == {"gbt", "random_forest", "linear"}
-    assert len(runs) == 1
+    assert len(runs) == 2
 
 
 def test_sweep_takes_twenty_restarts(spark, monkeypatch):
