@@ -9,7 +9,7 @@ rows ``(dataset, severity, engine_id, sensor, value)``; a batch is one engine.
 * D3 PSI with empty bins in closed form: bins a batch does not touch add a
   per-sensor constant, so no batch x bin expansion is needed.
 * D4 KS statistic = max over batch points of |F_ref - F_b| at x and x-,
-  F_ref looked up from the ECDF by value; p-value from ``ks_pvalue``.
+  F_ref looked up in the ECDF's buckets; p-value from ``ks_pvalue``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclewise.sources import snapshots
-from cyclewise.functions.exprs import count_le_small, ks_pvalue
+from cyclewise.functions.exprs import count_le_small, count_le_sorted, ks_pvalue
 from cyclewise.functions.scan import ordered_scan
 from cyclewise.session import stage
 
@@ -32,6 +32,11 @@ KS_PVALUE = 0.05
 CALIBRATION_QUANTILE = 0.995
 MIN_BATCH_ROWS = 5
 SMALL_BATCH_ROWS = 20
+# reference rows a bucket of the ECDF stands for, and the bound of a sensor's bucket directory
+BUCKET_ROWS = 100_000
+MAX_BUCKETS = 4096
+# distinct batch points looked up in one copy of a bucket
+BUCKET_POINTS = 200_000
 SEVERITY_MULTIPLIERS = {"normal": 1.00, "small": 1.05, "medium": 1.15, "severe": 1.30}
 
 REF = ["dataset", "sensor"]
@@ -46,20 +51,62 @@ def to_long(df: DataFrame, sensors: Sequence[str],
 
 # ---------------------------------------------------------------- D1 / D2
 
-def fit_reference(ref_long: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fit_reference(ref_long: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """Returns (ecdf, stats).
 
-    ecdf  = (dataset, sensor, value, cnt, cum_le)  distinct non-null values
-    stats = (dataset, sensor, n, mean, std)         population std
-    """
+    ecdf  = (dataset, sensor, value, cnt, cum_le, bucket)  distinct non-null values
+    stats = (dataset, sensor, n, mean, std, starts, buckets)  population std
+
+    A bucket holds the values that begin within one of a sensor's equal shares
+    of reference rows, at most ``MAX_BUCKETS`` of them. ``starts`` has the first
+    value of every bucket that is not empty, ``buckets`` their numbers."""
     vals = ref_long.filter(F.col("value").isNotNull())
     counts = stage(vals.groupBy(*REF, "value").agg(F.count(F.lit(1)).alias("cnt")))
-    ecdf = stage(ordered_scan(counts, REF, ["value"], weight="cnt", out="cum_le"))
-    stats = stage(vals.groupBy(*REF).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
-                                         F.stddev_pop("value").alias("std")))
+    moments = stage(vals.groupBy(*REF).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
+                                           F.stddev_pop("value").alias("std")))
+    shares = F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("n") / bucket_rows)).cast("long")
+    ranked = ordered_scan(counts, REF, ["value"], weight="cnt", out="cum_le")
+    ecdf = stage(ranked.join(moments.select(*REF, "n", shares.alias("_k")), REF).select(
+        *REF, "value", "cnt", "cum_le",
+        F.floor((F.col("cum_le") - F.col("cnt")) * F.col("_k") / F.col("n")).cast("int").alias("bucket")))
+    first = ecdf.groupBy(*REF, "bucket").agg(F.min("value").alias("start"))
+    directory = first.groupBy(*REF).agg(F.sort_array(F.collect_list(F.struct("start", "bucket"))).alias("_d"))
+    stats = stage(moments.join(directory, REF).select(
+        *moments.columns, F.col("_d.start").alias("starts"), F.col("_d.bucket").alias("buckets")))
     return ecdf, stats
 
 
+def reference_ranks(points: DataFrame, ecdf: DataFrame, stats: DataFrame,
+                    bucket_points: int = BUCKET_POINTS) -> DataFrame:
+    """Reference rows at most (``le``) and below (``lt``) each distinct point (dataset, sensor, value).
+
+    A point goes to the last bucket that starts at or below it and takes the
+    counts of the greatest reference value there that is not above it; below
+    the first bucket both are 0. Only buckets with points are shuffled, and
+    nothing of the reference is written. A bucket with many points (a batch
+    beyond the reference's range) is copied once per ``bucket_points`` of them
+    and its points are dealt to the copies by their hash."""
+    at = F.greatest(count_le_sorted("starts", "value", MAX_BUCKETS), F.lit(1))
+    located = (points.join(stats.select(*REF, "starts", "buckets"), REF)
+               .select(*REF, "value", F.element_at("buckets", at).alias("bucket")))
+    copies = F.ceil(F.count(F.lit(1)) / bucket_points).cast("int")
+    touched = located.groupBy(*REF, "bucket").agg(copies.alias("_copies"))
+    asked = located.join(touched, [*REF, "bucket"]).select(
+        *REF, "bucket", F.pmod(F.xxhash64("value"), F.col("_copies")).cast("int").alias("_copy"), "value",
+        F.lit(None).cast("struct<value:double,cnt:bigint,cum_le:bigint>").alias("_ref"))
+    held = ecdf.join(touched, [*REF, "bucket"]).select(
+        *REF, "bucket", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"), "value",
+        F.struct(F.col("value").cast("double").alias("value"), "cnt", "cum_le").alias("_ref"))
+    upto = (Window.partitionBy(*REF, "bucket", "_copy").orderBy("value", F.col("_ref").isNull())
+            .rowsBetween(Window.unboundedPreceding, 0))
+    found = held.unionByName(asked).withColumn("_at", F.last("_ref", ignorenulls=True).over(upto))
+    below = F.when(F.col("_at.value") == F.col("value"), F.col("_at.cum_le") - F.col("_at.cnt")).otherwise(
+        F.col("_at.cum_le"))
+    zero = F.lit(0).cast("long")
+    return found.filter(F.col("_ref").isNull()).select(
+        *REF, "value", F.coalesce("_at.cum_le", zero).alias("le"), F.coalesce(below, zero).alias("lt"))
+
+
 def _lerp(a, b, t):
     """numpy's linear interpolation (stable form on both halves)."""
     return F.when(t < 0.5, a + (b - a) * t).otherwise(b - (b - a) * (F.lit(1.0) - t))
@@ -178,13 +225,7 @@ def ks_from_counts(bc: DataFrame, ecdf: DataFrame, stats: DataFrame, keys: Seque
     if points_in_reference:
         look = ecdf.select(*REF, "value", F.col("cum_le").alias("le"), (F.col("cum_le") - F.col("cnt")).alias("lt"))
     else:
-        # F_ref at every distinct batch point: scan reference counts and
-        # query points together, query points weigh 0
-        points = bc.select(*REF, "value").distinct().withColumn("cnt", F.lit(0).cast("long"))
-        merged = stage(ecdf.select(*REF, "value", "cnt").unionByName(points)
-                       .groupBy(*REF, "value").agg(F.sum("cnt").alias("cnt")))
-        look = ordered_scan(merged, REF, ["value"], weight="cnt", out="le")
-        look = look.select(*REF, "value", "le", (F.col("le") - F.col("cnt")).alias("lt"))
+        look = reference_ranks(bc.select(*REF, "value").distinct(), ecdf, stats)
     fb = ordered_scan(bc, keys, ["value"], weight="cb", out="cum_b")
     sizes = bc.groupBy(*keys).agg(F.sum("cb").alias("m"))
     fb = fb.join(sizes, keys)

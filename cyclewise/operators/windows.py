@@ -3,9 +3,9 @@ engine-wise splits (G1, G2).
 
 * W1 every-row sliding windows use a trailing frame of w rows over cycle
   chunks with a halo of w-1 rows, so a long engine is spread over tasks.
-* W3/W4/W5 need one window per (engine, cutoff): the rows within w cycles
-  of each end are grouped, so a group never exceeds w rows and no frame is
-  evaluated on rows that end no window.
+* W3/W4/W5 need one window per (engine, cutoff): rows meet the ends by
+  (engine, chunk of cycles), and each chunk hands on the part of a window it
+  holds. No task gets a whole engine, no group exceeds w rows.
 * Z4 and the window counts use closed forms instead of materialising the
   50x-larger window tensor.
 """
@@ -21,6 +21,12 @@ from cyclewise.functions.columns import feature_columns  # noqa: F401  (P3, re-e
 from cyclewise.functions.scan import DEFAULT_CHUNK, chunk_frames, drop_halo, ordered_scan
 
 KEYS = ["dataset", "engine_id"]
+# cycles an engine's rows are cut into to meet the ends of windows
+TAIL_CHUNK = 10_000
+
+
+def _chunk_of(cycle: Column, chunk: int) -> Column:
+    return F.floor((cycle - 1) / F.lit(chunk)).cast("long")
 
 
 def _pad(rows: Column, n: Column, w: int, width: int) -> Column:
@@ -44,18 +50,28 @@ def sliding_windows(df: DataFrame, features: Sequence[str], w: int = 50, step: i
 
 
 def windows_at(df: DataFrame, ends: DataFrame, features: Sequence[str], w: int = 50, target: str = "rul",
-               keys=KEYS, cycle: str = "cycle", extra: Sequence[str] = ()) -> DataFrame:
+               keys=KEYS, cycle: str = "cycle", extra: Sequence[str] = (), chunk: int = TAIL_CHUNK) -> DataFrame:
     """One window per row of ``ends`` (keys..., end_cycle, extra...): the last
-    w rows up to end_cycle, zero-padded in front. Groups hold <= w rows."""
+    w rows up to end_cycle, zero-padded in front. An end asks the chunks of
+    ``chunk`` cycles that its window meets; rows of other chunks leave in the
+    join. Each chunk gives its part of a window (at most w rows), and the
+    parts are put together in cycle order."""
     keys = list(keys)
-    rows = df.select(*keys, cycle, F.struct(F.col(cycle).alias("c"), F.array(
-        *[F.col(f).cast("double") for f in features]).alias("v")).alias("_r"), F.col(target).alias("_t"))
-    j = rows.join(ends, keys).filter((F.col(cycle) <= F.col("end_cycle")) & (F.col(cycle) > F.col("end_cycle") - w))
-    g = j.groupBy(*keys, "end_cycle", *extra).agg(
-        F.sort_array(F.collect_list("_r")).alias("_rs"),
-        F.max(F.when(F.col(cycle) == F.col("end_cycle"), F.col("_t"))).alias("y"))
+    rows = df.select(*keys, _chunk_of(F.col(cycle), chunk).alias("_chunk"),
+                     F.struct(F.col(cycle).alias("c"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"),
+                              F.col(target).alias("t")).alias("_r"))
+    asks = ends.select(*keys, "end_cycle", *extra, F.explode(F.sequence(
+        _chunk_of(F.greatest(F.col("end_cycle") - (w - 1), F.lit(1)), chunk),
+        _chunk_of(F.col("end_cycle"), chunk))).alias("_chunk"))
+    j = rows.join(asks, [*keys, "_chunk"]).filter(
+        (F.col("_r.c") <= F.col("end_cycle")) & (F.col("_r.c") > F.col("end_cycle") - w))
+    parts = j.groupBy(*keys, "_chunk", "end_cycle", *extra).agg(F.collect_list("_r").alias("_part"))
+    g = parts.groupBy(*keys, "end_cycle", *extra).agg(
+        F.sort_array(F.flatten(F.collect_list("_part"))).alias("_rs"))
+    last = F.element_at("_rs", -1)
+    y = F.when(last["c"] == F.col("end_cycle"), last["t"])
     body = F.transform("_rs", lambda r: r["v"])
-    return g.select(*keys, "end_cycle", *extra, "y", _pad(body, F.size("_rs"), w, len(features)).alias("x"))
+    return g.select(*keys, "end_cycle", *extra, y.alias("y"), _pad(body, F.size("_rs"), w, len(features)).alias("x"))
 
 
 def last_windows(df: DataFrame, features: Sequence[str], w: int = 50, target: str = "rul", keys=KEYS,

@@ -97,3 +97,22 @@ def test_reference_save_load_roundtrip(spark, tmp_path):
     a = D.batch_tests(batch, ref).collect()[0]
     b = D.batch_tests(batch, again).collect()[0]
     assert (a.psi, a.ks_statistic) == (b.psi, b.ks_statistic)
+
+
+def test_reference_ranks_by_bucket(spark):
+    """Many buckets, a value heavier than several of them, points below, between and beyond, hot buckets in copies."""
+    rnd = random.Random(5)
+    vals = [float(rnd.randint(0, 400)) / 4 for _ in range(900)] + [50.0] * 700
+    ref = spark.createDataFrame([("d", "s", v) for v in vals] + [("d", "t", 1.0)], "dataset string, sensor string, value double")
+    ecdf, stats = D.fit_reference(ref, bucket_rows=40)
+    sizes = {r.sensor: len(r.buckets) for r in stats.collect()}
+    assert sizes["s"] > 10 and sizes["t"] == 1
+    asked = sorted({float(rnd.randint(-40, 480)) / 4 + rnd.choice([0.0, 0.1]) for _ in range(300)} | {-1e9, 1e9, 50.0})
+    pts = spark.createDataFrame([("d", s, v) for s in ("s", "t") for v in asked], ref.schema)
+    for limit in (5, 10_000):
+        got = {(r.sensor, r.value): (r.le, r.lt) for r in D.reference_ranks(pts, ecdf, stats, limit).collect()}
+        assert len(got) == 2 * len(asked)
+        for s, held in (("s", np.sort(vals)), ("t", np.array([1.0]))):
+            for v in asked:
+                want = (int(np.searchsorted(held, v, "right")), int(np.searchsorted(held, v, "left")))
+                assert got[(s, v)] == want, (s, v, limit)

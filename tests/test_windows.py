@@ -99,3 +99,32 @@ def test_hot_engine_is_split_after_a_keyed_join(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_tails_of_one_engine_meet_no_single_task(spark):
+    """W3-W5 deal a hot engine by chunk, and a window over a chunk's border is put together."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                          "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(1, 2001).selectExpr("'d' AS dataset", "7 AS engine_id", "cast(id AS int) AS cycle",
+                                             "cast(id AS double) AS s1", "cast(2000 - id AS int) AS rul").unionByName(
+            spark.range(1, 8).selectExpr("'d' AS dataset", "8 AS engine_id", "cast(id AS int) AS cycle",
+                                         "cast(id AS double) AS s1", "cast(7 - id AS int) AS rul"))
+        ends = spark.createDataFrame([("d", 7, e) for e in (30, 100, 125, 701, 1500, 2000)] + [("d", 8, 7)],
+                                     "dataset string, engine_id int, end_cycle int")
+        out = W.windows_at(df, ends, ["s1"], 50, chunk=100)
+        got = {(r.engine_id, r.end_cycle): (r.y, [v[0] for v in r.x]) for r in out.collect()}
+        assert len(got) == 7
+        for (engine, end), (y, x) in got.items():
+            want = [float(max(c, 0)) for c in range(end - 49, end + 1)]
+            assert x == want and y == (2000 if engine == 7 else 7) - end
+        assert out.filter("engine_id = 7").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        rows = df.select("dataset", "engine_id", "cycle", W._chunk_of(F.col("cycle"), 100).alias("_chunk"))
+        asked = ends.select("dataset", "engine_id", W._chunk_of(F.col("end_cycle"), 100).alias("_chunk")).distinct()
+        met = rows.join(asked, ["dataset", "engine_id", "_chunk"]).filter("engine_id = 7")
+        assert met.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
