@@ -58,11 +58,12 @@ def one_hot(regime: str | Column, width: int) -> Column:
                        lambda k: F.when(k == r, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def count_le_sorted(edges: str | Column, v: str | Column, max_len: int = 64) -> Column:
+def count_le_sorted(edges: str | Column, v: str | Column, max_len: int | None = 64) -> Column:
     """Number of elements <= v in an ascending array, by binary search
-    (log2(max_len) steps of ``aggregate``, no per-element scan)."""
+    (log2(max_len) steps of ``aggregate``, no per-element scan; without
+    ``max_len`` as many steps as each array needs)."""
     e, x = col(edges), col(v)
-    steps = max(1, max_len.bit_length() + 1)
+    steps = F.length(F.bin(F.size(e))) if max_len is None else F.lit(max(1, max_len.bit_length() + 1))
     init = F.struct(F.lit(0).alias("lo"), F.size(e).alias("hi"))
 
     def step(acc, _i):
@@ -73,7 +74,7 @@ def count_le_sorted(edges: str | Column, v: str | Column, max_len: int = 64) ->
             F.when(go_right, F.struct((mid + 1).alias("lo"), hi.alias("hi")))
             .otherwise(F.struct(lo.alias("lo"), mid.alias("hi"))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+    return F.aggregate(F.sequence(F.lit(1), steps), init, step)["lo"]
 
 
 def count_le_small(edges: str | Column, v: str | Column, max_len: int) -> Column:

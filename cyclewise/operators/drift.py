@@ -78,33 +78,34 @@ def fit_reference(ref_long: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple[
 
 def reference_ranks(points: DataFrame, ecdf: DataFrame, stats: DataFrame,
                     bucket_points: int = BUCKET_POINTS) -> DataFrame:
-    """Reference rows at most (``le``) and below (``lt``) each distinct point (dataset, sensor, value).
-
-    A point goes to the last bucket that starts at or below it and takes the
-    counts of the greatest reference value there that is not above it; below
-    the first bucket both are 0. Only buckets with points are shuffled, and
-    nothing of the reference is written. A bucket with many points (a batch
-    beyond the reference's range) is copied once per ``bucket_points`` of them
-    and its points are dealt to the copies by their hash."""
-    at = F.greatest(count_le_sorted("starts", "value", MAX_BUCKETS), F.lit(1))
-    located = (points.join(stats.select(*REF, "starts", "buckets"), REF)
-               .select(*REF, "value", F.element_at("buckets", at).alias("bucket")))
+    """``points`` (dataset, sensor, value not null, any other columns) with the
+    reference rows at most (``le``) and below (``lt``) each row's value.
+
+    A row goes to the last bucket that starts at or below its value and takes
+    the counts of the greatest reference value there that is not above it;
+    below the first bucket both are 0. Only buckets with rows are shuffled, and
+    nothing of the reference is written. A bucket with many rows (a sensor with
+    few values, batches beyond the reference's range) is copied once per
+    ``bucket_points`` of them, and the rows are dealt to the copies by their hash."""
+    at = F.greatest(count_le_sorted("starts", "value", None), F.lit(1))
+    located = points.join(stats.select(*REF, "starts", "buckets"), REF).select(
+        *REF, "value", F.element_at("buckets", at).alias("_bucket"), F.struct(*points.columns).alias("_row"))
     copies = F.ceil(F.count(F.lit(1)) / bucket_points).cast("int")
-    touched = located.groupBy(*REF, "bucket").agg(copies.alias("_copies"))
-    asked = located.join(touched, [*REF, "bucket"]).select(
-        *REF, "bucket", F.pmod(F.xxhash64("value"), F.col("_copies")).cast("int").alias("_copy"), "value",
+    touched = located.groupBy(*REF, "_bucket").agg(copies.alias("_copies"))
+    asked = located.join(touched, [*REF, "_bucket"]).select(
+        *REF, "_bucket", F.pmod(F.xxhash64("_row"), F.col("_copies")).cast("int").alias("_copy"), "value", "_row",
         F.lit(None).cast("struct<value:double,cnt:bigint,cum_le:bigint>").alias("_ref"))
-    held = ecdf.join(touched, [*REF, "bucket"]).select(
-        *REF, "bucket", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"), "value",
+    held = ecdf.withColumnRenamed("bucket", "_bucket").join(touched, [*REF, "_bucket"]).select(
+        *REF, "_bucket", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_copy"), "value",
         F.struct(F.col("value").cast("double").alias("value"), "cnt", "cum_le").alias("_ref"))
-    upto = (Window.partitionBy(*REF, "bucket", "_copy").orderBy("value", F.col("_ref").isNull())
+    upto = (Window.partitionBy(*REF, "_bucket", "_copy").orderBy("value", F.col("_ref").isNull())
             .rowsBetween(Window.unboundedPreceding, 0))
-    found = held.unionByName(asked).withColumn("_at", F.last("_ref", ignorenulls=True).over(upto))
+    found = (held.unionByName(asked, allowMissingColumns=True)
+             .withColumn("_at", F.last("_ref", ignorenulls=True).over(upto)).filter(F.col("_ref").isNull()))
     below = F.when(F.col("_at.value") == F.col("value"), F.col("_at.cum_le") - F.col("_at.cnt")).otherwise(
         F.col("_at.cum_le"))
     zero = F.lit(0).cast("long")
-    return found.filter(F.col("_ref").isNull()).select(
-        *REF, "value", F.coalesce("_at.cum_le", zero).alias("le"), F.coalesce(below, zero).alias("lt"))
+    return found.select("_row.*", F.coalesce("_at.cum_le", zero).alias("le"), F.coalesce(below, zero).alias("lt"))
 
 
 def _lerp(a, b, t):
@@ -222,14 +223,14 @@ def ks_from_counts(bc: DataFrame, ecdf: DataFrame, stats: DataFrame, keys: Seque
                    points_in_reference: bool = False) -> DataFrame:
     """D4 on per-batch value counts (keys..., value, cb)."""
     keys = list(keys)
-    if points_in_reference:
-        look = ecdf.select(*REF, "value", F.col("cum_le").alias("le"), (F.col("cum_le") - F.col("cnt")).alias("lt"))
-    else:
-        look = reference_ranks(bc.select(*REF, "value").distinct(), ecdf, stats)
     fb = ordered_scan(bc, keys, ["value"], weight="cb", out="cum_b")
     sizes = bc.groupBy(*keys).agg(F.sum("cb").alias("m"))
-    fb = fb.join(sizes, keys)
-    j = fb.join(look, [*REF, "value"]).join(F.broadcast(stats.select(*REF, "n")), REF)
+    if points_in_reference:
+        ranked = fb.join(ecdf.select(*REF, "value", F.col("cum_le").alias("le"),
+                                     (F.col("cum_le") - F.col("cnt")).alias("lt")), [*REF, "value"])
+    else:
+        ranked = reference_ranks(fb, ecdf, stats)
+    j = ranked.join(sizes, keys).join(stats.select(*REF, "n"), REF)
     n = F.col("n").cast("double")
     gap = F.greatest(F.abs(F.col("le") / n - F.col("cum_b") / F.col("m")),
                      F.abs(F.col("lt") / n - (F.col("cum_b") - F.col("cb")) / F.col("m")))

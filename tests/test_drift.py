@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from cyclewise.operators import drift as D
 
@@ -108,7 +109,8 @@ def test_reference_ranks_by_bucket(spark):
     sizes = {r.sensor: len(r.buckets) for r in stats.collect()}
     assert sizes["s"] > 10 and sizes["t"] == 1
     asked = sorted({float(rnd.randint(-40, 480)) / 4 + rnd.choice([0.0, 0.1]) for _ in range(300)} | {-1e9, 1e9, 50.0})
-    pts = spark.createDataFrame([("d", s, v) for s in ("s", "t") for v in asked], ref.schema)
+    pts = spark.createDataFrame([("d", s, v) for s in ("s", "t") for v in asked], ref.schema).withColumn(
+        "bucket", F.lit("a column of the points"))
     for limit in (5, 10_000):
         got = {(r.sensor, r.value): (r.le, r.lt) for r in D.reference_ranks(pts, ecdf, stats, limit).collect()}
         assert len(got) == 2 * len(asked)
