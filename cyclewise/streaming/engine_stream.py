@@ -6,27 +6,24 @@
 * K2 ``stream_detect`` runs the batch detector on every micro-batch against a
   fixed reference model (``foreachBatch``); each epoch overwrites its own
   output folder, so a retried epoch is idempotent.
-* K3 ``stream_gate`` appends the batches' counts to a table as they arrive, in
-  any order, and takes the consecutive-batch gate D9 over the ordered batches
-  at the end of the input.
+* K3 ``stream_gate`` decides in every micro-batch on the batches whose turn has
+  come; those ahead of a gap wait. The state is one row a gate.
 * K4 ``stream_rollup`` windowed per-engine aggregates with a watermark
   (tumbling, sliding or session windows).
 """
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cyclewise.operators import drift as D
-from cyclewise.operators.gate import drift_gate
+from cyclewise.functions.scan import ordered_scan
+from cyclewise.operators.gate import drift_gate, gate_state
 from cyclewise.session import checkpoint_dir, stage
 
 
@@ -88,83 +85,89 @@ def stream_detect(stream: DataFrame, ref, thresholds: DataFrame, positions: Data
     return q
 
 
+GATE_KEYS = ["dataset", "severity"]
 GATE_OUT = ("dataset string, severity string, batch_index long, drifted_sensor_count long, drift_detected boolean, "
             "consecutive_drift_batches long, retraining_episode_active boolean, action string")
-def gate_rows(index: np.ndarray, count: np.ndarray, before: tuple[int, int, bool], required_batches: int,
-              required_sensors: int, stable_reset: int) -> tuple[pd.DataFrame, tuple[int, int, bool]]:
-    """Decisions for consecutive batches by the definition of ``drift_gate``.
-
-    ``before`` is (last stable index, last drifted index, whether the open
-    episode has fired) of all earlier batches. A run's length is the distance
-    to the last batch of the other kind. An episode ends where a stable run
-    has just the length ``stable_reset``; it fires at its first batch whose
-    drifted run has ``required_batches``."""
-    drift = count >= required_sensors
-    last_stable = np.maximum.accumulate(np.where(drift, before[0], index))
-    last_drift = np.maximum.accumulate(np.where(drift, index, before[1]))
-    run = index - last_stable
-    episode = np.cumsum(index - last_drift == stable_reset)
-    at = np.arange(len(index))
-    fires = np.full(int(episode[-1]) + 1, len(index))
-    ready = np.flatnonzero(run >= required_batches)
-    np.minimum.at(fires, episode[ready], ready)
-    if before[2]:
-        fires[0] = -1
-    here = fires[episode]
-    action = np.select([at == here, (at > here) & drift], ["trigger_retraining", "retraining_pending"],
-                       "continue_prediction")
-    out = pd.DataFrame({"batch_index": index, "drifted_sensor_count": count, "drift_detected": drift,
-                        "consecutive_drift_batches": run, "retraining_episode_active": at >= here, "action": action})
-    return out, (int(last_stable[-1]), int(last_drift[-1]), bool(at[-1] >= here[-1]))
-
-
-def _gate_fn(required_batches: int, required_sensors: int, stable_reset: int, max_waiting: int | None = None):
-    """The gate as a state function for one gate, batch by batch: batches ahead of
-    their turn wait, without bound unless ``max_waiting`` is given."""
-    names = [c.split()[0] for c in GATE_OUT.split(", ")]
-
-    def fn(key, pdfs, state):
-        done, *before, waiting = state.get if state.exists else (-1, -1, -1, False, "{}")
-        known = {int(i): c for i, c in json.loads(waiting).items()}
-        for pdf in pdfs:
-            known |= dict(zip(pdf["batch_index"].astype(int).tolist(), pdf["drifted_sensor_count"].astype(int).tolist()))
-        known = {i: c for i, c in known.items() if i > done}
-        ready, at = [], done + 1
-        while known:
-            if at in known:
-                ready.append((at, known.pop(at), False))
-            elif max_waiting is not None and len(known) > max_waiting:  # the batch is missing: as a skipped one, its count left null
-                ready.append((at, 0, True))
-            else:
-                break
-            at += 1
-        out = pd.DataFrame(columns=names)
-        if ready:
-            index, count, missing = (np.array(x) for x in zip(*ready))
-            out, before = gate_rows(index, count, tuple(before), required_batches, required_sensors, stable_reset)
-            out["drifted_sensor_count"] = out["drifted_sensor_count"].astype("Int64").mask(missing)
-            out = out.assign(dataset=key[0], severity=key[1])[names]
-        state.update((at - 1, *before, json.dumps(known)))
-        yield out
-    return fn
+GATE_STATE = ("dataset string, severity string, batch_index long, consecutive_drift_batches long, "
+              "consecutive_stable_batches long, retraining_episode_active boolean")
+GATE_WAITING = "dataset string, severity string, batch_index long, drifted_sensor_count long"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def gate_step(arrived: DataFrame, state: DataFrame, required_batches: int = 3, required_sensors: int = 3,
+              stable_reset: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One step of the streaming gate: (decisions, state, waiting).
+
+    ``arrived`` (GATE_WAITING) holds the counts not yet decided on, new and
+    waiting ones alike; ``state`` (GATE_STATE) is one row a gate. A batch's turn
+    has come when every index from the gate's last one up to it is there; a
+    batch that was decided on before or comes twice counts once."""
+    last = F.coalesce(F.col("_last"), F.lit(-1))
+    fresh = (arrived.join(state.select(*GATE_KEYS, F.col("batch_index").alias("_last")), GATE_KEYS, "left")
+             .filter(F.col("batch_index") > last).dropDuplicates([*GATE_KEYS, "batch_index"]))
+    placed = stage(ordered_scan(stage(fresh), GATE_KEYS, ["batch_index"], out="_rn")
+                   .withColumn("_turn", F.col("batch_index") == last + F.col("_rn")))
+    due = placed.filter("_turn").select(*_names(GATE_WAITING))
+    decided = stage(drift_gate(due, required_batches, required_sensors, stable_reset, GATE_KEYS, before=state))
+    moved = gate_state(decided, GATE_KEYS)
+    after = moved.unionByName(state.join(moved, GATE_KEYS, "left_anti")).select(*_names(GATE_STATE))
+    return decided.select(*_names(GATE_OUT)), after, placed.filter("NOT _turn").select(*_names(GATE_WAITING))
 
 
 def stream_gate(flags_stream: DataFrame, positions: DataFrame, required_batches: int = 3, required_sensors: int = 3,
-                stable_reset: int = 2, severities=tuple(D.SEVERITY_MULTIPLIERS)) -> DataFrame:
+                stable_reset: int = 2, severities=tuple(D.SEVERITY_MULTIPLIERS), out: str | None = None) -> DataFrame:
     """K3: drives the stream of batch counts to the end of its input and gives
-    the gate's rows; equals D9. Batches may come in any order and any number of
-    them ahead of others: the stream only appends to a table. ``positions``
-    (dataset, batch_index) names the batches there are; one without a count at
-    the end has a null count and is a skipped batch to the gate."""
-    keys = ["dataset", "severity", "batch_index"]
-    counts = run_to_table(flags_stream.select(*keys, "drifted_sensor_count"), "gate-counts")
+    the gate's rows; equals D9.
+
+    Every micro-batch writes its decisions to ``out/decisions/epoch=<id>`` as
+    soon as the batches' turn has come, together with the state after it and
+    the batches that wait for an earlier one, so both stay as small as the
+    gaps. A retried micro-batch starts from the state of the one before and
+    overwrites its own folders. Batches may come in any order and any number
+    of them ahead of others. ``positions`` (dataset, batch_index) names the
+    batches there are; one without a count at the end has a null count and is
+    a skipped batch to the gate, and those that waited for it are decided on
+    then. A last decisions folder, of the epoch after the last, holds these.
+    ``out`` is a new folder."""
+    spark = flags_stream.sparkSession
+    out = out or scratch(spark, "gate")
+    rules = (required_batches, required_sensors, stable_reset)
+    epochs = [-1]
+
+    def read(part: str, epoch: int, schema: str) -> DataFrame:
+        if epoch < 0:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(f"{out}/{part}/epoch={epoch}")
+
+    def write(parts: tuple, epoch: int) -> None:
+        for part, df in zip(("decisions", "state", "waiting"), parts):
+            df.write.mode("overwrite").parquet(f"{out}/{part}/epoch={epoch}")
+
+    def per_batch(batch: DataFrame, epoch: int) -> None:
+        new = batch.select(*GATE_KEYS, F.col("batch_index").cast("long").alias("batch_index"),
+                           F.col("drifted_sensor_count").cast("long").alias("drifted_sensor_count"))
+        arrived = new.unionByName(read("waiting", epoch - 1, GATE_WAITING))
+        write(gate_step(arrived, read("state", epoch - 1, GATE_STATE), *rules), epoch)
+        epochs.append(epoch)
+
+    q = (flags_stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", f"{out}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    done = epochs[-1]
+    state, waiting = read("state", done, GATE_STATE), read("waiting", done, GATE_WAITING)
     sev = F.explode(F.array(*[F.lit(x) for x in severities])).alias("severity")
     known = positions.select("dataset", sev, F.col("batch_index").cast("long").alias("batch_index"))
-    flags = known.join(counts, keys, "full").withColumn("missing", F.col("drifted_sensor_count").isNull())
-    flags = flags.withColumn("drifted_sensor_count", F.coalesce("drifted_sensor_count", F.lit(0).cast("long")))
-    g = drift_gate(flags, required_batches, required_sensors, stable_reset)
-    g = g.withColumn("drifted_sensor_count", F.when(~F.col("missing"), F.col("drifted_sensor_count")))
-    return g.select(*[c.split()[0] for c in GATE_OUT.split(", ")])
+    left = (known.join(state.select(*GATE_KEYS, F.col("batch_index").alias("_last")), GATE_KEYS, "left")
+            .filter(F.col("batch_index") > F.coalesce("_last", F.lit(-1))).drop("_last")
+            .join(waiting, [*GATE_KEYS, "batch_index"], "full").withColumn("missing", F.col("drifted_sensor_count").isNull())
+            .withColumn("drifted_sensor_count", F.coalesce("drifted_sensor_count", F.lit(0).cast("long"))))
+    rest = drift_gate(left, *rules, GATE_KEYS, before=state).withColumn(
+        "drifted_sensor_count", F.when(~F.col("missing"), F.col("drifted_sensor_count")))
+    rest.select(*_names(GATE_OUT)).write.mode("overwrite").parquet(f"{out}/decisions/epoch={done + 1}")
+    return spark.read.schema(GATE_OUT).parquet(f"{out}/decisions").select(*_names(GATE_OUT))
 
 
 def stream_rollup(stream: DataFrame, kind: str = "tumbling", duration: str = "1 hour", slide: str = "30 minutes",

@@ -1,50 +1,33 @@
-"""K3 gate state function: out-of-order arrival across micro-batches gives
-the same decisions as the batch gate / state machine."""
+"""Streaming: the gate step by step against the batch gate, windowed rollups."""
 import random
 
-import pandas as pd
-
-from cyclewise.streaming.engine_stream import _gate_fn
+from cyclewise.operators.gate import drift_gate
+from cyclewise.streaming import engine_stream as K
 from tests.test_gate import CASES
 
 
-class FakeState:
-    def __init__(self):
-        self.exists, self._v = False, None
-
-    @property
-    def get(self):
-        return self._v
-
-    def update(self, v):
-        self.exists, self._v = True, v
-
-
-def feed(fn, state, counts, order, size):
-    out = []
-    for at in range(0, len(order), size):
-        part = order[at:at + size]
-        pdf = pd.DataFrame({"batch_index": part, "drifted_sensor_count": [counts[i] for i in part]})
-        for res in fn(("d", "normal"), iter([pdf]), state):
-            out.extend(res.itertuples(index=False))
-    return out
-
-
-def test_out_of_order_microbatches():
+def test_gate_decides_as_soon_as_the_prefix_is_whole(spark):
+    """After every step: decisions of just the whole prefix of each gate, equal to the batch gate's, and the
+    rest waits. Batches come in any order, some twice, the gates side by side."""
     rnd = random.Random(4)
-    for counts, want in CASES.values():
-        order = list(range(len(counts)))
-        rnd.shuffle(order)
-        out = feed(_gate_fn(3, 3, 2), FakeState(), counts, order, 2)
-        assert [r.batch_index for r in out] == list(range(len(counts)))
-        assert [(r.consecutive_drift_batches, int(r.retraining_episode_active), r.action) for r in out] == want
-
-
-def test_a_missing_batch_does_not_stall_the_gate():
-    counts = [3, 3, None, 3, 3, 3, 3]
-    out = feed(_gate_fn(3, 3, 2, max_waiting=2), FakeState(), counts, [0, 1, 3, 4, 5, 6], 1)
-    assert [r.batch_index for r in out] == list(range(7))
-    assert pd.isna(out[2].drifted_sensor_count) and [r.action for r in out][5] == "trigger_retraining"
+    rows = [("d", g, i, c) for g, (counts, _) in CASES.items() for i, c in enumerate(counts)]
+    want = {(r.severity, r.batch_index): r for r in drift_gate(spark.createDataFrame(rows, K.GATE_WAITING)).select(
+        *K._names(K.GATE_OUT)).collect()}
+    rnd.shuffle(rows)
+    state, waiting = spark.createDataFrame([], K.GATE_STATE), spark.createDataFrame([], K.GATE_WAITING)
+    seen, got, sent = set(), {}, []
+    for at in range(0, len(rows), 9):
+        new = rows[at:at + 9] + rnd.sample(sent, min(2, len(sent)))
+        sent += rows[at:at + 9]
+        decided, state, waiting = K.gate_step(spark.createDataFrame(new, K.GATE_WAITING).unionByName(waiting), state)
+        got |= {(r.severity, r.batch_index): r for r in decided.collect()}
+        state, waiting = K.stage(state), K.stage(waiting)
+        seen |= {(g, i) for _, g, i, _ in new}
+        prefix = {(g, i) for g, i in seen if all((g, j) in seen for j in range(i))}
+        assert set(got) == prefix
+        assert {(r.severity, r.batch_index) for r in waiting.collect()} == seen - prefix
+        assert all(got[k] == want[k] for k in got)
+    assert got == want
 
 
 def test_rollup_independent_of_session_time_zone(spark):
