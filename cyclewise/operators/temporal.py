@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cyclewise.functions.exprs import guarded_abs_corr
 from cyclewise.functions.scan import DEFAULT_CHUNK, chunk_frames, drop_halo
+from cyclewise.session import stage
 
 KEYS = ["dataset", "engine_id"]
 
@@ -93,15 +94,21 @@ def causality_audit(df: DataFrame, sensors: Sequence[str], window: int = 5, cut:
 
 def degradation_features(df: DataFrame, sensors: Sequence[str], target: str = "rul", top_n: int = 6,
                          window: int = 5, per_regime: int = 3, second: bool = False,
-                         regime: str | None = "regime_id", split: str = "split") -> tuple[DataFrame, list[str]]:
-    """Select sensors on the train split (T2), then add T3-T6 for the
-    same sensors on every row. Returns (frame, selected sensors in pick order);
-    the selection is at most ``top_n`` names."""
+                         regime: str | None = "regime_id", split: str = "split") -> tuple[DataFrame, DataFrame]:
+    """Select sensors on the train split (T2), then add T3-T6 of them on
+    every row. Returns (frame, selection); the selection has (dataset, sensor,
+    pick), at most ``top_n`` sensors a dataset. A feature is NULL in the rows
+    of a dataset that did not pick its sensor; a dataset without training rows
+    picks none and keeps its rows."""
     train = df.filter(F.col(split) == "train")
     ids = ["dataset", target] + ([regime] if regime else [])
     long = train.unpivot(ids, list(sensors), "sensor", "value").withColumn(
         "sensor_order", F.array_position(F.array(*[F.lit(s) for s in sensors]), F.col("sensor")) - 1)
-    sel = select_degradation_sensors(long, per_regime, min(top_n, len(sensors)), regime, target=target)
-    picked = [r.sensor for r in sel.orderBy("dataset", "pick").collect()]
-    picked = list(dict.fromkeys(picked))
-    return add_temporal(df, picked, window, second), picked
+    sel = stage(select_degradation_sensors(long, per_regime, min(top_n, len(sensors)), regime, target=target))
+    chosen = {r.sensor for r in sel.select("sensor").distinct().collect()}  # names among ``sensors``
+    picked = [s for s in sensors if s in chosen]
+    own = sel.groupBy("dataset").agg(F.collect_set("sensor").alias("_picked"))
+    feats = add_temporal(df, picked, window, second).join(own, "dataset", "left")
+    names = ["diff1", f"roll_mean{window}", f"roll_std{window}"] + (["diff2"] if second else [])
+    masked = {f"{s}_{n}": F.when(F.array_contains("_picked", s), F.col(f"{s}_{n}")) for s in picked for n in names}
+    return feats.withColumns(masked).drop("_picked"), sel

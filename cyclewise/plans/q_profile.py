@@ -98,6 +98,22 @@ def prune_sensors(spark, sf):
     return _both(spark, sf, one)
 
 
+def _pruned_sql(n):
+    return (f"SELECT l.dataset, split, engine_id, cycle, l.sensor, value FROM ({long_sql(n)}) l JOIN (SELECT dataset, sensor, "
+            f"count(value) > 0 AND min(value) = max(value) AS constant, var_samp(value) AS variance "
+            f"FROM ({_long_train_sql(n)}) GROUP BY ALL) d ON d.dataset = l.dataset AND d.sensor = l.sensor "
+            f"WHERE NOT constant AND NOT coalesce(variance < 0.001, false)")
+
+
+@register("pruned_readings", with_fleets(*ALL) + _union_sql(_pruned_sql))
+def pruned_readings(spark, sf):
+    """F1 + F2: both splits without the sensors that the train split calls constant or of low variance."""
+    def one(df, n):
+        kept = P.prune(df, P.sensors_to_drop(_long(df.filter("split = 'train'"), n)))
+        return to_long(kept, [s for s in SENSORS[n] if s in kept.columns])
+    return _both(spark, sf, one)
+
+
 def _corr_sql(n):
     s = SENSORS_SQL[n]
     parts = []

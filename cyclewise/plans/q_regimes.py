@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from cyclewise.functions.exprs import r6
 from cyclewise.operators import regimes as R
+from cyclewise.operators import temporal
 from cyclewise.operators.drift import to_long
 from cyclewise.operators.labels import with_rul
-from cyclewise.operators.temporal import add_temporal, select_degradation_sensors
+from cyclewise.operators.temporal import select_degradation_sensors
 from cyclewise.plans.catalog import register
 from cyclewise.plans.oracle import with_fleets
 from cyclewise.session import stage
@@ -234,17 +235,13 @@ WINDOW w AS (PARTITION BY l.dataset, l.engine_id, l.sensor ORDER BY cycle),
        wr AS (PARTITION BY l.dataset, l.engine_id, l.sensor ORDER BY cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""")
 def degradation_features(spark, sf):
     """Selection on train, the same sensors' diff1 / rolling features on both splits."""
-    df = regime_frame(spark, sf)
-    sel = _selection(df).collect()  # at most 6 sensor names
-    picks = {r.sensor: r.pick for r in sel}
-    feats = add_temporal(df, list(picks), 5)
-    parts = [feats.select("dataset", "engine_id", "cycle", F.lit(s).alias("sensor"), F.lit(p).cast("int").alias("pick"),
-                          r6(f"{s}_diff1").alias("diff1"), r6(f"{s}_roll_mean5").alias("roll_mean5"),
-                          r6(f"{s}_roll_std5").alias("roll_std5")) for s, p in picks.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    feats, sel = temporal.degradation_features(regime_frame(spark, sf), SENS)
+    made = [s for s in SENS if f"{s}_diff1" in feats.columns]
+    cell = F.explode(F.array(*[F.struct(
+        F.lit(s).alias("sensor"), r6(f"{s}_diff1").alias("diff1"), r6(f"{s}_roll_mean5").alias("roll_mean5"),
+        r6(f"{s}_roll_std5").alias("roll_std5")) for s in made])).alias("c")
+    return (feats.select("dataset", "engine_id", "cycle", cell).select("dataset", "engine_id", "cycle", "c.*")
+            .join(sel.select("dataset", "sensor", F.col("pick").cast("int").alias("pick")), ["dataset", "sensor"]))
 
 
 # ---------------------------------------------------------------- sweep and vote

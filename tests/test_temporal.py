@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from cyclewise.operators.temporal import add_temporal, causality_audit
+from cyclewise.operators.temporal import add_temporal, causality_audit, degradation_features
 
 
 def _tiny(spark):
@@ -48,3 +48,29 @@ def test_causality_audit_passes(spark):
     rows = [Row(dataset="d", engine_id=e, cycle=c, sensor_1=rnd.random()) for e in (1, 2) for c in range(1, 30)]
     out = causality_audit(spark.createDataFrame(rows), ["sensor_1"], 5, 0.5, second=True).collect()
     assert out and all(r.violations == 0 for r in out)
+
+
+def test_each_dataset_gets_the_features_of_its_own_sensors(spark):
+    rnd = random.Random(9)
+    rows = []
+    for d, good in (("a", "s1"), ("b", "s2"), ("only_test", "s1")):
+        for split, e in (("train", 1), ("test", 2)):
+            if d == "only_test" and split == "train":
+                continue
+            for c in range(1, 31):
+                v = {s: rnd.random() for s in ("s1", "s2", "s3")}
+                v[good] = float(c * c)
+                rows.append(Row(dataset=d, split=split, engine_id=e, cycle=c, regime_id=0, rul=30 - c, **v))
+    df = spark.createDataFrame(rows)
+    out, sel = degradation_features(df, ["s1", "s2", "s3"], top_n=1, per_regime=1, second=True)
+    assert sorted((r.dataset, r.sensor, r.pick) for r in sel.collect()) == [("a", "s1", 1), ("b", "s2", 1)]
+    assert "s3_diff1" not in out.columns
+    got = out.collect()
+    assert len(got) == len(rows)
+    plain = {(r.dataset, r.engine_id, r.cycle): r for r in add_temporal(df, ["s1", "s2"], 5, True).collect()}
+    for r in got:
+        p = plain[(r.dataset, r.engine_id, r.cycle)]
+        for s in ("s1", "s2"):
+            for n in ("diff1", "roll_mean5", "roll_std5", "diff2"):
+                mine = {"a": "s1", "b": "s2"}.get(r.dataset) == s
+                assert r[f"{s}_{n}"] == (p[f"{s}_{n}"] if mine else None)
