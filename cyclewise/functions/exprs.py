@@ -33,20 +33,6 @@ def nasa_term(y: str | Column, p: str | Column) -> Column:
     return F.when(d < 0, F.exp(-d / 13.0) - 1).otherwise(F.exp(d / 10.0) - 1)
 
 
-def ks_pvalue(d: str | Column, n: str | Column, m: str | Column, terms: int = 100) -> Column:
-    """Two-sided two-sample KS p-value, asymptotic Kolmogorov series with the
-    small-sample correction on the effective size en = n*m/(n+m).
-    p = 1 below lambda = 0.2, where the series is within 1e-12 of 1."""
-    en = col(n) * col(m) / (col(n) + col(m))
-    lam = (F.sqrt(en) + F.lit(0.12) + F.lit(0.11) / F.sqrt(en)) * col(d)
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
-        lambda acc, k: acc + F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-        * F.exp(F.lit(-2.0) * k * k * lam * lam))
-    p = F.least(F.greatest(F.lit(2.0) * series, F.lit(0.0)), F.lit(1.0))
-    return F.when(lam < 0.2, F.lit(1.0)).otherwise(p)
-
-
 def r6(c: str | Column) -> Column:
     return F.round(col(c), 6)
 

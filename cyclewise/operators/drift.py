@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cyclewise.sources import snapshots
-from cyclewise.functions.exprs import count_le_small, count_le_sorted, ks_pvalue
+from cyclewise.functions.exprs import count_le_small, count_le_sorted
+from cyclewise.functions.ks import ks_pvalue
 from cyclewise.functions.scan import ordered_scan
 from cyclewise.session import stage
 

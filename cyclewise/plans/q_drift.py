@@ -37,6 +37,48 @@ def _quantile_sql(src: str, keys: str, value: str, q: float, name: str) -> str:
                    AND hi.r = least(floor(h.h) + 1, h.n - 1))"""
 
 
+def _ks_pvalue_sql(name: str) -> str:
+    """P(D_N >= d), N = n*m/(n+m) rounded: the one-sided sum with the gamma
+    function in the tail, Durbin's matrix applied N times to a unit vector up
+    to N = 140, the Pelz-Good series beyond."""
+    series = lambda lo, hi, body: f"list_sum(list_transform(range({lo}, {hi}), lambda k: {body}))"
+    half, whole = "((pi() * (k + 0.5)) ** 2)", "((pi() * k) ** 2)"
+    eh, ew = f"exp(-{half} / (2 * z2))", f"exp(-{whole} / (2 * z2))"
+    k0 = series(-20, 20, f"{eh} / z")
+    k1 = series(-20, 20, f"({half} - z2) * {eh}") + " / (6 * z2 ** 2)"
+    k2 = series(-20, 20, f"(6 * z2 ** 3 + 2 * z2 ** 2 + {half} * (2 * z2 ** 2 - 5 * z2) "
+                         f"+ {half} ** 2 * (1 - 2 * z2)) * {eh}") + " / (72 * z ** 7) - " \
+        + series(-20, 21, f"{whole} * {ew}") + " / (36 * z ** 3)"
+    k3 = series(-20, 20, f"({half} ** 3 * (5 - 30 * z2) + {half} ** 2 * (-60 * z2 + 212 * z2 ** 2) "
+                         f"+ {half} * (135 * z2 ** 2 - 96 * z2 ** 3) - 30 * z2 ** 3 - 90 * z2 ** 4) * {eh}") \
+        + " / (6480 * z2 ** 5) + " + series(-20, 21, f"(3 * {whole} * z2 - {whole} ** 2) * {ew}") + " / (216 * z2 ** 3)"
+    return f"""
+{name}_nd AS (SELECT DISTINCT d, round_even(m * n / (m + n), 0) AS en FROM {name}_d),
+{name}_edge AS (SELECT d, en, CASE WHEN en * d <= 0.5 THEN 1.0 ELSE 0.0 END AS p FROM {name}_nd WHERE en * d <= 0.5 OR d >= 1),
+{name}_in AS (SELECT *, CAST(ceil(en * d) AS INTEGER) AS k, ceil(en * d) - en * d AS h, 2 * CAST(ceil(en * d) AS INTEGER) - 1 AS mm
+   FROM {name}_nd WHERE en * d > 0.5 AND d < 1),
+{name}_tail AS (SELECT d, en, least(1.0, 2 * d * list_sum(list_transform(range(0, CAST(floor(en * (1 - d)) AS BIGINT) + 1),
+     lambda j: CASE WHEN 1 - d - j / en <= 0 THEN 0.0 ELSE exp(lgamma(en + 1) - lgamma(j + 1.0) - lgamma(en - j + 1)
+          + (j - 1) * ln(d + j / en) + (en - j) * ln(1 - d - j / en)) END))) AS p
+   FROM {name}_in WHERE en * d * d >= 4),
+{name}_mat AS (SELECT d, en, k, mm, list_transform(range(1, mm + 1), lambda i: list_transform(range(1, mm + 1), lambda j:
+     CASE WHEN j > i + 1 THEN 0.0
+          WHEN j = 1 AND i = mm THEN (1 - 2 * h ** mm + greatest(0.0, 2 * h - 1) ** mm) / gamma(mm + 1.0)
+          WHEN j = 1 THEN (1 - h ** i) / gamma(i + 1.0)
+          WHEN i = mm THEN (1 - h ** (mm - j + 1)) / gamma(mm - j + 2.0)
+          ELSE 1 / gamma(i - j + 2.0) END)) AS hm
+   FROM {name}_in WHERE en * d * d < 4 AND en <= 140),
+{name}_pow AS (SELECT d, en, k, list_reduce(list_transform(range(0, CAST(en AS BIGINT) + 1),
+     lambda s: list_transform(range(1, mm + 1), lambda i: CASE WHEN i = k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)),
+     lambda v, s: list_transform(hm, lambda r: list_dot_product(r, v))) AS v FROM {name}_mat),
+{name}_small AS (SELECT d, en, 1 - v[k] * exp(lgamma(en + 1) - en * ln(en)) AS p FROM {name}_pow),
+{name}_z AS (SELECT d, en, d * sqrt(en) AS z, d * d * en AS z2 FROM {name}_in WHERE en * d * d < 4 AND en > 140),
+{name}_large AS (SELECT d, en, 1 - sqrt(pi() / 2) * ({k0} + ({k1}) / sqrt(en) + ({k2}) / en + ({k3}) / en ** 1.5) AS p FROM {name}_z),
+{name}_p AS (SELECT d, en, least(1.0, greatest(0.0, p)) AS p FROM (SELECT * FROM {name}_edge UNION ALL SELECT * FROM {name}_tail
+   UNION ALL SELECT * FROM {name}_small UNION ALL SELECT * FROM {name}_large)),
+{name}_ks AS (SELECT q.*, x.p FROM {name}_d q JOIN {name}_p x ON x.d = q.d AND x.en = round_even(q.m * q.n / (q.m + q.n), 0))"""
+
+
 def _tests_sql(batch: str, keys: str, name: str) -> str:
     """PSI and KS per (keys, sensor) batch from the textbook definitions."""
     k = keys
@@ -62,9 +104,7 @@ def _tests_sql(batch: str, keys: str, name: str) -> str:
    max(greatest(abs(l.le / s.n - f.cum_b / f.m), abs((l.le - l.cnt) / s.n - (f.cum_b - f.cb) / f.m))) AS d,
    any_value(f.m) AS m, any_value(s.n) AS n
    FROM {name}_fb f JOIN {name}_look l USING (dataset, sensor, value) JOIN stats s USING (dataset, sensor) GROUP BY ALL),
-{name}_ks AS (SELECT *, CASE WHEN lam < 0.2 THEN 1.0 ELSE least(greatest(2.0 * list_sum(list_transform(range(1, 101),
-     lambda j: CASE WHEN j % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * j * j * lam * lam))), 0.0), 1.0) END AS p
-   FROM (SELECT *, (sqrt(m * n / (m + n)) + 0.12 + 0.11 / sqrt(m * n / (m + n))) * d AS lam FROM {name}_d)),
+{_ks_pvalue_sql(name)},
 {name} AS (SELECT p.*, k.d AS ks_statistic, k.p AS ks_pvalue, k.m AS sample_size
    FROM {name}_psi p JOIN {name}_ks k USING ({k}, sensor) WHERE k.m >= 5)"""
 

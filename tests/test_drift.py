@@ -61,17 +61,6 @@ def test_psi_ks_match_numpy(spark):
         assert r.sample_size == len(vs)
 
 
-def test_ks_pvalue_matches_kolmogorov_series(spark):
-    df = spark.createDataFrame([Row(d=0.1, n=1000, m=50), Row(d=0.3, n=1000, m=50), Row(d=0.02, n=100, m=100)])
-    out = df.select(D.ks_pvalue("d", "n", "m").alias("p")).collect()
-    for row, (d, n, m) in zip(out, [(0.1, 1000, 50), (0.3, 1000, 50), (0.02, 100, 100)]):
-        en = n * m / (n + m)
-        lam = (math.sqrt(en) + 0.12 + 0.11 / math.sqrt(en)) * d
-        exp = 1.0 if lam < 0.2 else min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam)
-                                                               for k in range(1, 101))))
-        assert math.isclose(row.p, exp, rel_tol=1e-12, abs_tol=1e-15)
-
-
 def test_unknown_severity_is_an_error(spark):
     df = spark.createDataFrame([Row(dataset="d", engine_id=1, cycle=1, sensor="s", value=1.0)])
     try:
