@@ -225,7 +225,7 @@ fit AS (SELECT l.dataset, k.k AS fold, floor(l.cycle / {BUCKET}) AS bucket, l.ru
 gm AS (SELECT dataset, fold, avg(rul) AS g FROM fit GROUP BY ALL),
 bm AS (SELECT dataset, fold, bucket, avg(rul) AS pb FROM fit GROUP BY ALL),
 pts AS (SELECT dataset, engine_id, fold, cycle, CAST(rul AS DOUBLE) AS y FROM lf
-        WHERE cycle = least(n, greatest(50, floor(n * CAST('0.8' AS DOUBLE))))),
+        WHERE cycle >= 50 OR (n < 50 AND cycle = n)),
 sc AS (SELECT p.dataset, p.fold, p.y, greatest(least(coalesce(b.pb, g.g), 125.0), 0.0) AS p
        FROM pts p JOIN gm g USING (dataset, fold) LEFT JOIN bm b ON b.dataset = p.dataset AND b.fold = p.fold
             AND b.bucket = floor(p.cycle / {BUCKET})),
@@ -240,23 +240,18 @@ UNION ALL
 SELECT dataset, -1, round(avg(rmse), 3), round(avg(mae), 3), round(avg(r2), 3), round(avg(nasa_score), 3) FROM per GROUP BY dataset""")
 def baseline_cross_validation(spark, sf):
     """M1/X4 data path with an exact oracle: 5 engine folds (G1); for every
-    fold the cycle-bucket mean-RUL model is refit on the other folds (the
-    fit rows are replicated once per fold they train, k - 1 = 4 times), the
-    fold's engines are scored at 0.8 of their life, metrics per fold and
-    their unweighted mean (fold -1)."""
+    fold the cycle-bucket mean-RUL model is fit on the other folds (totals
+    less the fold's own sums, no row is copied), every window of the fold is
+    scored, metrics per fold and their unweighted mean (fold -1)."""
     from cyclewise.operators.windows import group_kfold
     train = with_rul(fleet(spark, sf, "lineitem")).filter("split = 'train'")
-    folds = group_kfold(train, 5).select("dataset", "engine_id", "fold")
-    lf = train.join(folds, ["dataset", "engine_id"])
-    others = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k != F.col("fold"))
-    fit = lf.select("dataset", F.explode(others).alias("fold"), F.floor(F.col("cycle") / BUCKET).alias("bucket"), "rul")
-    gm = fit.groupBy("dataset", "fold").agg(F.avg("rul").alias("g"))
-    bm = fit.groupBy("dataset", "fold", "bucket").agg(F.avg("rul").alias("pb"))
-    ends = truncation_ends(lf, (0.8,)).withColumnRenamed("end_cycle", "cycle")
-    pts = (lf.join(ends, ["dataset", "engine_id", "cycle"])
-           .select("dataset", "engine_id", "fold", F.floor(F.col("cycle") / BUCKET).alias("bucket"),
-                   F.col("rul").cast("double").alias("y")))
-    sc = (pts.join(F.broadcast(gm), ["dataset", "fold"]).join(bm, ["dataset", "fold", "bucket"], "left")
+    folds = group_kfold(train, 5).select("dataset", "engine_id", "fold", F.col("size").alias("n"))
+    lf = train.join(folds, ["dataset", "engine_id"]).withColumn("bucket", F.floor(F.col("cycle") / BUCKET))
+    gm = X.leave_fold_out_mean(lf, ["dataset"], "rul", out="g")
+    bm = X.leave_fold_out_mean(lf, ["dataset", "bucket"], "rul", out="pb")
+    ends = (F.col("cycle") >= 50) | ((F.col("n") < 50) & (F.col("cycle") == F.col("n")))
+    pts = lf.filter(ends).select("dataset", "fold", "bucket", F.col("rul").cast("double").alias("y"))
+    sc = (pts.join(gm, ["dataset", "fold"]).join(bm, ["dataset", "fold", "bucket"], "left")
           .select("dataset", "fold", "y", clip_prediction(F.coalesce("pb", "g")).alias("p")))
     per = X.regression_metrics(sc, ["dataset", "fold"], digits=None).drop("n")
     mean = X.cv_summary(per, ["dataset"]).withColumn("fold", F.lit(-1))
