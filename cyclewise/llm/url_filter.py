@@ -4,9 +4,11 @@ Rules name a host and a path prefix. A URL that no rule decides is judged by
 its words: host names are written without spaces, so each is cut into words by
 a Viterbi search over the word frequencies of the pages' own text, and a
 multinomial naive Bayes model scores the words of host and path. The model is
-learned from all URLs: those with a seed word in the host are examples to
-block, the others examples to allow. Rules are policy of single sites, not
-examples of content, and teach it nothing.
+learned from all pages: those with a seed word in the host, or with seed words
+as a share of their text, are examples to block, the others examples to allow.
+So a host without a seed is blocked for words it shares with blocked examples or
+for the texts of its pages, and one with a seed can be allowed. Rules are policy
+of single sites, not examples of content, and teach it nothing.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from pyspark.sql import functions as F
 
 from cyclewise.llm.common import staged
 
-#: longest word that a host is cut into
-MAX_WORD = 20
+#: longest part between the dots of a host name (fixed by the name system): no longer word is looked up
+MAX_WORD = 63
 #: words that mark an example to block; a setting
 SEEDS = ("adult", "ads", "adserver", "bet", "bets", "betting", "casino", "escort", "gambling", "jackpot", "loan",
          "loans", "malware", "payday", "pharmacy", "phishing", "pills", "poker", "porn", "scam", "sex", "slots",
          "spam", "torrent", "track", "tracker", "viagra", "warez", "xxx")
 #: a seed word counts as one word in so many when hosts are cut
 SEED_SHARE = 10_000
+#: share of seed words in a page's text from which it is an example to block
+SEED_TEXT = 0.02
 Rule = tuple[str, str, str]
 
 
@@ -53,27 +57,42 @@ def rule_for(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def word_counts(html: Column | str, pages: DataFrame) -> DataFrame:
-    """(word, n): letter words of all pages' text outside tags and scripts."""
+def text_words(html: Column) -> Column:
+    """Letter words of the text outside tags, comments and scripts, lower-cased."""
     text = F.regexp_replace(F.lower(html), r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " ")
-    words = F.regexp_extract_all(text, F.lit(r"([a-z]+)"), F.lit(1))
-    return (pages.select(F.explode(words).alias("word")).filter(F.length("word") <= MAX_WORD)
+    return F.regexp_extract_all(text, F.lit(r"([a-z]+)"), F.lit(1))
+
+
+def word_counts(html: Column, pages: DataFrame) -> DataFrame:
+    """(word, n): letter words of all pages' text."""
+    return (pages.select(F.explode(text_words(html)).alias("word")).filter(F.length("word") <= MAX_WORD)
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
+def seeded_text(html: Column, seeds: Sequence[str], share: float = SEED_TEXT) -> Column:
+    """Whether seed words are at least ``share`` of the words of a text; false without words."""
+    words = F.coalesce(text_words(html), F.array().cast("array<string>"))
+    hits = F.size(F.filter(words, lambda w: w.isin(list(seeds)))) if seeds else F.lit(0)
+    return (hits > 0) & (hits >= F.lit(share) * F.size(words))
+
+
 def best_split(part: str, found: dict[tuple[int, int], int], total: int) -> list[str]:
     """Most probable split of ``part`` into words: a known word has its share
-    of all words, an unknown one a share that falls tenfold with each letter."""
-    log_total = math.log(max(total, 1) + 1)
-    score, back = [0.0], [0]
+    of all words, an unknown one of any length a share that falls tenfold with
+    each letter. The best start of an unknown word is the same for every end,
+    so it is carried along; ties go to the later start."""
+    log_total, letter = math.log(max(total, 1) + 1), math.log(10)
+    ending = {}
+    for (start, length), n in found.items():
+        ending.setdefault(start + length, []).append((start, math.log(n) - log_total))
+    score, back, unknown = [0.0], [0], (0.0, 0)
     for end in range(1, len(part) + 1):
-        best = (-math.inf, 0)
-        for start in range(max(0, end - MAX_WORD), end):
-            n = found.get((start, end - start))
-            p = math.log(n) - log_total if n else -log_total - (end - start) * math.log(10)
+        best = (unknown[0] - log_total - end * letter, unknown[1])
+        for start, p in ending.get(end, ()):
             best = max(best, (score[start] + p, start))
         score.append(best[0])
         back.append(best[1])
+        unknown = max(unknown, (best[0] + end * letter, end))
     words, end = [], len(part)
     while end:
         words.append(part[back[end]:end])
@@ -113,17 +132,20 @@ def path_words(path: Column) -> Column:
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], seeds: Sequence[str] = SEEDS, id_col: str = "page_id", url_col: str = "url",
-                html_col: str = "html") -> DataFrame:
+                html_col: str = "html", text_share: float = SEED_TEXT) -> DataFrame:
     """page_id, host, path, rule, verdict, score, words for every row.
 
     ``rules`` are (verdict, host, path) with verdict allow or block; they and
     the seed words are settings and go into the plan. ``score`` is the log odds
     of allow, null where a rule decides. A null URL, or one without ://, has an
     empty host and path and is judged by the shares of the examples alone; with
-    no example to block, every page is allowed. Null ids and repeated rows stay as they are;
-    an empty table gives no rows."""
+    no example to block, every page is allowed. A null or empty text has no words;
+    texts, URLs and words count whole, whatever their length. Null ids and repeated
+    rows stay as they are, each an example; a score of exactly 0 allows. Other
+    columns of ``pages`` are not read; an empty table gives no rows."""
     url = F.col(url_col).cast("string")
-    base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"),
+                        seeded_text(F.col(html_col).cast("string"), seeds, text_share).alias("seeded"))
     base = staged(base.withColumn("rule_no", rule_for(F.col("host"), F.col("path"), rules)), "urls")
     counts = staged(word_counts(F.col(html_col).cast("string"), pages), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -131,12 +153,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], seeds: Sequence[str] =
     counts = counts.unionByName(marks).groupBy("word").agg(F.sum("n").alias("n"))
     split = staged(host_words(base.select("host").distinct(), counts, total), "hosts")
 
-    urls = base.groupBy("host", "path", "rule_no").agg(F.count(F.lit(1)).alias("n"))
+    urls = base.groupBy("host", "path", "rule_no").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("seeded").alias("seeded"))
     known = F.coalesce("words", F.array().cast("array<string>"))
+    marked = F.arrays_overlap(known, F.array(*[F.lit(w) for w in seeds]).cast("array<string>"))
     urls = staged(urls.join(split, "host", "left").select(
         "host", "path", "rule_no", "n", F.concat(known, path_words(F.col("path"))).alias("words"),
-        F.arrays_overlap(known, F.array(*[F.lit(w) for w in seeds]).cast("array<string>")).alias("bad")), "url-words")
-    of_good, of_bad = F.when(F.col("bad"), 0).otherwise(F.col("n")), F.when(F.col("bad"), F.col("n")).otherwise(0)
+        F.when(marked, F.col("n")).otherwise(F.col("seeded")).alias("bad")), "url-words")
+    of_good, of_bad = F.col("n") - F.col("bad"), F.col("bad")
     weights = staged(urls.select(F.explode("words").alias("word"), "bad", "n").groupBy("word")
                      .agg(F.sum(of_good).alias("a"), F.sum(of_bad).alias("b")), "url-weights")
     a, b, vocabulary = weights.agg(F.sum("a"), F.sum("b"), F.count(F.lit(1))).first()
