@@ -23,8 +23,11 @@ from pyspark.sql import DataFrame
 from cyclewise.llm.common import BatchMemo, Memo, batch_of, byte_column, documents, slices
 
 
-#: chunks whose result a worker keeps, some 400 bytes each
-MEMO_CHUNKS = 600_000
+#: chunks whose result a worker keeps, some 400 bytes each: the workers of an
+#: executor share its memory with a JVM that earlier stages have filled
+MEMO_CHUNKS = 150_000
+#: words and fragments of them that a worker keeps, some 250 bytes each
+MEMO_PARTS = 60_000
 
 
 class ForcedBoundaryBpe:
@@ -50,8 +53,8 @@ class ForcedBoundaryBpe:
         by_id = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.token = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self.chunks = BatchMemo(self._chunks, MEMO_CHUNKS)
-        self.word_ids = Memo(self._word)
-        self.fragment_ids = Memo(self._fragment)
+        self.word_ids = Memo(self._word, MEMO_PARTS)
+        self.fragment_ids = Memo(self._fragment, MEMO_PARTS)
 
     def symbols(self, token: str) -> list[str]:
         """One symbol per byte; the last carries the word-end mark if the token does."""
