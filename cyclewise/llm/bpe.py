@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cyclewise.llm.common import BatchMemo, Memo, batch_of, byte_column, documents, slices
+from cyclewise.llm.common import (BatchMemo, Memo, batch_of, byte_column, documents, hand_back, handing_back,
+                                  slices)
 
 
 #: chunks whose result a worker keeps, some 400 bytes each: the workers of an
@@ -158,7 +159,9 @@ class ForcedBoundaryBpe:
 
 @lru_cache(maxsize=2)
 def bpe(path: str) -> ForcedBoundaryBpe:
-    return ForcedBoundaryBpe(path)
+    enc = ForcedBoundaryBpe(path)
+    hand_back()  # the parsed file takes more than the encoder
+    return enc
 
 
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
@@ -182,7 +185,7 @@ def _map(docs: DataFrame, path: str, id_col: str, text_col: str, arrow: pa.Schem
                     out[k].append(v)
             yield batch_of(arrow, out)
 
-    return documents(docs, id_col, text_col).select("doc_id", "text").mapInArrow(run, ddl)
+    return documents(docs, id_col, text_col).select("doc_id", "text").mapInArrow(handing_back(run), ddl)
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise.llm.common import (NO_ID, U64, batch_of, byte_column, documents, mix64, new_word_memo, signed, slices,
-                                  staged, word_hashes)
+from cyclewise.llm.common import (NO_ID, U64, batch_of, byte_column, documents, handing_back, mix64, new_word_memo,
+                                  signed, slices, staged, word_hashes)
 
 WINDOW = 50
 SHINGLE = 8
@@ -118,7 +118,7 @@ def runs_of(docs: DataFrame, window: int, shingle: int) -> DataFrame:
                  pa.array(n.astype(np.int32)), pa.array(signed(cell[new])), pa.array(signed(ra)),
                  pa.array(signed(rb))], schema=RUNS_ARROW)
 
-    return docs.select("sid", "h", "text").mapInArrow(run, RUNS)
+    return docs.select("sid", "h", "text").mapInArrow(handing_back(run), RUNS)
 
 
 def repeated_cells(runs: DataFrame, n_runs: int) -> tuple[DataFrame, int]:
@@ -160,7 +160,7 @@ def window_keys(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 [pa.array(sid[doc]), pa.array(h[doc]), pa.array((pos - first[doc]).astype(np.int32)),
                  pa.array(signed(ka)), pa.array(signed(kb))], schema=KEYS_ARROW)
 
-    return docs.select("sid", "h", "text").join(wanted, ["sid", "h"]).mapInArrow(run, KEYS)
+    return docs.select("sid", "h", "text").join(wanted, ["sid", "h"]).mapInArrow(handing_back(run), KEYS)
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -220,7 +220,7 @@ def _kept(docs: DataFrame, window: int, shingle: int, digest: bool) -> DataFrame
 
     ddl = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string")
     return docs.select("sid", "h", "doc_id", "text").join(ranges, ["sid", "h"], "left").select(
-        "doc_id", "text", "ranges").mapInArrow(run, ddl)
+        "doc_id", "text", "ranges").mapInArrow(handing_back(run), ddl)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id",
