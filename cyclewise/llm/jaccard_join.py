@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise.llm.common import (NO_ID, U64, byte_column, documents, mix64, new_word_memo, release, shingle_hashes, signed,
-                                  slices, staged, word_hashes)
+from cyclewise.llm.common import (NO_ID, U64, byte_column, documents, handing_back, mix64, new_word_memo, release,
+                                  shingle_hashes, signed, slices, staged, word_hashes)
 
 SHINGLE, PERCENT = 3, 90
 #: row numbers from here on stand for rows without an id of their own
@@ -47,6 +47,8 @@ EXTRA = 1 << 62
 GROUP_SETS = 64
 #: ratio of the sizes that share a number of parts
 CLASS_RATIO = 1.5
+#: bits of the filter in front of a shuffle of texts: so many a wanted row, and 8 MB at most
+FILTER_BITS_EACH, FILTER_BITS = 16, 1 << 26
 
 
 # -- sizes, parts and tokens --------------------------------------------------
@@ -150,7 +152,22 @@ def sets_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
                  pa.array([size_class(len(s)) for s in sets], pa.int32()),
                  pa.array([signatures_of(x) for x in hashes], pa.list_(pa.binary()))], schema=SETS_ARROW)
 
-    return docs.select("sid", "h", "text").mapInArrow(run, SETS)
+    return docs.select("sid", "h", "text").mapInArrow(handing_back(run), SETS)
+
+
+def maybe_wanted(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All rows of ``docs`` whose (sid, h) is ``wanted`` and few others: a bitmap
+    of hashes, of bounded size, goes to the tasks, so that the other texts need
+    not pass the shuffle that finds the wanted ones."""
+    bits = 1 << 15
+    while bits < min(FILTER_BITS, FILTER_BITS_EACH * wanted.count()):
+        bits *= 2
+    hashed = F.xxhash64("sid", "h").bitwiseAND(F.lit(bits - 1))
+    page, at = F.floor(F.col("_bit") / (1 << 15)).alias("_page"), F.col("_bit") % (1 << 15)
+    pages = (wanted.select(hashed.alias("_bit")).groupBy(page).agg(F.bitmap_construct_agg(at).alias("_bits")))
+    found = docs.withColumn("_bit", hashed).withColumn("_page", page).join(F.broadcast(pages), "_page")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return found.filter(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*docs.columns)
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -166,8 +183,8 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 [batch.column("set"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 names=["set", "shingles"])
 
-    one = docs.select("sid", "h", "text").join(wanted, ["sid", "h"])
-    return one.select("set", "text").mapInArrow(run, "set long, shingles array<long>")
+    one = maybe_wanted(docs.select("sid", "h", "text"), wanted).join(wanted, ["sid", "h"])
+    return one.select("set", "text").mapInArrow(handing_back(run), "set long, shingles array<long>")
 
 
 # -- comparing ------------------------------------------------------------------
@@ -272,14 +289,17 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     firsts = named.filter((F.col("set") == F.col("node")) & (F.col("n_shingles") > 0))
     sizes = firsts.select("set", "n_shingles", "parts")
     firsts = firsts.select("sid", "h", "set")
-    token = (sets.select("sid", "h", "tokens").join(firsts, ["sid", "h"])
-             .select("set", F.explode("tokens").alias("token")))
+    # the tokens are by far the largest table: dealt by document once, and those of copies left behind
+    leading = staged(sets.select("sid", "h", "tokens", "size_class", "signatures").join(firsts, ["sid", "h"])
+                     .select("set", "tokens", "size_class", "signatures"), "sets-first")
+    release(sets)
+    token = leading.select("set", F.explode("tokens").alias("token"))
     shared = staged(token.groupBy("token").agg(F.min("set").alias("leader"), F.max("set").alias("last"))
                     .filter("leader < last").select("token", "leader"), "tokens-shared")
     matrix = staged(token.join(shared, "token"), "token-sets")
-    alike = sets.join(firsts.join(matrix.select("set").distinct(), "set", "left_semi"), ["sid", "h"])
-    alike = staged(alike.select("set", "size_class", "signatures").dropDuplicates(["set"]), "signatures")
-    release(sets, shared)
+    alike = leading.select("set", "size_class", "signatures").join(matrix.select("set").distinct(), "set", "left_semi")
+    alike = staged(alike.dropDuplicates(["set"]), "signatures")
+    release(leading, shared)
 
     # round 1: every set against the leaders it follows
     pairs = staged(matrix.filter(F.col("set") != F.col("leader")).groupBy("set", "leader")
