@@ -4,16 +4,19 @@ Components are scaled to integers and the score is the inner product. A table
 keeps the distance of every vector to many pivots. By the triangle inequality
 the largest difference of two rows of it is a lower bound of the distance, and
 with the norms an upper bound of the score:
-2 <q, c> = |q|^2 + |c|^2 - |q - c|^2. A query looks at candidates in order of
-their bounds and stops once no bound reaches its k-th score.
+2 <q, c> = |q|^2 + |c|^2 - |q - c|^2.
 
-Rows lie in blocks of near vectors (same nearest pivot, dealt by a hash). Each
-query is answered in its own block first; with the k-th score found there,
-blocks whose bound stays below it are never opened.
+Rows lie in blocks of near vectors (same nearest pivot, dealt by a hash), and in
+cells of nearer ones there. Each query is answered in its own block first; with
+the k-th score found there, blocks whose bound stays below it are never opened,
+and in opened ones cells whose bound does are not scored. The queries that meet
+in a block are held against it together, by matrix products.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +28,10 @@ PIVOTS = 24
 #: rows the pivots are picked from, at most
 PIVOT_SAMPLE = 2048
 BLOCK_ROWS = 2048
-CHUNK = 128
+#: rows of a block that are ruled out together
+CELL_ROWS = 128
+#: scores of queries and rows that a task holds at a time
+SCORES = 1 << 20
 
 
 def integer_vectors(df: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -67,60 +73,103 @@ def packed(a: np.ndarray) -> bytes:
 
 
 class Block:
-    """Vectors of one block with their ids, pivot distances and squared norms."""
-
-    def __init__(self, ids: bytes, vectors: bytes, table: bytes, width: int, pivots: int):
-        self.ids = np.frombuffer(ids, np.int64)
-        self.i = np.frombuffer(vectors, np.int64).reshape(len(self.ids), width)
-        self.v = self.i.astype(float)
-        self.table = np.frombuffer(table, np.float64).reshape(len(self.ids), pivots)
-        self.norm = (self.v ** 2).sum(1)
-
-
-def safe_gap(gap, q_norm: float, norm: float, far: float):
+    """Vectors of one block with their ids, in cells of near rows: ``low``, ``high`` and ``norm`` are a
+    cell's smallest and largest pivot distances and its largest squared norm. Integers whose scores a
+    narrower type holds exactly are kept in it (``exact``)."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, table: np.ndarray, exact: type):
+        order = np.argsort(table[:, table.var(0).argmax()], kind="stable") if table.shape[1] else np.arange(len(ids))
+        table = table[order]
+        self.ids, self.i = ids[order], vectors[order]
+        self.v = self.i.astype(float if exact is np.int64 else exact)
+        self.exact = exact
+        self.starts = np.arange(0, len(ids), CELL_ROWS)
+        self.low, self.high = (f.reduceat(table, self.starts, axis=0) for f in (np.minimum, np.maximum))
+        self.norm = np.maximum.reduceat((self.i.astype(float) ** 2).sum(1), self.starts)
+
+
+def safe_gap(gap, q_norm, norm, far: float):
     """A distance bound less what rounding may have added to it; ``far`` is the largest pivot's norm."""
     return np.maximum(gap - 1e-6 * (1 + gap) - 1e-7 * (q_norm ** 0.5 + norm ** 0.5 + far), 0)
 
 
-def upper(q_norm: float, norm, gap):
+def upper(q_norm, norm, gap):
     """Bound of the inner product, with room for rounding."""
     return (q_norm + norm - gap ** 2) / 2 + 1e-6 + 1e-12 * (q_norm + norm)
 
 
-def search(q: np.ndarray, q_id: int, q_table: np.ndarray, block: Block, k: int, least: float, far: float,
-           large: bool) -> list[tuple[int, int]]:
-    """Best k (score, vec_id) of the block among scores of at least ``least``.
-    Scores of ``large`` vectors, beyond the integers that doubles hold, are
+def reaches(table: np.ndarray, q_norm: np.ndarray, least: np.ndarray, low: np.ndarray, high: np.ndarray,
+            norm: np.ndarray, far: float) -> np.ndarray:
+    """Whether the bound between each query and each outline (``low``, ``high`` and ``norm`` of some rows)
+    reaches the query's ``least``."""
+    gap = np.zeros((len(table), len(norm)))
+    for p in range(table.shape[1]):
+        np.maximum(gap, np.maximum(low[:, p] - table[:, p, None], table[:, p, None] - high[:, p]), out=gap)
+    bound = upper(q_norm[:, None], norm, safe_gap(gap, q_norm[:, None], norm, far))
+    return bound >= (least - 1e-12 * np.where(np.isfinite(least), np.abs(least), 0))[:, None]
+
+
+def search(q: np.ndarray, q_ids: np.ndarray, q_table: np.ndarray, least: np.ndarray, block: Block, k: int,
+           far: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, vec_id, score) of each query's best k of the block among scores of at least ``least``.
+    Cells whose bound stays below it are not scored. Scores beyond the integers that doubles hold are
     summed in 64-bit integers; one that does not fit them is an error."""
-    gap = np.abs(block.table - q_table).max(1) if block.table.shape[1] else np.zeros(len(block.ids))
-    qf = q.astype(float)
-    q_norm = float(qf @ qf)
-    bound = upper(q_norm, block.norm, safe_gap(gap, q_norm, float(block.norm.max()), far))
-    least = least - 1e-12 * abs(least) if np.isfinite(least) else least
-    live = np.flatnonzero((bound >= least) & (block.ids != q_id))
-    order = live[np.argsort(-bound[live], kind="stable")]
-    best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at, step = 0, CHUNK
-    while at < len(order):
-        if len(best_s) >= k and bound[order[at]] < best_s[k - 1]:
-            break
-        some = order[at:at + step]
-        at, step = at + step, 2 * step
-        near = block.v[some] @ qf
-        if large:
-            if (np.abs(near) >= 2.0 ** 63 * (1 - 1e-9)).any():
-                raise ValueError("a score of these vectors does not fit 64 bits; use a smaller scale")
-            new = block.i[some] @ q
-        else:
-            new = near.astype(np.int64)
-        floor = best_s[k - 1] if len(best_s) >= k else None
-        fine = np.flatnonzero(new >= (least if floor is None else max(least, floor)))
-        if len(fine) > k:  # all that may be among the best, ties included
-            fine = fine[new[fine] >= np.partition(new[fine], len(fine) - k)[len(fine) - k]]
-        s, i = np.concatenate([best_s, new[fine]]), np.concatenate([best_i, block.ids[some[fine]]])
-        top = np.lexsort((i, -s))[:k]
-        best_s, best_i = s[top], i[top]
-    return list(zip(best_s.tolist(), best_i.tolist()))
+    found: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+    n, ids = len(block.ids), np.sort(block.ids)
+    for at in range(0, len(q), step := max(1, SCORES // n)):
+        part = q[at:at + step]
+        qf = part.astype(block.v.dtype)
+        floor = least[at:at + step]
+        live = reaches(q_table[at:at + step], (part.astype(float) ** 2).sum(1), floor, block.low, block.high,
+                       block.norm, far)
+        none = np.iinfo(np.int64).min if block.exact is np.int64 else -np.inf
+        scores = np.full((len(part), n), none, block.exact)
+        for cells, some in _alike(live):
+            rows = np.concatenate([np.arange(s, min(s + CELL_ROWS, n)) for s in block.starts[cells]])
+            near = qf[some] @ block.v[rows].T
+            if block.exact is np.int64:
+                if (np.abs(near) >= 2.0 ** 63 * (1 - 1e-9)).any():
+                    raise ValueError("a score of these vectors does not fit 64 bits; use a smaller scale")
+                near = part[some] @ block.i[rows].T
+            scores[np.ix_(some, rows)] = near
+        mine = np.flatnonzero(np.searchsorted(ids, q_ids[at:at + step], "right")
+                              > np.searchsorted(ids, q_ids[at:at + step]))
+        scores[mine] = np.where(block.ids == q_ids[at:at + step][mine, None], none, scores[mine])
+        hit = (scores >= (floor - 1e-12 * np.where(np.isfinite(floor), np.abs(floor), 0))[:, None]) & (scores > none)
+        for i in np.flatnonzero(hit.sum(1) > k):
+            values = scores[i][hit[i]]
+            kth = np.partition(values, len(values) - k)[len(values) - k]
+            above, level = np.flatnonzero(scores[i] > kth), np.flatnonzero(hit[i] & (scores[i] == kth))
+            hit[i] = False
+            hit[i, above] = True
+            # of equal scores the smaller ids
+            hit[i, level[np.argsort(block.ids[level], kind="stable")[:k - len(above)]]] = True
+        rows, columns = np.nonzero(hit)
+        found.append((rows + at, block.ids[columns], scores[rows, columns].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _alike(live: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cells, queries) that cover each pair of ``live`` once: queries of the same cells together where most
+    cells are live, else cell by cell."""
+    if live.mean() > 0.5:
+        yield np.arange(live.shape[1]), np.flatnonzero(live.any(1))
+        return
+    for c in np.flatnonzero(live.any(0)):
+        yield np.array([c]), np.flatnonzero(live[:, c])
+
+
+def queries_of(batch: pa.RecordBatch, width: int, pivots: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The queries of all rows of a batch as arrays, and where each row's begin and end."""
+    lists, q = batch.column("queries"), batch.column("queries").flatten()
+    offsets = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+    out = {c: q.field(c).to_numpy() for c in ("vec_id", "variant")}
+    out["vector"] = np.frombuffer(b"".join(q.field("vector").to_pylist()), np.int64).reshape(len(q), width)
+    out["tab"] = np.frombuffer(b"".join(q.field("tab").to_pylist())).reshape(len(q), pivots)
+    known = q.type.get_field_index("least") >= 0
+    least = q.field("least").to_numpy(zero_copy_only=False) if known else np.full(len(q), np.nan)
+    out["least"] = np.where(np.isnan(least.astype(float)), -np.inf, least.astype(float))
+    return out, offsets
 
 
 PACKED = "block int, ids binary, vectors binary, tab binary, low binary, high binary, norm double"
@@ -142,7 +191,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
     n, width, largest = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.array_max(F.transform(
         "v", lambda e: F.abs(e))))).first()
     width = width or 0
-    large = width * float(largest or 0) ** 2 * 2 >= 2 ** 53
+    most = width * float(largest or 0) ** 2 * 2
+    exact = np.float32 if most < 2 ** 24 else np.float64 if most < 2 ** 53 else np.int64
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pivot = pick_pivots(rows, width, pivots, PIVOT_SAMPLE)
@@ -182,16 +232,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
     def answer(batches):
         """Searches of the queries of each row in the row's block."""
         for b in batches:
-            for row in b.to_pylist():
-                blk = Block(row["ids"], row["vectors"], row["tab"], width, n_pivots)
-                out = []
-                for q in row["queries"]:
-                    least = q["least"] if q.get("least") is not None else -np.inf
-                    hits = search(np.frombuffer(q["vector"], np.int64), q["vec_id"], np.frombuffer(q["tab"]), blk, k,
-                                  least, far, large)
-                    out += [(q["vec_id"], q["variant"], i, s) for s, i in hits]
+            asked, offsets = queries_of(b, width, n_pivots)
+            for i, (u, v) in enumerate(zip(offsets, offsets[1:])):
+                ids = np.frombuffer(b.column("ids")[i].as_buffer(), np.int64)
+                blk = Block(ids, np.frombuffer(b.column("vectors")[i].as_buffer(), np.int64).reshape(len(ids), width),
+                            np.frombuffer(b.column("tab")[i].as_buffer()).reshape(len(ids), n_pivots), exact)
+                rows, found, score = search(asked["vector"][u:v], asked["vec_id"][u:v], asked["tab"][u:v],
+                                            asked["least"][u:v], blk, k, far)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[j] for x in out], pa.int64()) for j in range(4)],
+                    [pa.array(x) for x in (asked["vec_id"][u:v][rows], asked["variant"][u:v][rows], found, score)],
                     names=["query_id", "variant", "vec_id", "score"])
 
     payload = blocks.select("block", "ids", "vectors", "tab")
@@ -210,16 +259,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
 
     def open_blocks(batches):
         for b in batches:
-            for row in b.to_pylist():
-                low, high = np.frombuffer(row["low"]), np.frombuffer(row["high"])
-                live = []
-                for q in row["queries"]:
-                    t, v = np.frombuffer(q["tab"]), np.frombuffer(q["vector"], np.int64).astype(float)
-                    gap = safe_gap(np.maximum(np.maximum(low - t, t - high), 0).max(), float(v @ v), row["norm"], far)
-                    if q["least"] is None or upper(float(v @ v), row["norm"], gap) >= q["least"] - 1e-12 * abs(q["least"]):
-                        live.append(q)
-                if live:
-                    yield pa.RecordBatch.from_pylist([{"block": row["block"], "queries": live}], schema=OPEN_ARROW)
+            asked, offsets = queries_of(b, width, n_pivots)
+            q_norm = (asked["vector"].astype(float) ** 2).sum(1)
+            live = np.zeros(len(q_norm), bool)
+            for i, (u, v) in enumerate(zip(offsets, offsets[1:])):
+                low, high = (np.frombuffer(b.column(c)[i].as_buffer()).reshape(1, n_pivots) for c in ("low", "high"))
+                live[u:v] = reaches(asked["tab"][u:v], q_norm[u:v], asked["least"][u:v], low, high,
+                                    np.array([b.column("norm")[i].as_py()]), far)[:, 0]
+            kept = np.r_[0, np.cumsum(live)][offsets]
+            queries = pa.ListArray.from_arrays(pa.array(kept, pa.int32()),
+                                               b.column("queries").flatten().filter(pa.array(live)))
+            yield pa.RecordBatch.from_arrays([b.column("block"), queries], names=["block", "queries"]).filter(
+                pa.array(np.diff(kept) > 0))
 
     opened = meet.join(outlines, "block").select("block", "queries", "low", "high", "norm").mapInArrow(
         open_blocks, OPEN)
@@ -230,6 +281,3 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pi
 
 
 OPEN = ("block int, queries array<struct<vec_id: long, variant: long, vector: binary, tab: binary, least: double>>")
-OPEN_ARROW = pa.schema([("block", pa.int32()), ("queries", pa.list_(pa.struct(
-    [("vec_id", pa.int64()), ("variant", pa.int64()), ("vector", pa.binary()), ("tab", pa.binary()),
-     ("least", pa.float64())])))])
