@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise.llm.common import (NO_ID, U64, byte_column, documents, handing_back, mix64, new_word_memo, release,
-                                  shingle_hashes, signed, slices, staged, word_hashes)
+from cyclewise.llm.common import (NO_ID, U64, byte_column, documents, handing_back, mix64, release, shingle_hashes,
+                                  signed, slices, staged, word_hashes)
 
 SHINGLE, PERCENT = 3, 90
 #: row numbers from here on stand for rows without an id of their own
@@ -121,10 +121,10 @@ SETS_ARROW = pa.schema([("sid", pa.int64()), ("h", pa.int64()), ("n_shingles", p
                         ("size_class", pa.int32()), ("signatures", pa.list_(pa.binary()))])
 
 
-def shingle_sets(batch: pa.RecordBatch, memo, k: int) -> list[np.ndarray]:
+def shingle_sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text, A-Z lower-cased."""
     words = [(t or b"").lower().split() for t in byte_column(batch)]
-    joined = word_hashes(memo, [x for w in words for x in w])
+    joined = word_hashes([x for w in words for x in w])
     ends = np.cumsum([len(w) for w in words])
     return [np.unique(shingle_hashes(joined[e - len(w):e], k)) for e, w in zip(ends.tolist(), words)]
 
@@ -133,9 +133,8 @@ def sets_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Per document: the number of shingles, a 128-bit hash of the set, its tokens and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = new_word_memo()
         for batch in slices(batches, 256):
-            sets = shingle_sets(batch, memo, k)
+            sets = shingle_sets(batch, k)
             key = [(0, 0) if not len(s) else (int(mix64(s).sum(dtype=U64)), int(mix64(s + U64(1)).sum(dtype=U64)))
                    for s in sets]
             hashes = [part_hashes(s, percent) if len(s) else [] for s in sets]
@@ -174,9 +173,8 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(set, shingles) for the ``wanted`` (set, sid, h) documents."""
 
     def run(batches):
-        memo = new_word_memo()
         for batch in slices(batches, 256):
-            sets = shingle_sets(batch, memo, k)
+            sets = shingle_sets(batch, k)
             offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
             flat = signed(np.concatenate([*sets, np.zeros(0, U64)]))
             yield pa.RecordBatch.from_arrays(

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cyclewise.llm.common import (NO_ID, U64, batch_of, byte_column, documents, handing_back, mix64, new_word_memo,
-                                  signed, slices, staged, word_hashes)
+from cyclewise.llm.common import (NO_ID, U64, batch_of, byte_column, documents, handing_back, mix64, signed, slices,
+                                  staged, word_hashes)
 
 WINDOW = 50
 SHINGLE = 8
@@ -90,10 +90,10 @@ KEYS_ARROW = pa.schema([("sid", pa.int64()), ("h", pa.int64()), ("pos", pa.int32
                         ("kb", pa.int64())])
 
 
-def _hashed(batch: pa.RecordBatch, memo) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     words = [(t or b"").split() for t in byte_column(batch)]
     lengths = np.array([len(w) for w in words], dtype=np.int64)
-    return word_hashes(memo, [x for w in words for x in w]), lengths
+    return word_hashes([x for w in words for x in w]), lengths
 
 
 def runs_of(docs: DataFrame, window: int, shingle: int) -> DataFrame:
@@ -101,9 +101,8 @@ def runs_of(docs: DataFrame, window: int, shingle: int) -> DataFrame:
     hash of all their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = new_word_memo()
         for batch in slices(batches, 128):
-            hashes, lengths = _hashed(batch, memo)
+            hashes, lengths = _hashed(batch)
             start, doc, cell = windows_of(hashes, lengths, window, shingle)
             if not len(start):
                 continue
@@ -144,9 +143,8 @@ def window_keys(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """128-bit keys of the windows in the ``spans`` (start, n) of ``wanted`` documents."""
 
     def run(batches):
-        memo = new_word_memo()
         for batch in slices(batches, 128):
-            hashes, lengths = _hashed(batch, memo)
+            hashes, lengths = _hashed(batch)
             first = np.cumsum(lengths) - lengths
             spans = batch.column("spans").to_pylist()
             a = [s["start"] + int(f) for f, row in zip(first, spans) for s in row]

@@ -39,3 +39,21 @@ def test_memory_is_handed_back_after_the_last_batch(monkeypatch):
 
     assert list(common.handing_back(run)(iter([1, 2]))) == [1, 2]
     assert seen == [1, 2, "back"]
+
+
+HASHES = """
+import sys, tracemalloc
+import numpy as np
+from cyclewise.llm.common import word_hashes
+tracemalloc.start()
+for k in range(20):
+    word_hashes([b"word-%d-%d" % (k, i) for i in range(10_000)])
+print(tracemalloc.get_traced_memory()[0] >> 10)
+"""
+
+
+def test_hashed_words_are_not_kept():
+    out = subprocess.run([sys.executable, "-c", HASHES], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 500  # KB
+    assert common.word_hashes([b"", b"a", "é".encode()]).tolist() == [common.xxhash.xxh3_64_intdigest(w) for w in
+                                                                      (b"", b"a", "é".encode())]
