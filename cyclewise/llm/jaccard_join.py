@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,9 @@ SHINGLE, PERCENT = 3, 90
 EXTRA = 1 << 62
 #: sets in a group, about
 GROUP_SETS = 64
+#: rows that the queries of one pass make in asking the groups, for each row of
+#: the tokens they ask by, and at least: more queries take more passes, not more disk
+ASK_ROWS_EACH, ASK_ROWS = 6, 1 << 20
 #: ratio of the sizes that share a number of parts
 CLASS_RATIO = 1.5
 #: bits of the filter in front of a shuffle of texts: so many a wanted row, and 8 MB at most
@@ -263,6 +267,46 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("set"), F.col("b").alias("component"))
 
 
+# -- asking the groups ----------------------------------------------------------
+
+def ask_passes(tokens: DataFrame, asking: DataFrame, holding: DataFrame) -> int:
+    """Passes that the queries are dealt to, so that one pass makes a bounded
+    number of rows for each row of ``tokens``, however many ask the same groups."""
+    asked = asking.groupBy("token").agg(F.count(F.lit(1)).alias("asked"))
+    held = holding.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    rows = asked.join(held, "token").agg(F.sum(F.col("asked") * F.col("held"))).first()[0] or 0
+    return max(1, math.ceil(rows / max(ASK_ROWS, ASK_ROWS_EACH * tokens.count())))
+
+
+def asks_near(asking: DataFrame, holding: DataFrame, about: DataFrame, outline: DataFrame, gkey: list[str],
+              percent: int) -> DataFrame:
+    """The queries of ``asking`` (token, q) with the groups that share as many
+    tokens with them as a linked set would."""
+    asks = asking.join(holding, "token").groupBy("q", *gkey).agg(F.count(F.lit(1)).alias("shared"))
+    # linked sets differ in at most `apart` shingles, each of which spoils one filled part of the set
+    largest = F.least(F.col("hi_n"), F.floor(F.col("q_n") * 100 / percent))
+    apart = F.floor((F.col("q_n") + largest) * (100 - percent) / (100 + percent))
+    near = ((F.lit(100) * F.col("q_n") >= F.lit(percent) * F.col("lo_n"))
+            & (F.lit(100) * F.col("hi_n") >= F.lit(percent) * F.col("q_n"))
+            & (F.col("shared") >= F.col("q_parts") - apart)
+            & ((F.col("lo") != F.col("q_component")) | (F.col("hi") != F.col("q_component"))))
+    return asks.join(about, "q").join(outline, gkey).filter(near).select("q", "q_component", "q_n", *gkey)
+
+
+def opened_groups(asks: DataFrame, query: DataFrame, groups: DataFrame, gkey: list[str], percent: int) -> DataFrame:
+    """The asks with the sets of their groups that fit the query's size, and the signatures to compare."""
+    fits = F.filter("sets", lambda m: (m["component"] != F.col("q_component"))
+                    & sizes_fit(F.col("q_n"), m["n_shingles"], percent))
+    opened = asks.join(query, "q").join(groups.select(*gkey, "sets"), gkey).withColumn("sets", fits)
+    # the larger size class has a signature of both
+    top = lambda m: F.greatest(m["size_class"], F.col("q_class"))
+    return opened.filter(F.size("sets") > 0).select(
+        "q", "q_n", F.transform("sets", lambda m: F.get("q_signatures", top(m) - F.col("q_class"))).alias("own"),
+        F.transform("sets", lambda m: F.struct(
+            m["set"].alias("set"), m["n_shingles"].alias("n"),
+            F.get(m["signatures"], top(m) - m["size_class"]).alias("signature"))).alias("others"))
+
+
 # -- the join -------------------------------------------------------------------
 
 def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -294,14 +338,15 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     token = leading.select("set", F.explode("tokens").alias("token"))
     shared = staged(token.groupBy("token").agg(F.min("set").alias("leader"), F.max("set").alias("last"))
                     .filter("leader < last").select("token", "leader"), "tokens-shared")
-    matrix = staged(token.join(shared, "token"), "token-sets")
+    # rows that repeat id and text give their tokens once
+    matrix = staged(token.join(shared, "token").select("token", "set", "leader").distinct(), "token-sets")
     alike = leading.select("set", "size_class", "signatures").join(matrix.select("set").distinct(), "set", "left_semi")
     alike = staged(alike.dropDuplicates(["set"]), "signatures")
     release(leading, shared)
 
     # round 1: every set against the leaders it follows
     pairs = staged(matrix.filter(F.col("set") != F.col("leader")).groupBy("set", "leader")
-                   .agg(F.count_distinct("token").alias("led")), "star-all")
+                   .agg(F.count(F.lit(1)).alias("led")), "star-all")
     size = sizes.select(F.col("set").alias("leader"), F.col("n_shingles").alias("leader_n"))
     # only leaders that already share the tokens a link needs; round 2 finds every other link
     spoilt = F.floor((F.col("n_shingles") + F.col("leader_n")) * (100 - percent) / (100 + percent))
@@ -333,35 +378,21 @@ def set_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
         F.min("n_shingles").alias("lo_n"), F.max("n_shingles").alias("hi_n"), F.min("component").alias("lo"),
         F.max("component").alias("hi")), "groups")
     outline = groups.select(*gkey, "lo_n", "hi_n", "lo", "hi")
-    asking = tokens.filter(F.col("component") != F.col("main")).select(
-        "token", F.col("set").alias("q"), F.col("component").alias("q_component"), F.col("n_shingles").alias("q_n"),
-        F.col("parts").alias("q_parts"))
-    q = ["q", "q_component", "q_n", "q_parts"]
-    asks = (asking.join(tokens.select("token", *gkey).distinct(), "token").groupBy(*q, *gkey)
-            .agg(F.count_distinct("token").alias("shared")))
-    # linked sets differ in at most `apart` shingles, each of which spoils one filled part of the set
-    largest = F.least(F.col("hi_n"), F.floor(F.col("q_n") * 100 / percent))
-    apart = F.floor((F.col("q_n") + largest) * (100 - percent) / (100 + percent))
-    near = ((F.lit(100) * F.col("q_n") >= F.lit(percent) * F.col("lo_n"))
-            & (F.lit(100) * F.col("hi_n") >= F.lit(percent) * F.col("q_n"))
-            & (F.col("shared") >= F.col("q_parts") - apart)
-            & ((F.col("lo") != F.col("q_component")) | (F.col("hi") != F.col("q_component"))))
-    asks = staged(asks.join(outline, gkey).filter(near).select(*q, *gkey), "asks")
-    release(matrix, split, tokens)
+    asking = tokens.filter(F.col("component") != F.col("main")).select("token", F.col("set").alias("q"))
+    holding = tokens.select("token", *gkey).distinct()
+    about = placed.select(F.col("set").alias("q"), F.col("component").alias("q_component"),
+                          F.col("n_shingles").alias("q_n"), F.col("parts").alias("q_parts"))
     query = alike.select(F.col("set").alias("q"), F.col("size_class").alias("q_class"),
                          F.col("signatures").alias("q_signatures"))
-    fits = F.filter("sets", lambda m: (m["component"] != F.col("q_component"))
-                    & sizes_fit(F.col("q_n"), m["n_shingles"], percent))
-    opened = asks.join(query, "q").join(groups.select(*gkey, "sets"), gkey).withColumn("sets", fits)
-    # the larger size class has a signature of both
-    top = lambda m: F.greatest(m["size_class"], F.col("q_class"))
-    opened = opened.filter(F.size("sets") > 0).select(
-        "q", "q_n", F.transform("sets", lambda m: F.get("q_signatures", top(m) - F.col("q_class"))).alias("own"),
-        F.transform("sets", lambda m: F.struct(
-            m["set"].alias("set"), m["n_shingles"].alias("n"),
-            F.get(m["signatures"], top(m) - m["size_class"]).alias("signature"))).alias("others"))
-    more = compared(signatures_near(opened, percent), docs, firsts, k, percent, "edges-more")
-    release(alike, groups, asks)
+    passes, pairs = ask_passes(tokens, asking, holding), []
+    for i in range(passes):
+        mine = asking.filter(F.pmod(F.xxhash64("q"), F.lit(passes)) == i)
+        asks = staged(asks_near(mine, holding, about, outline, gkey, percent), "asks")
+        pairs.append(staged(signatures_near(opened_groups(asks, query, groups, gkey, percent), percent), "pairs-near"))
+        release(asks)
+    release(matrix, split, tokens)
+    more = compared(reduce(DataFrame.union, pairs), docs, firsts, k, percent, "edges-more")
+    release(alike, groups, *pairs)
     if not more.isEmpty():
         comp = components(edges.union(more))
     out = staged(named.join(comp, "set", "left")
