@@ -130,6 +130,12 @@ def slot_table(spark, blocks: list[int], slots: list[int], shard_slots: int, see
     return spark.range(0, shards, 1, parts).mapInArrow(fill, SLOTS)
 
 
+def kept_apart(df: DataFrame) -> DataFrame:
+    """``df`` for a join whose both sides grow with the corpus: the driver never
+    collects one to broadcast it, however small its shuffle files look."""
+    return df.hint("merge")
+
+
 class Mix:
     """A mix of ``docs``; the tables are in the attributes.
 
@@ -178,7 +184,7 @@ class Mix:
         n_slots = [min(round(t * b / s), math.floor(cap * b)) if s else 0
                    for t, b, s in zip(target, n_blocks, size)]
         self.sources = list(zip([r["source"] for r in found], size, weight, target, n_blocks, n_slots))
-        self.rows = (laid.join(blocks.select("source_id", "bucket", "first_block"), ["source_id", "bucket"])
+        self.rows = (laid.join(kept_apart(blocks.select("source_id", "bucket", "first_block")), ["source_id", "bucket"])
                      .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
                      .withColumn("offset", F.col("offset") + F.col("copy") * F.col("size")))
         self.slots = slot_table(spark, n_blocks, n_slots, shard_slots, seed)
@@ -198,7 +204,7 @@ class Mix:
 
         spans = spans.select("source_id", "span", before("in_span", "source_id", order="span").alias("span_first"))
         return (per.withColumn("within", before("blocks", "source_id", "span", order="bucket"))
-                .join(spans, ["source_id", "span"])
+                .join(kept_apart(spans), ["source_id", "span"])
                 .select("source_id", "bucket", "blocks", (F.col("span_first") + F.col("within")).alias("first_block")))
 
     def pieces(self) -> DataFrame:
@@ -216,13 +222,13 @@ class Mix:
     def taken_pieces(self) -> DataFrame:
         """Pieces with the number of slots that take their block."""
         times = self.slots.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("times"))
-        return self.pieces().join(times, ["source_id", "block"])
+        return self.pieces().join(kept_apart(times), ["source_id", "block"])
 
     def taken(self) -> DataFrame:
         """Per input row: size, its source's size and target, words taken (repeats counted)."""
         sums = (self.taken_pieces().groupBy("sid", "h", "source_id", "copy")
                 .agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken")))
-        return (self.rows.join(sums, ["sid", "h", "source_id", "copy"], "left")
+        return (self.rows.join(kept_apart(sums), ["sid", "h", "source_id", "copy"], "left")
                 .select("doc_id", "source", "size", "source_size", "target",
                         F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
 
@@ -244,7 +250,7 @@ class Mix:
                             F.col(source_col).cast("string").alias("_of"))
         # rows that repeat id, text and source share one text; the other columns are those of one row, by a hash
         keyed = keyed.groupBy("_sid", "_h", "_of").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc"))
-        joined = keyed.join(parts, (F.col("_sid") == F.col("sid")) & (F.col("_h") == F.col("h"))
+        joined = keyed.join(kept_apart(parts), (F.col("_sid") == F.col("sid")) & (F.col("_h") == F.col("h"))
                             & F.col("_of").eqNullSafe(F.col("_source")))
         words = words_of(F.col("_doc").getField(text_col))
         text = F.array_join(F.flatten(F.transform(
