@@ -5,7 +5,8 @@ sample, background row and seeded permutation, features switch from the
 background value to the sample's value one at a time; each switch's change
 of the prediction is that feature's contribution. All coalitions are built
 as array expressions, scored by ``model.transform`` in one distributed job,
-and averaged with a group-by. Per (sample, background, permutation) the
+and averaged with a group-by. Boosted trees score the coalitions of a batch
+where they are built (NumPy), so none of them becomes a row. Per (sample, background, permutation) the
 contributions telescope to f(x) - f(b), so sum(phi) = f(x) - mean f(b).
 """
 
@@ -14,11 +15,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.ml.functions import array_to_vector
 
 from cyclewise.functions.scan import ordered_scan
+from cyclewise.operators.boosting import BoostedModel, array_rows
+
+#: (sample, background, permutation) rows whose coalitions are scored at once
+COALITION_ROWS = 4096
 
 
 def shapley_sampling(model, samples: DataFrame, background: DataFrame, n_features: int,
@@ -37,6 +44,10 @@ def shapley_sampling(model, samples: DataFrame, background: DataFrame, n_feature
     keyed = F.transform(F.sequence(F.lit(0), F.lit(F_ - 1)), lambda j: F.struct(
         F.xxhash64(F.lit(seed), "sample_id", "bg_id", "perm", j).alias("h"), j.alias("j")))
     order = F.transform(F.array_sort(keyed), lambda s: s["j"])        # features in switch order
+    if isinstance(model, BoostedModel):
+        sums = _switched(model, pairs.select("sample_id", "x", "b", order.alias("order")), F_)
+        return sums.groupBy("sample_id", "feature").agg((F.sum("d") / F.sum("n")).alias("phi"),
+                                                        F.first("value").alias("value"))
     rank = F.transform(F.sequence(F.lit(0), F.lit(F_ - 1)), lambda j: F.array_position(order, j) - 1)
     steps = pairs.withColumn("rank", rank).select("*", F.explode(F.sequence(F.lit(0), F.lit(F_))).alias("step"))
     mixed = F.zip_with(F.col("x"), F.col("b"), lambda a, c: F.struct(a.alias("a"), c.alias("c")))
@@ -54,6 +65,40 @@ def shapley_sampling(model, samples: DataFrame, background: DataFrame, n_feature
         F.avg("d").alias("phi"), F.first(F.element_at("x", F.col("z.j") + 1)).alias("value"))
 
 
+def _switched(model: BoostedModel, pairs: DataFrame, n_features: int) -> DataFrame:
+    """(sample_id, feature, d, n, value): contributions of a feature summed over
+    the rows (sample_id, x, b, order) of one sample that lie in a batch, and their number."""
+    fields = pa.schema([("sample_id", pa.int64()), ("feature", pa.int32()), ("d", pa.float64()), ("n", pa.int64()),
+                        ("value", pa.float64())])
+    n = n_features
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, COALITION_ROWS):
+                batch = whole.slice(at, COALITION_ROWS)
+                x, b, order = (array_rows(batch.column(c), n) for c in ("x", "b", "order"))
+                order = order.astype(np.int64)
+                rank = np.argsort(order, axis=1)
+                taken = rank[:, None, :] < np.arange(n + 1)[None, :, None]
+                scores = model.predict(np.where(taken, x[:, None, :], b[:, None, :]).reshape(-1, n))
+                d = np.zeros((len(x), n))
+                np.put_along_axis(d, order, np.diff(scores.reshape(-1, n + 1), axis=1), axis=1)
+                names = batch.column("sample_id").dictionary_encode()
+                ids = names.dictionary.to_pylist()
+                code = np.asarray(names.indices.fill_null(len(ids)))
+                total, first = np.zeros((len(ids) + 1, n)), np.zeros((len(ids) + 1, n))
+                np.add.at(total, code, d)
+                first[code[::-1]] = x[::-1]
+                count = np.bincount(code, minlength=len(ids) + 1)
+                for i in np.flatnonzero(count).tolist():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[i] if i < len(ids) else None] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)),
+                         pa.array(total[i]), pa.array(np.full(n, count[i])), pa.array(first[i])], schema=fields)
+
+    pairs = pairs.withColumn("sample_id", F.col("sample_id").cast("long"))
+    return pairs.mapInArrow(run, "sample_id long, feature int, d double, n long, value double")
+
+
 def base_value(model, background: DataFrame, features: str = "features_arr") -> float:
     return model.transform(background.withColumn("features", array_to_vector(features))).agg(F.avg("prediction")).first()[0]
 
